@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from arboris.llm import ann, bpe, chat, html_wrapper, langid, mixing, neardup, quality, sketch, warc
 from arboris.llm.common import held_out, table
 
-#: Words shown by a score of at least this are taken to be of good quality.
+#: Score from which a text is predicted to be of good quality.
 GOOD = 0.7
 
 
