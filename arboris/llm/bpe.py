@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 _MASK = (1 << 64) - 1
 _ODD = 0x9E3779B97F4A7C15
 #: Resolved misses that a worker keeps, in two generations of this many entries.
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 200_000
 
 
 def _spot(h: int, shift: int, n: int) -> int:

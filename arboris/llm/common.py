@@ -1,45 +1,20 @@
-"""Helpers shared by the operators: the shared folder, stage tables, bounded fits."""
+"""Helpers shared by the operators: folds, blocks of texts, tables."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from arboris.storage import shared_dir, staged  # noqa: F401  the operators take them from here
+
 #: Runs of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
-_own_dir: str | None = None
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares, as ``spark.checkpoint.dir`` names it.
-
-    Only where the session has none (tests on one machine) is a private one made.
-    """
-    global _own_dir
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    if _own_dir is None:
-        _own_dir = tempfile.mkdtemp(prefix="arboris-")
-        atexit.register(shutil.rmtree, _own_dir, True)
-    return "file://" + _own_dir
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as a table in the shared folder and read again: the lineage ends there,
-    so a lost executor costs a reread and not the stages before."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def held_out(doc_id: Column) -> Column:
     """True for the fold that no model may learn from."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4 == 2
@@ -47,3 +22,18 @@ def held_out(doc_id: Column) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def text_blocks(column: pa.Array, size: int = 400_000) -> Iterator[tuple[int, int, list[str | None]]]:
+    """A column of texts in runs (start, end, texts) of about ``size`` bytes, so that what is made of
+    them stays in a few MB; a longer text is alone. Memory that Arrow holds idle is given back."""
+    length = np.asarray(pc.fill_null(pc.binary_length(column), 0))
+    start = total = 0
+    for i, n in enumerate(length.tolist()):
+        if total and total + n > size:
+            yield start, i, column.slice(start, i - start).to_pylist()
+            start, total = i, 0
+        total += n
+    if start < len(length):
+        yield start, len(length), column.slice(start).to_pylist()
+    pa.default_memory_pool().release_unused()

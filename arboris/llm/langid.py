@@ -24,29 +24,16 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from arboris.llm.common import text_blocks
+
 BUCKETS = 1 << 16
 CLASSES = 256
 _LETTER = re.compile(r"[^\W\d_]")
-#: Characters handled at once, so that the arrays stay in a few MB.
-_BLOCK = 400_000
-
-
-def _blocks(texts: list[str]) -> Iterator[tuple[int, int]]:
-    """Ranges of texts with about _BLOCK characters; a longer text is alone."""
-    start = size = 0
-    for i, x in enumerate(texts):
-        if size and size + len(x) > _BLOCK:
-            yield start, i
-            start, size = i, 0
-        size += len(x)
-    if start < len(texts):
-        yield start, len(texts)
 
 
 def _trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -160,9 +147,8 @@ def fit(docs: DataFrame, per_language: int = 1500) -> Model:
         number = {x: i for i, x in enumerate(languages)}
         for b in batches:
             langs = np.array([number[x] for x in b.column(0).to_pylist()], np.int64)
-            texts = b.column(1).to_pylist()
-            for i, j in _blocks(texts):
-                bucket, owner = _trigrams(texts[i:j])
+            for i, j, texts in text_blocks(b.column(1)):
+                bucket, owner = _trigrams(texts)
                 total += np.bincount(langs[i:j][owner] * BUCKETS + bucket, minlength=total.size).reshape(total.shape)
         i, j = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(total[i, j])], ["lang_no", "bucket", "n"])
@@ -185,15 +171,14 @@ def predict(docs: DataFrame, model: Model, charge: float = 2.0) -> DataFrame:
         m = shared.value
         k = len(m.likelihood)
         for b in batches:
-            raw = b.column("text").to_pylist()
-            texts = [x or "" for x in raw]
             pred, score, sets = [], [], []
-            for i, j in _blocks(texts):
-                bucket, owner = _trigrams(texts[i:j])
+            for i, j, raw in text_blocks(b.column("text")):
+                texts = [x or "" for x in raw]
+                bucket, owner = _trigrams(texts)
                 c = np.bincount(owner * k + m.class_of[bucket], minlength=(j - i) * k).reshape(j - i, k).astype(float)
                 pi = proportions(c, m.likelihood, charge) if m.languages else None
-                for x, row in enumerate(range(i, j)):
-                    if pi is None or not _LETTER.search(texts[row]):
+                for x, text in enumerate(texts):
+                    if pi is None or not _LETTER.search(text):
                         pred.append("und"), score.append(0.0), sets.append([])
                         continue
                     best = int(pi[x].argmax())

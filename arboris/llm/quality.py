@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from arboris.llm.langid import _blocks
+from arboris.llm.common import text_blocks
 
 _MARKS = ".,!?#$%&*|'\"-:;@/()"
 KINDS = 7 + len(_MARKS)
@@ -137,11 +137,11 @@ def predict(docs: DataFrame, model: Model, k: int = 15) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [x or "" for x in b.column("text").to_pylist()]
             scores = [np.zeros(0)]
-            for i, j in _blocks(texts):
-                for a in range(i, j, 128):
-                    scores.append(shared.value.score(features(texts[a : min(j, a + 128)]), k))
+            for _, _, raw in text_blocks(b.column("text")):
+                texts = [x or "" for x in raw]
+                for a in range(0, len(texts), 128):
+                    scores.append(shared.value.score(features(texts[a : a + 128]), k))
             yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in keep), pa.array(np.concatenate(scores))], [*(f.name for f in keep), "score"])
 
     return docs.mapInArrow(run, T.StructType([*keep, T.StructField("score", T.DoubleType())]))
