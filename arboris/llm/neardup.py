@@ -9,10 +9,16 @@ in full, and linked if 100 * intersection >= 75 * union.
   ``K - MATCHES + 1`` rarest pairs of each (in one order for all, by how often
   pairs of a bucket occur), so only those are posted. A passage that many
   documents share is common, and stays out of the prefix.
-* Skip: under a pair every set is first joined with the smallest one only, which
-  is linear. Links found so make components, and only sets of different
-  components that still meet under a pair are joined with each other. Nothing
-  within a component needs that, so no group emits all its pairs.
+* Skip: under a pair every set is first joined with one leader only, which is
+  linear; each pair has a leader of its own, so a set meets up to a prefix of
+  them. Links found so make components, and only sets of different components
+  that still meet under a pair are compared further: under a pair with few sets
+  by a join, under a crowded one in blocks of sets, where a task drops what a
+  bound excludes and returns only what is left. Nothing within a component needs
+  that, and no group emits all its pairs.
+* Bound: a set's hashes are counted in CELLS cells. Two sets have no more in
+  common than the cell-wise minima of their counts add up to, so where that is
+  too little for 0.75 there is no link. This loses nothing.
 * Equal sets are one class from the start, whatever their number.
 
 A pair of similarity 0.75 agrees in 48 of 64 coordinates on average, with a
@@ -20,7 +26,7 @@ standard deviation of 3.5; MATCHES is more than five of these below.
 
 Defined results: a text without words, or null, has no shingles and is alone;
 fewer than five words are one shingle; rows of equal doc_id are one node; a null
-doc_id can't represent a group, and its row is kept only if nothing equals it.
+doc_id can't represent a group, and its row is kept unless a row with an id has the same set.
 """
 
 from __future__ import annotations
@@ -32,14 +38,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arboris.llm.common import staged
-from arboris.llm.langid import _blocks
+from arboris.llm.common import staged, text_blocks
 
 K = 64
 MATCHES = 30
 SHINGLE = 5
 _PREFIX = K - MATCHES + 1
 _BUCKETS = 1 << 16
+#: Cells of the bound, and sets under a pair from which it is compared in blocks of so many sets.
+CELLS = 256
+CROWD = 64
+BLOCK = 1024
 #: Bits of the filter that keeps texts without a candidate from being shingled again.
 _FILTER = 1 << 22
 
@@ -115,15 +124,19 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def cell_counts(items: np.ndarray) -> np.ndarray:
+    """How many hashes of a set each cell has."""
+    return np.bincount((items & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
+
+
 def _profiles(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, the set's identity in two numbers, and its signature (null without shingles)."""
+    """doc_id, n_shingles, the set's identity in two numbers, its signature (null without shingles)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(1).to_pylist()
             n, one, two, sig = [], [], [], []
-            for i, j in _blocks([x or "" for x in texts]):
-                sets = shingle_sets(texts[i:j])
+            for _, _, texts in text_blocks(b.column(1)):
+                sets = shingle_sets(texts)
                 full = [s for s in sets if len(s)]
                 rows = iter(signatures(full)) if full else iter(())
                 for s in sets:
@@ -182,42 +195,104 @@ def _matching(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return both.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long, matches int")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose whole sets are similar enough."""
+def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """doc_id and its whole set as bytes, for the ids in ``wanted`` and few others: a bit map of fixed
+    size, by hash of the id, says which texts are shingled again."""
     spot = F.pmod(F.xxhash64("doc_id"), F.lit(_FILTER))
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).select(spot.alias("spot"))
-    words = ends.groupBy(F.shiftright("spot", 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("spot").cast("int").bitwiseAND(63))).alias("bits"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("spot").cast("int").bitwiseAND(63))
+    words = wanted.select(spot.alias("spot")).groupBy(F.shiftright("spot", 6).alias("word")).agg(F.bit_or(bit).alias("bits"))
     bits = np.zeros(_FILTER // 64, np.int64)
     for r in words.collect():  # at most _FILTER / 64 rows
         bits[r["word"]] = r["bits"]
     shared = docs.sparkSession.sparkContext.broadcast(bits.view(np.uint64))
 
-    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at = b.column(1).to_numpy()
-            keep = np.flatnonzero((shared.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1))
-            b = b.take(pa.array(keep))
-            texts = b.column(2).to_pylist()
-            for i, j in _blocks([x or "" for x in texts]):
-                sets = [s.tobytes() for s in shingle_sets(texts[i:j])]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(sets, pa.binary())], ["doc_id", "items"])
+            b = b.take(pa.array(np.flatnonzero((shared.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1))))
+            for i, j, texts in text_blocks(b.column(2)):
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array([s.tobytes() for s in shingle_sets(texts)], pa.binary())], ["doc_id", "items"])
 
     whole = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sets = whole.select("doc_id", spot.alias("spot"), "text").mapInArrow(shingled, "doc_id long, items binary")
+    return whole.select("doc_id", spot.alias("spot"), "text").mapInArrow(run, "doc_id long, items binary")
+
+
+def similar_enough(common: int, a: int, b: int) -> bool:
+    return 100 * common >= 75 * (a + b - common) > 0
+
+
+def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose whole sets are similar enough."""
+    ends = pairs.select("a").union(pairs.select("b")).select(F.col("a").alias("doc_id"))
+    sets = _sets(docs, ends)
     both = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("items").alias("items_b")), "b")
     both = both.join(sets.select(F.col("doc_id").alias("a"), F.col("items").alias("items_a")), "a").select("a", "b", "items_a", "items_b")
 
-    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             good = []
             for i, (p, q) in enumerate(zip(x.column(2), x.column(3))):
-                p, q = np.frombuffer(p.as_py(), np.uint64), np.frombuffer(q.as_py(), np.uint64)
-                common = len(np.intersect1d(p, q, assume_unique=True))
-                if 100 * common >= 75 * (len(p) + len(q) - common) > 0:
+                p, q = np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(q.as_buffer(), np.uint64)
+                if similar_enough(len(np.intersect1d(p, q, assume_unique=True)), len(p), len(q)):
                     good.append(i)
             yield pa.RecordBatch.from_arrays([x.column(k).take(pa.array(good, pa.int64())) for k in (0, 1)], ["a", "b"])
+            pa.default_memory_pool().release_unused()
+
+    return both.mapInArrow(run, "a long, b long").distinct()
+
+
+def survivors(n: np.ndarray, comp: np.ndarray, sig: np.ndarray, cells: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j) of pairs of sets, i before ``start`` and j from it on (all i < j if start is 0),
+    that can be links across components: sizes, matching coordinates and the bound allow it."""
+    left = np.arange(len(n)) if start == 0 else np.arange(start)
+    out: list[tuple[int, np.ndarray]] = []
+    for i in left:
+        j = np.arange(max(i + 1, start), len(n))
+        j = j[(comp[j] != comp[i]) & (4 * n[j] >= 3 * n[i]) & (4 * n[i] >= 3 * n[j])]
+        j = j[(sig[j] == sig[i]).sum(1) >= MATCHES]
+        most = np.minimum(cells[j], cells[i]).sum(1, dtype=np.int64)
+        j = j[100 * most >= 75 * (n[i] + n[j] - most)]
+        if len(j):
+            out.append((i, j))
+    if not out:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate([np.full(len(j), i) for i, j in out]), np.concatenate([j for _, j in out])
+
+
+def _across_crowds(crowds: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components that meet under crowded pairs and pass ``survivors``.
+    ``crowds``: pair, doc_id, c. Pairs that share sets make a crowd, which is compared in blocks once."""
+    firsts = crowds.groupBy("pair").agg(F.min("doc_id").alias("b"))
+    edges = crowds.join(firsts, "pair").select(F.col("doc_id").alias("a"), "b")
+    crowd = components(edges).select(F.col("node").alias("doc_id"), F.col("component").alias("crowd"))
+    members = staged(crowds.select("doc_id", "c").distinct().join(crowd, "doc_id"), "crowds")
+    size = members.groupBy("crowd").agg(F.count(F.lit(1)).alias("m"))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [cell_counts(np.frombuffer(x.as_buffer(), np.uint64)).astype(np.int32).tobytes() for x in b.column(4)]
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(4)), b.column(5), pa.array(rows, pa.binary())], ["doc_id", "c", "crowd", "n", "sig", "cells"])
+
+    full = members.join(reps, "doc_id").join(_sets(docs, members).dropDuplicates(["doc_id"]), "doc_id")
+    full = full.select("doc_id", "c", "crowd", "n", "items", "sig").mapInArrow(counted, "doc_id long, c long, crowd long, n long, sig array<int>, cells binary")
+    full = full.join(size, "crowd").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    others = F.sequence(F.lit(0), F.col("blocks") - 1)
+    cell = F.transform(others, lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j")))
+    dealt = full.withColumn("cell", F.explode(cell)).select("crowd", "cell.i", "cell.j", "block", "doc_id", "c", "n", "sig", "cells")
+
+    def compare(key: tuple, group: pa.Table) -> pa.Table:
+        group = group.sort_by([("block", "ascending"), ("doc_id", "ascending")])
+        ids = group.column("doc_id").to_numpy()
+        sig = group.column("sig").combine_chunks().flatten().to_numpy().reshape(-1, K)
+        cells = np.frombuffer(b"".join(group.column("cells").to_pylist()), np.int32).reshape(-1, CELLS)
+        start = 0 if key[1].as_py() == key[2].as_py() else int((group.column("block").to_numpy() == key[1].as_py()).sum())
+        if start == 0 and key[1].as_py() != key[2].as_py():
+            left = right = np.zeros(0, np.int64)
+        else:
+            left, right = survivors(group.column("n").to_numpy(), group.column("c").to_numpy(), sig, cells, start)
+        return pa.table([pa.array(np.minimum(ids[left], ids[right])), pa.array(np.maximum(ids[left], ids[right]))], ["a", "b"])
 
-    return both.mapInArrow(compared, "a long, b long").distinct()
+    return dealt.groupBy("crowd", "i", "j").applyInArrow(compare, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -258,29 +333,40 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rank[np.argsort(counts, kind="stable")] = np.arange(_BUCKETS)
     postings = _postings(reps, rank)
 
-    # every set with the smallest that it meets under a pair
-    firsts = postings.groupBy("pair").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("last")).where("a < last").select("pair", "a")
-    met = postings.join(firsts, "pair").where("doc_id > a").select("a", F.col("doc_id").alias("b")).distinct()
+    # every set with one leader under each pair
+    order = F.xxhash64("pair", "doc_id")
+    leaders = postings.groupBy("pair").agg(F.min_by("doc_id", order).alias("a"), F.count(F.lit(1)).alias("m")).where("m > 1").select("pair", "a")
+    met = postings.join(leaders, "pair").where("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct()
     stars = staged(_matching(met, reps), "stars")
     best = stars.groupBy("b").agg(F.max_by("a", F.struct("matches", -F.col("a"))).alias("a"))
-    best = staged(best.select("a", "b"), "best")
+    best = staged(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "best")
     links = staged(_confirmed(best, docs), "links")
     at = staged(components(links), "components")
 
-    # what still meets across components: other smallest ones, then any two sets under a pair
     def label(df: DataFrame, column: str, name: str) -> DataFrame:
         named = at.select(F.col("node").alias(column), F.col("component").alias("_c"))
         return df.join(named, column, "left").withColumn(name, F.coalesce("_c", column)).drop("_c")
 
+    # the other leaders that are still in another component
+    other = label(label(stars.select("a", "b"), "a", "ca"), "b", "cb").where("ca <> cb")
+    other = other.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(best, ["a", "b"], "left_anti")
+    tried = staged(other, "tried")
+    links = staged(links.union(_confirmed(tried, docs)), "links")
+    at = staged(components(links), "components")
+
+    # sets of different components that meet under a pair
     placed = label(postings, "doc_id", "c")
-    mixed = placed.groupBy("pair").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("pair")
+    mixed = placed.groupBy("pair").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count(F.lit(1)).alias("m")).where("low < high").select("pair", "m")
     rest = staged(placed.join(mixed, "pair"), "rest")
-    one = rest.select("pair", F.col("doc_id").alias("x"), F.col("n").alias("n_x"), F.col("c").alias("c_x"))
-    two = rest.select("pair", F.col("doc_id").alias("y"), F.col("n").alias("n_y"), F.col("c").alias("c_y"))
+    few = rest.where(F.col("m") <= CROWD)
+    one = few.select("pair", F.col("doc_id").alias("x"), F.col("n").alias("n_x"), F.col("c").alias("c_x"))
+    two = few.select("pair", F.col("doc_id").alias("y"), F.col("n").alias("n_y"), F.col("c").alias("c_y"))
     across = one.join(two, "pair").where((F.col("c_x") < F.col("c_y")) & _alike("n_x", "n_y"))
     across = across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    across = across.join(best, ["a", "b"], "left_anti")
-    more = _confirmed(staged(_matching(across, reps).select("a", "b"), "across"), docs)
+    across = _matching(across, reps).select("a", "b")
+    crowded = _across_crowds(staged(rest.where(F.col("m") > CROWD).select("pair", "doc_id", "c"), "crowded"), reps, docs)
+    across = across.union(crowded).distinct().join(best.union(tried), ["a", "b"], "left_anti")
+    more = _confirmed(staged(across, "across"), docs)
     every = components(links.union(more))
 
     node = every.select(F.col("node").alias("rep"), "component")
