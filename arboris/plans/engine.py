@@ -64,7 +64,7 @@ class Result:
 
     @cached_property
     def explanations(self) -> DataFrame:
-        return explain.explanations(self.operations, self.matches)
+        return explain.explanations(self.operations, self.matches, self.nodes)
 
     @cached_property
     def affected(self) -> DataFrame:
