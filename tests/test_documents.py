@@ -84,3 +84,27 @@ def test_repository(spark):
     refs = spark.createDataFrame([("a", "x", "o", "1", "p", None), ("b", "x", "o", None, "q", None)], "pair_id string, profile_id string, source_object string, source_revision string, locale_object string, locale_revision string")
     got = {r["pair_id"]: (r["source_content"], r["locale_content"], r["error_code"]) for r in from_repository(refs, objects).collect()}
     assert got == {"a": ("one", "bare", None), "b": ("two", None, "CCMS_READ_FAILED")}
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from arboris import cli
+
+    (tmp_path / "a.json").write_text('{"a": 1, "b": "x"}')
+    (tmp_path / "b.json").write_text('{"a": 1}')
+    args = [str(tmp_path / "a.json"), str(tmp_path / "b.json"), "--profile", "generic-json-v1", "--out", str(tmp_path / "out")]
+    assert cli.main(args) == 2 and "MISSING_IN_LOCALE 1" in capsys.readouterr().out
+    assert list((tmp_path / "out" / "report.csv").glob("*.csv"))
+    (tmp_path / "b.json").write_text("{")
+    assert cli.main(args) == 1
+
+
+def test_metadata_and_redaction(spark):
+    from pyspark.sql import functions as F
+
+    from arboris.functions.text import redacted, safe_name
+    from arboris.plans.jobs import metadata
+
+    df = spark.createDataFrame([({"ID": "1", "Rev": "2", "Other": "3", "token": "t", "text": "x"},)], "m map<string,string>")
+    r = df.select(metadata(F.col("m"), {"ID": "object_id", "Rev": "revision"}).alias("a"), redacted(F.col("m")).alias("b"), safe_name(F.lit("../a b?.csv")).alias("c")).first()
+    assert r["a"] == {"object_id": "1", "revision": "2"} and r["b"]["token"] == r["b"]["text"] == "[REDACTED]" and r["b"]["ID"] == "1"
+    assert r["c"] == "a_b_.csv" or r["c"] == "_a_b_.csv"

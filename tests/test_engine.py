@@ -162,3 +162,17 @@ def test_generators(spark):
     assert alike.matches.where("state = 'AMBIGUOUS'").count() == 400 and alike.operations.count() == 0
     edits = by_pair(reconcile(g.high_edit(spark, 120), DITA).operations.groupBy("pair_id", "type").count(), "type", "count")["high-edit"]
     assert ("DELETE", 60) in edits and ("INSERT", 30) in edits
+
+
+def test_quality_against_labels(spark, result):
+    from arboris.plans import evaluate
+
+    want = spark.createDataFrame([("insert", "op:insert:x", "INSERT"), ("delete", "op:delete:b", "DELETE")], "pair_id string, operation_id string, type string")
+    pairs = spark.createDataFrame([("delete", "r", "r"), ("delete", "a", "a"), ("insert", "r", "r"), ("insert", "a", "a"), ("insert", "b", "b")], "pair_id string, s string, t string")
+    part = reconcile(table(spark, insert=CASES["insert"], delete=CASES["delete"]), DITA)
+    got = evaluate.quality(part, pairs, want)
+    assert {(r["kind"], r["precision"], r["recall"]) for r in got.collect()} == {("MATCH", 1.0, 1.0), ("INSERT", 1.0, 1.0), ("DELETE", 1.0, 1.0)}
+    assert evaluate.markdown(got).count("\n") == 5
+    rates = by_pair(evaluate.ambiguity_rate(result), "ambiguity_rate")
+    assert rates["repeated"] == [1.0] and rates["identical"] == [0.0]
+    assert 0 < by_pair(evaluate.cascade_reduction(result), "cascade_reduction")["move"][0] < 1
