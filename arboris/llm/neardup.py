@@ -35,7 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from arboris.llm.common import staged, text_blocks
@@ -49,6 +49,8 @@ _BUCKETS = 1 << 16
 CELLS = 256
 CROWD = 64
 BLOCK = 1024
+#: Leaders that a set is compared with in full; what they leave apart is compared across components.
+LEADERS = 3
 #: Bits of the filter that keeps texts without a candidate from being shingled again.
 _FILTER = 1 << 22
 
@@ -238,7 +240,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([x.column(k).take(pa.array(good, pa.int64())) for k in (0, 1)], ["a", "b"])
             pa.default_memory_pool().release_unused()
 
-    return both.mapInArrow(run, "a long, b long").distinct()
+    return both.mapInArrow(run, "a long, b long")
 
 
 def survivors(n: np.ndarray, comp: np.ndarray, sig: np.ndarray, cells: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
@@ -304,7 +306,7 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
@@ -338,7 +340,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     leaders = postings.groupBy("pair").agg(F.min_by("doc_id", order).alias("a"), F.count(F.lit(1)).alias("m")).where("m > 1").select("pair", "a")
     met = postings.join(leaders, "pair").where("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct()
     stars = staged(_matching(met, reps), "stars")
-    best = stars.groupBy("b").agg(F.max_by("a", F.struct("matches", -F.col("a"))).alias("a"))
+    # the likeliest LEADERS of each set are compared in full
+    nearest = Window.partitionBy("b").orderBy(F.desc("matches"), "a")
+    best = stars.withColumn("rn", F.row_number().over(nearest)).where(F.col("rn") <= LEADERS)
     best = staged(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "best")
     links = staged(_confirmed(best, docs), "links")
     at = staged(components(links), "components")
@@ -347,13 +351,6 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         named = at.select(F.col("node").alias(column), F.col("component").alias("_c"))
         return df.join(named, column, "left").withColumn(name, F.coalesce("_c", column)).drop("_c")
 
-    # the other leaders that are still in another component
-    other = label(label(stars.select("a", "b"), "a", "ca"), "b", "cb").where("ca <> cb")
-    other = other.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(best, ["a", "b"], "left_anti")
-    tried = staged(other, "tried")
-    links = staged(links.union(_confirmed(tried, docs)), "links")
-    at = staged(components(links), "components")
-
     # sets of different components that meet under a pair
     placed = label(postings, "doc_id", "c")
     mixed = placed.groupBy("pair").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count(F.lit(1)).alias("m")).where("low < high").select("pair", "m")
@@ -364,8 +361,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     across = one.join(two, "pair").where((F.col("c_x") < F.col("c_y")) & _alike("n_x", "n_y"))
     across = across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     across = _matching(across, reps).select("a", "b")
-    crowded = _across_crowds(staged(rest.where(F.col("m") > CROWD).select("pair", "doc_id", "c"), "crowded"), reps, docs)
-    across = across.union(crowded).distinct().join(best.union(tried), ["a", "b"], "left_anti")
+    crowded = rest.where(F.col("m") > CROWD).select("pair", "doc_id", "c")
+    if not crowded.isEmpty():
+        across = across.union(_across_crowds(crowded, reps, docs))
+    across = across.join(best, ["a", "b"], "left_anti")
     more = _confirmed(staged(across, "across"), docs)
     every = components(links.union(more))
 
