@@ -150,7 +150,11 @@ class Mix:
         return known.join(cells, ["source_no", "cell"]).withColumn("start", F.col("base") + F.col("offset")).drop("base", "offset", "cell")
 
     def slots(self) -> DataFrame:
-        """The mix: source_no and block of each slot, in order of shard and slot."""
+        """The mix: source_no and block of each slot, in order of shard and slot.
+
+        The optimizer knows only how few shards there are, so joins with the slots ask for a merge:
+        it would take them to be small enough to broadcast.
+        """
         totals = np.array([s.slots for s in self.sources], np.int64)
         blocks = [s.blocks for s in self.sources]
         n = int(totals.sum())
@@ -189,13 +193,13 @@ class Mix:
 
     def sequence(self) -> DataFrame:
         """The mix as pieces of documents in order: shard, slot, doc_id, source_no, start, block, from_word, words."""
-        return self.slots().join(self.pieces(self.positions()), ["source_no", "block"])
+        return self.slots().hint("merge").join(self.pieces(self.positions()), ["source_no", "block"])
 
     def taken(self) -> DataFrame:
         """Per document: doc_id, size, source_size, target and the words that the mix takes of it."""
         docs = self.positions()
         times = self.slots().groupBy("source_no", "block").agg(F.count(F.lit(1)).alias("times"))
-        words = self.pieces(docs).join(times, ["source_no", "block"])
+        words = self.pieces(docs).join(times.hint("merge"), ["source_no", "block"])
         words = words.groupBy("source_no", "start").agg(F.sum(F.col("words") * F.col("times")).alias("words"))
         # a document with words is known by its source and start; one without takes none
         docs = docs.withColumn("at", F.when(F.col("size") > 0, F.col("start")))
@@ -207,7 +211,7 @@ class Mix:
         taken in that pass, in the columns of ``docs``. Rows that repeat a doc_id share its spans. Spans that touch stay as they stand in the
         text; others are joined by a line end. Documents of which nothing is taken are gone."""
         times = self.slots().groupBy("source_no", "block").agg(F.count(F.lit(1)).cast("int").alias("times"))
-        spans = self.pieces(self.positions()).join(times, ["source_no", "block"])
+        spans = self.pieces(self.positions()).join(times.hint("merge"), ["source_no", "block"])
         spans = spans.select("doc_id", "source_no", "start", "from_word", "words", F.explode(F.sequence(F.lit(1), "times")).alias("pass"))
         span = F.struct("from_word", "words")
         per = spans.groupBy("doc_id", "source_no", "start", "pass").agg(F.sort_array(F.collect_list(span)).alias("spans"))
