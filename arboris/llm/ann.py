@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from arboris.llm.common import staged
+from arboris.llm.common import small_batches, staged
 
 _CODES = 256
 
@@ -126,7 +126,7 @@ def search(
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(at.astype(np.int32)), pa.array([c.tobytes() for c in code], pa.binary()), b.column(1)], ["vec_id", "list", "code", "embedding"])
 
     kind = dict(rows.dtypes)["embedding"]
-    index = staged(rows.mapInArrow(encode, f"vec_id long, list int, code binary, embedding {kind}"), "ivf")
+    index = staged(small_batches(rows).mapInArrow(encode, f"vec_id long, list int, code binary, embedding {kind}"), "ivf")
     sizes = np.zeros(len(quantiser.coarse), np.int64)
     for r in index.groupBy("list").count().collect():  # one row a list
         sizes[r["list"]] = r["count"]
@@ -149,7 +149,7 @@ def search(
             take = pa.array(q)
             yield pa.RecordBatch.from_arrays([b.column(0).take(take), pa.array(at.astype(np.int32)), pa.array(block.astype(np.int32)), b.column(1).take(take)], ["query_id", "list", "block", "embedding"])
 
-    asked = rows.where(is_query).mapInArrow(route, f"query_id long, list int, block int, embedding {kind}")
+    asked = small_batches(rows).where(is_query).mapInArrow(route, f"query_id long, list int, block int, embedding {kind}")
 
     def scan(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         """The best of one block for each query that comes to it."""

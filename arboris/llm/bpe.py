@@ -25,6 +25,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from arboris.llm.common import small_batches
+
 _MASK = (1 << 64) - 1
 _ODD = 0x9E3779B97F4A7C15
 #: Resolved misses that a worker keeps, in two generations of this many entries.
@@ -201,7 +203,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str
             keep = [n for n in b.schema.names if n != ids]
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in keep), made], [*keep, ids])
 
-    return df.mapInArrow(run, schema)
+    return small_batches(df).mapInArrow(run, schema)
 
 
 def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
@@ -216,7 +218,7 @@ def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", decoded: st
             keep = [n for n in b.schema.names if n != decoded]
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in keep), made], [*keep, decoded])
 
-    return df.mapInArrow(run, schema)
+    return small_batches(df).mapInArrow(run, schema)
 
 
 def round_trip(df: DataFrame, path: str, pattern: str, key_column: str = "doc_id", text: str = "text") -> DataFrame:
@@ -239,4 +241,4 @@ def round_trip(df: DataFrame, path: str, pattern: str, key_column: str = "doc_id
             n, a, d = zip(*rows) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())], schema.names)
 
-    return df.mapInArrow(run, schema)
+    return small_batches(df).mapInArrow(run, schema)

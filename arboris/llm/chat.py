@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arboris.llm.common import staged
+from arboris.llm.common import small_batches, staged
 
 ROLES = ("system", "user", "assistant", "tool")
 START = len(ROLES)
@@ -131,7 +131,7 @@ def repaired(turns: DataFrame, segment: int = SEGMENT) -> DataFrame:
             costs = [chain_costs([role_number(r) for r in x]).ravel().tolist() for x in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(costs, pa.list_(pa.int64()))], ["conv_id", "part", "costs"])
 
-    matrices = grouped.select("conv_id", "part", "roles").mapInArrow(measure, f"conv_id {conv}, part long, costs array<long>")
+    matrices = small_batches(grouped).select("conv_id", "part", "roles").mapInArrow(measure, f"conv_id {conv}, part long, costs array<long>")
     chains = matrices.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("part", "costs"))).alias("chain"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,7 +146,7 @@ def repaired(turns: DataFrame, segment: int = SEGMENT) -> DataFrame:
             kinds = (pa.int64(), pa.int32(), pa.int32(), pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(take, pa.int64())), *(pa.array(c, k) for c, k in zip(cols, kinds))], ["c", "p", "entry", "end", "last"])
 
-    placed = chains.mapInArrow(place, f"c {conv}, p long, entry int, end int, last boolean")
+    placed = small_batches(chains).mapInArrow(place, f"c {conv}, p long, entry int, end int, last boolean")
     both = grouped.join(placed, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("part") == F.col("p"))).drop("c", "p")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,4 +163,4 @@ def repaired(turns: DataFrame, segment: int = SEGMENT) -> DataFrame:
             )
 
     both = both.select("conv_id", "part", "roles", "texts", "entry", "end", "last")
-    return both.mapInArrow(write, f"conv_id {conv}, part long, n_turns long, n_repaired long, cost long, rendered string")
+    return small_batches(both).mapInArrow(write, f"conv_id {conv}, part long, n_turns long, n_repaired long, cost long, rendered string")

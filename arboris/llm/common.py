@@ -14,12 +14,25 @@ from arboris.storage import shared_dir, staged  # noqa: F401  the operators take
 
 #: Runs of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Bytes of rows that Spark hands to Python at a time; a longer row is alone.
+BATCH = 4 << 20
+
 
 def held_out(doc_id: Column) -> Column:
     """True for the fold that no model may learn from."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, whose session from now on hands Python at most BATCH bytes of rows at a time. Spark's
+    own bound of 64 MB is held several times over by each task, outside the heap and in its worker."""
+    name, conf = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession.conf
+    held = conf.get(name).lower().removesuffix("b")
+    if not held.isdigit() or int(held) > BATCH:
+        conf.set(name, str(BATCH))
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from arboris.llm.common import text_blocks
+from arboris.llm.common import small_batches, text_blocks
 
 BUCKETS = 1 << 16
 CLASSES = 256
@@ -153,7 +153,7 @@ def fit(docs: DataFrame, per_language: int = 1500) -> Model:
         i, j = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(total[i, j])], ["lang_no", "bucket", "n"])
 
-    parts = sample.mapInArrow(count, "lang_no int, bucket int, n long").groupBy("lang_no", "bucket").agg(F.sum("n").alias("n"))
+    parts = small_batches(sample).mapInArrow(count, "lang_no int, bucket int, n long").groupBy("lang_no", "bucket").agg(F.sum("n").alias("n"))
     got = parts.toPandas()
     counts = np.zeros((len(languages), BUCKETS))
     counts[got["lang_no"], got["bucket"]] = got["n"]
@@ -188,4 +188,4 @@ def predict(docs: DataFrame, model: Model, charge: float = 2.0) -> DataFrame:
             out.append(pa.array(sets, pa.map_(pa.string(), pa.float64())))
             yield pa.RecordBatch.from_arrays(out, [*(f.name for f in keep), *added.names])
 
-    return docs.mapInArrow(run, T.StructType([*keep, *added]))
+    return small_batches(docs).mapInArrow(run, T.StructType([*keep, *added]))

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from arboris.llm.common import WORD, staged
+from arboris.llm.common import WORD, small_batches, staged
 
 _WORDS = re.compile(WORD)
 
@@ -242,4 +242,4 @@ class Mix:
                 new = {"text": pa.array(made, pa.string()), "n_chars": pa.array([len(x) for x in made], pa.int64())}
                 yield pa.RecordBatch.from_arrays([new.get(c, rows.column(c)) for c in names], names)
 
-        return joined.mapInArrow(run, T.StructType([schema[c] for c in names]))
+        return small_batches(joined).mapInArrow(run, T.StructType([schema[c] for c in names]))

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from arboris.llm.common import staged, text_blocks
+from arboris.llm.common import small_batches, staged, text_blocks
 
 K = 64
 MATCHES = 30
@@ -151,7 +151,7 @@ def _profiles(docs: DataFrame) -> DataFrame:
                 ["doc_id", "n_shingles", "c1", "c2", "sig"],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
         run, "doc_id long, n_shingles long, c1 long, c2 long, sig array<int>"
     )
 
@@ -173,7 +173,7 @@ def _postings(reps: DataFrame, rank: np.ndarray) -> DataFrame:
                 [pa.array((by_rarity & ((1 << 40) - 1)).ravel()), b.column(0).take(pa.array(rows)), b.column(1).take(pa.array(rows))], ["pair", "doc_id", "n"]
             )
 
-    return reps.select("doc_id", "n", "sig").mapInArrow(run, "pair long, doc_id long, n long")
+    return small_batches(reps).select("doc_id", "n", "sig").mapInArrow(run, "pair long, doc_id long, n long")
 
 
 def _alike(a: str, b: str):
@@ -194,7 +194,7 @@ def _matching(pairs: DataFrame, reps: DataFrame) -> DataFrame:
                 good = np.flatnonzero(same >= MATCHES)
                 yield pa.RecordBatch.from_arrays([x.column(0).take(pa.array(good)), x.column(1).take(pa.array(good)), pa.array(same[good].astype(np.int32))], ["a", "b", "matches"])
 
-    return both.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long, matches int")
+    return small_batches(both).select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long, matches int")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -216,7 +216,7 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array([s.tobytes() for s in shingle_sets(texts)], pa.binary())], ["doc_id", "items"])
 
     whole = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return whole.select("doc_id", spot.alias("spot"), "text").mapInArrow(run, "doc_id long, items binary")
+    return small_batches(whole).select("doc_id", spot.alias("spot"), "text").mapInArrow(run, "doc_id long, items binary")
 
 
 def similar_enough(common: int, a: int, b: int) -> bool:
@@ -240,7 +240,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([x.column(k).take(pa.array(good, pa.int64())) for k in (0, 1)], ["a", "b"])
             pa.default_memory_pool().release_unused()
 
-    return both.mapInArrow(run, "a long, b long")
+    return small_batches(both).mapInArrow(run, "a long, b long")
 
 
 def survivors(n: np.ndarray, comp: np.ndarray, sig: np.ndarray, cells: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
@@ -276,7 +276,7 @@ def _across_crowds(crowds: DataFrame, reps: DataFrame, docs: DataFrame) -> DataF
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(4)), b.column(5), pa.array(rows, pa.binary())], ["doc_id", "c", "crowd", "n", "sig", "cells"])
 
     full = members.join(reps, "doc_id").join(_sets(docs, members).dropDuplicates(["doc_id"]), "doc_id")
-    full = full.select("doc_id", "c", "crowd", "n", "items", "sig").mapInArrow(counted, "doc_id long, c long, crowd long, n long, sig array<int>, cells binary")
+    full = small_batches(full).select("doc_id", "c", "crowd", "n", "items", "sig").mapInArrow(counted, "doc_id long, c long, crowd long, n long, sig array<int>, cells binary")
     full = full.join(size, "crowd").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     others = F.sequence(F.lit(0), F.col("blocks") - 1)
     cell = F.transform(others, lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j")))

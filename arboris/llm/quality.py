@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from arboris.llm.common import text_blocks
+from arboris.llm.common import small_batches, text_blocks
 
 _MARKS = ".,!?#$%&*|'\"-:;@/()"
 KINDS = 7 + len(_MARKS)
@@ -122,7 +122,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = 800, dims: int = 32
                 n.append(c[at[-1]])
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(at, pa.list_(pa.int32())), pa.array(n, pa.list_(pa.float32()))], ["doc_id", "quality", "at", "n"])
 
-    got = rows.mapInArrow(run, "doc_id long, quality int, at array<int>, n array<float>").toPandas()
+    got = small_batches(rows).mapInArrow(run, "doc_id long, quality int, at array<int>, n array<float>").toPandas()
     got = got.drop_duplicates("doc_id").sort_values("doc_id")
     counts = np.zeros((len(got), FEATURES), np.float32)
     for i, (at, n) in enumerate(zip(got["at"], got["n"])):
@@ -144,4 +144,4 @@ def predict(docs: DataFrame, model: Model, k: int = 15) -> DataFrame:
                     scores.append(shared.value.score(features(texts[a : a + 128]), k))
             yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in keep), pa.array(np.concatenate(scores))], [*(f.name for f in keep), "score"])
 
-    return docs.mapInArrow(run, T.StructType([*keep, T.StructField("score", T.DoubleType())]))
+    return small_batches(docs).mapInArrow(run, T.StructType([*keep, T.StructField("score", T.DoubleType())]))

@@ -32,7 +32,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arboris.llm.common import shared_dir
+from arboris.llm.common import shared_dir, small_batches
 
 MAGIC = b"\x1f\x8b\x08"
 #: A gzip member without content; stands between two records.
@@ -105,7 +105,7 @@ def write(pages: DataFrame, path: str, revisit_from: int = 0, level: int = 6) ->
                 out.append(_member(build_record(page_id.as_py(), url.as_py(), payload.as_py(), digest, refers_to.as_py()), level))
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
 
-    members = rows.mapInArrow(run, "value binary").select(F.col("value").cast("string"))
+    members = small_batches(rows).mapInArrow(run, "value binary").select(F.col("value").cast("string"))
     members.write.option("encoding", "ISO-8859-1").option("lineSep", _EMPTY.decode("latin-1")).text(path)
 
 
@@ -211,7 +211,7 @@ def read(spark: SparkSession, path: str, split_bytes: int = 32 << 20) -> DataFra
                             rows, held = [], 0
                 yield batch(rows)
 
-    return ranges.mapInArrow(run, schema)
+    return small_batches(ranges).mapInArrow(run, schema)
 
 
 def archive_round_trip(pages: DataFrame, revisit_from: int = 0, split_bytes: int = 32 << 20) -> DataFrame:
