@@ -5,8 +5,12 @@ at most ``sample`` vectors (smallest hash of vec_id); every vector is indexed.
 Lists are cut into blocks of about ``block_rows`` vectors, so that a list with a
 third of all vectors is many tasks' work. A query goes to the blocks of the
 lists nearest to it; there an asymmetric distance table ranks all codes, and the
-best are scored exactly, in double precision, with the original vectors. The
-best of all blocks are the result.
+``shortlist`` best are scored exactly, in double precision, with the original
+vectors. Their k-th score is a floor: every other vector of the block is scored
+too unless its rough score and the length of what its code lost prove it to be
+below, so no vector of a visited block is cut by its code. Of equal vectors in a
+block only the k + 1 smallest vec_ids are scored, as others can't be in a result.
+The best of all blocks are the result.
 
 The number of lists that a query visits is calibrated, not fixed: on the sample,
 as many as it takes to meet ``reach`` of the exact neighbours. Vectors in
@@ -80,6 +84,13 @@ class Quantiser:
         residual = x - self.coarse[at]
         return at, np.stack([_nearest(np.ascontiguousarray(residual[:, c]), b) for c, b in zip(self.cuts, self.books)], 1).astype(np.uint8)
 
+    def decode(self, at: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """The vectors that lists and codes stand for."""
+        out = self.coarse[at]
+        for m, (c, b) in enumerate(zip(self.cuts, self.books)):
+            out[:, c] += b[code[:, m]]
+        return out
+
     def lists_for(self, known: np.ndarray, k: int, reach: float, queries: int = 200) -> int:
         """How many lists hold ``reach`` of the ``k`` nearest, over some of the known vectors and all of them."""
         q = known[: min(queries, len(known))]
@@ -102,6 +113,17 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1).astype(np.float64)
 
 
+def _least_copies(x: np.ndarray, ids: np.ndarray, n: int) -> np.ndarray:
+    """Places of all vectors but those with ``n`` equal vectors of smaller ids; ``ids`` ascend."""
+    group = np.unique(x, axis=0, return_inverse=True)[1].ravel()
+    order = np.lexsort((ids, group))
+    g, i = group[order], ids[order]
+    new = np.ones(len(g), bool)
+    new[1:] = (g[1:] != g[:-1]) | (i[1:] != i[:-1])  # rows of equal vector and id count once
+    order, g = order[new], g[new]
+    return np.sort(order[np.arange(len(g)) - np.searchsorted(g, g) < n])
+
+
 def search(
     vectors: DataFrame, is_query, k: int = 20, reach: float = 0.97, slices: int = 8, sample: int = 20_000, block_rows: int = 2048, shortlist: int = 160
 ) -> DataFrame:
@@ -155,23 +177,48 @@ def search(
         """The best of one block for each query that comes to it."""
         out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]]
         if left.num_rows and right.num_rows:
-            left = left.sort_by("vec_id")  # so that ties fall to the smaller
-            ids = left.column("vec_id").to_numpy()
+            left = left.sort_by("vec_id")
             x = _matrix(left.column("embedding").combine_chunks())
+            some = _least_copies(x, left.column("vec_id").to_numpy(), k + 1)
+            left, x = left.take(pa.array(some)), x[some]
+            ids, top = left.column("vec_id").to_numpy(), np.linalg.norm(x, axis=1).max()
             code = np.frombuffer(b"".join(left.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)
             asking = right.column("query_id").to_numpy()
             every = _matrix(right.column("embedding").combine_chunks())
+            repeated = len(np.unique(ids)) < len(ids)
+            lost = np.linalg.norm(x - shared.value.decode(left.column("list").to_numpy(), code), axis=1)
             short = min(shortlist, len(ids))
             for i in range(0, len(asking), 256):
                 q, no = every[i : i + 256], asking[i : i + 256]
-                rough = sum(t[:, code[:, m]] for m, t in enumerate(shared.value.tables(q)))
-                best = np.sort(np.argpartition(-rough, short - 1, axis=1)[:, :short], 1) if short < len(ids) else np.tile(np.arange(short), (len(q), 1))
-                exact = np.einsum("qd,qsd->qs", q, x[best])
-                exact[ids[best] == no[:, None]] = -np.inf
-                order = np.argsort(-exact, axis=1, kind="stable")[:, :k]
-                score, found = np.take_along_axis(exact, order, 1), np.take_along_axis(ids[best], order, 1)
-                real = np.isfinite(score)
-                for o, v in zip(out, (np.repeat(no, real.sum(1)), found[real], score[real])):
+                size = np.linalg.norm(q, axis=1)
+                rough = (q @ shared.value.coarse[key[0].as_py()])[:, None] + sum(t[:, code[:, m]] for m, t in enumerate(shared.value.tables(q)))
+                least = np.full(len(q), -np.inf)
+                if short > k and not repeated:
+                    best = np.argpartition(-rough, short - 1, axis=1)[:, :short]
+                    exact = np.einsum("qd,qsd->qs", q, x[best])
+                    exact[ids[best] == no[:, None]] = -np.inf
+                    least = np.partition(exact, short - k, axis=1)[:, short - k]
+                # no score is further from its rough one than the parts lost in the codes allow
+                near = rough + size[:, None] * (lost + 1e-9 * (1 + top))
+                may = (near >= least[:, None]) & (ids != no[:, None])
+                # a matrix product narrows them, with room for its rounding; what is left is scored pair by pair
+                wide = np.flatnonzero(may.any(0))
+                close = np.where(may[:, wide], q @ x[wide].T, -np.inf)
+                may = close > -np.inf
+                if len(wide) > k and not repeated:
+                    may &= close >= np.partition(close, len(wide) - k, axis=1)[:, [len(wide) - k]] - 1e-9 * size[:, None] * (1 + top)
+                at, to = np.nonzero(may)
+                to = wide[to]
+                score = np.empty(len(at))
+                for j in range(0, len(at), 16_384):
+                    score[j : j + 16_384] = np.einsum("pd,pd->p", q[at[j : j + 16_384]], x[to[j : j + 16_384]])
+                order = np.lexsort((ids[to], -score, at))
+                at, found, score = at[order], ids[to[order]], score[order]
+                if repeated:
+                    first = np.sort(np.unique(np.stack([at, found]), axis=1, return_index=True)[1])
+                    at, found, score = at[first], found[first], score[first]
+                real = np.arange(len(at)) - np.searchsorted(at, at) < k
+                for o, v in zip(out, (no[at[real]], found[real], score[real])):
                     o.append(v)
         return pa.table([pa.array(np.concatenate(o)) for o in out], ["query_id", "vec_id", "score"])
 

@@ -155,6 +155,28 @@ def test_recall(spark):
     assert np.mean(hits) >= 0.9 and all(len(v) == 20 for v in got.values())
 
 
+def test_copies_and_near_copies_beyond_the_shortlist(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(1500, 16)))]
+    one, other = rng.normal(size=16) * 2, rng.normal(size=16) * 2
+    rows += [(i, [float(x) for x in one]) for i in range(1500, 3500)]
+    rows += [(i, [float(x) for x in other + 1e-4 * rng.normal(size=16)]) for i in range(3500, 5500)]
+    order = rng.permutation(len(rows))
+    got, want = search(spark, [rows[i] for i in order]), exact(rows)
+    for a, b in ((1500, 3500), (3500, 5500)):
+        near = [q for q in want if a <= q < b]
+        hits = [len({i for i, _ in got[q]} & {i for i, _ in want[q]}) / 20 for q in near]
+        assert np.mean(hits) >= 0.99, (a, np.mean(hits))
+    assert all([i for i, _ in got[q]] == [i for i, _ in want[q]] for q in want if 1500 <= q < 3500)
+
+
+def test_a_repeated_id_leaves_room_for_others(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(60, 8)))]
+    again = [(7, [3 * x for x in rows[0][1]])] * 50
+    assert len(search(spark, rows + again)[0]) == 20
+
+
 # --- pages ----------------------------------------------------------------------
 
 PAGE = (
