@@ -29,7 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,6 +38,15 @@ from arboris.llm.common import WORD, small_batches, staged
 _WORDS = re.compile(WORD)
 
 
+def _size() -> Column:
+    return F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")
+
+
+def _key(source: str, size: Column) -> Column:
+    """Equal for rows of equal doc_id, source and size; never null, so that nulls in it meet."""
+    return F.struct("doc_id", F.col(source).alias("source"), size.alias("size"))
+
+
 @dataclass(frozen=True)
 class Source:
     number: int
@@ -130,7 +139,7 @@ class Mix:
     def __init__(self, docs: DataFrame, block: int = 64, cap: float = 3, weights: tuple[float, ...] = (1, 2, 3), per_shard: int = 8192, seed: int = 7):
         self.docs, self.block, self.per_shard, self.seed = docs, block, per_shard, seed
         spark = docs.sparkSession
-        sizes = docs.select("doc_id", "source", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("size"))
+        sizes = docs.select("doc_id", "source", _size().alias("size"))
         # cells of a source, so that the running sum over a source is a sum over its cells first
         self.sizes = staged(sizes.withColumn("cell", F.pmod(F.xxhash64("doc_id", "size"), F.lit(4096)).cast("int")), "mix-sizes")
         totals = self.sizes.groupBy("source").agg(F.sum("size").alias("size")).collect()
@@ -208,15 +217,25 @@ class Mix:
 
     def texts(self) -> DataFrame:
         """The mix as documents: for each document and pass over its source, a row with the words
-        taken in that pass, in the columns of ``docs``. Rows that repeat a doc_id share its spans. Spans that touch stay as they stand in the
+        taken in that pass, in the columns of ``docs``. Spans that touch stay as they stand in the
         text; others are joined by a line end. Documents of which nothing is taken are gone."""
         times = self.slots().groupBy("source_no", "block").agg(F.count(F.lit(1)).cast("int").alias("times"))
-        spans = self.pieces(self.positions()).join(times.hint("merge"), ["source_no", "block"])
-        spans = spans.select("doc_id", "source_no", "start", "from_word", "words", F.explode(F.sequence(F.lit(1), "times")).alias("pass"))
+        docs = self.positions()
+        spans = self.pieces(docs).join(times.hint("merge"), ["source_no", "block"])
+        spans = spans.select("source_no", "start", "from_word", "words", F.explode(F.sequence(F.lit(1), "times")).alias("pass"))
         span = F.struct("from_word", "words")
-        per = spans.groupBy("doc_id", "source_no", "start", "pass").agg(F.sort_array(F.collect_list(span)).alias("spans"))
-        per = per.groupBy("doc_id").agg(F.collect_list("spans").alias("passes"))
-        joined = self.docs.join(per, self.docs["doc_id"].eqNullSafe(per["doc_id"])).drop(per["doc_id"])
+        per = spans.groupBy("source_no", "start", "pass").agg(F.sort_array(F.collect_list(span)).alias("spans"))
+        per = per.groupBy("source_no", "start").agg(F.collect_list("spans").alias("passes"))
+        # rows of equal doc_id, source and size can be cut alike: the n-th of them takes the n-th place
+        cat = F.broadcast(self.catalogue.select("source_no", F.col("source").alias("_s")))
+        keyed = docs.where("size > 0").join(cat, "source_no").select("source_no", "start", _key("_s", F.col("size")).alias("_key"))
+        texts, by = self.docs.withColumn("_key", _key("source", _size())), ["_key"]
+        if not self.sizes.where("size > 0").groupBy("doc_id", "source", "size").count().where("count > 1").isEmpty():
+            nth = Window.partitionBy("_key")
+            keyed = keyed.withColumn("_nth", F.row_number().over(nth.orderBy("start")))
+            texts = texts.where("_key.size > 0").withColumn("_nth", F.row_number().over(nth.orderBy(F.xxhash64(*self.docs.columns))))
+            by = ["_key", "_nth"]
+        joined = texts.join(per.join(keyed, ["source_no", "start"]).select(*by, "passes"), by)
         names, schema = self.docs.columns, self.docs.schema
 
         def cut(text: str, spans: list[dict]) -> str:

@@ -376,6 +376,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each group of near duplicates."""
-    kept = near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept.select(F.col("doc_id").alias("_kept")), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    """``docs`` with one row of each group of near duplicates. Rows that repeat an id count as one, and
+    one of them stays; rows without an id are nodes by their text here, above all ids."""
+    own = F.lit(1 << 62) + F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND((1 << 61) - 1)
+    rows = docs.withColumn("_node", F.coalesce(F.col("doc_id").cast("long"), own))
+    groups = near_duplicates(rows.select(F.col("_node").alias("doc_id"), "text"))
+    kept = staged(groups.where("kept").groupBy(F.col("doc_id").alias("_node")).count(), "kept")
+    repeated = kept.where("count > 1").select("_node")
+    if repeated.isEmpty():
+        return rows.join(kept, "_node", "left_semi").drop("_node")
+    first = Window.partitionBy("_node").orderBy(F.xxhash64(*docs.columns))
+    one = rows.join(repeated, "_node", "left_semi").withColumn("_rn", F.row_number().over(first)).where("_rn = 1").drop("_rn")
+    return rows.join(kept.where("count = 1"), "_node", "left_semi").unionByName(one).drop("_node")

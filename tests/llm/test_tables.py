@@ -7,14 +7,14 @@ import gzip
 import hashlib
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from itertools import product
 from pathlib import Path
 
 import numpy as np
 import pytest
 
-from arboris.llm import ann, chat, html_wrapper, mixing, warc
+from arboris.llm import ann, chat, html_wrapper, mixing, neardup, warc
 from arboris.llm.common import WORD
 from tests.llm.test_text import brute_groups
 
@@ -91,6 +91,35 @@ def test_mix(spark):
     assert mixing.Mix(df.limit(0)).taken().count() == 0
 
 
+def test_repeated_and_missing_ids_take_their_own_words(spark):
+    rng = random.Random(4)
+    ids = [7] * 12 + [None] * 20 + list(range(20, 40))
+    rows = [(i, " ".join(f"{n}x{j}" for j in range(rng.choice([50, 90, 200]))), "en", rng.choice(["a", None]), 0, "own") for n, i in enumerate(ids)]
+    rows += [rows[0]] * 3
+    df = spark.createDataFrame(rows, DOC_SCHEMA)
+    mix = mixing.Mix(df)
+    want, got, times = Counter(), Counter(), Counter()
+    for r in mix.taken().collect():
+        want[r["doc_id"]] += r["taken"]
+    for r in mix.texts().collect():
+        words = r["text"].split()
+        got[r["doc_id"]] += len(words)
+        times.update(words)
+    assert got == +want
+    held = Counter(w for r in rows for w in r[1].split())
+    assert all(n <= 3 * held[w] for w, n in times.items())
+
+
+def test_one_row_of_each_group(spark):
+    texts = [" ".join(f"{n}w{j}" for j in range(30)) for n in range(6)]
+    rows = [(1, texts[0]), (1, texts[0]), (1, texts[1]), (None, texts[2]), (None, texts[2]), (None, texts[3]), (None, texts[0]), (2, texts[4]), (3, texts[4])]
+    df = spark.createDataFrame([(i, t, "en", "a", 0, "own") for i, t in rows], DOC_SCHEMA)
+    out = neardup.one_of_each(df)
+    got = out.collect()
+    assert out.columns == df.columns and sorted(str(r["doc_id"]) for r in got) == ["1", "2", "None", "None"]
+    assert {r["text"] for r in got if r["doc_id"] is None} == set(texts[2:4])
+
+
 def test_targets_stop_at_the_cap():
     assert mixing.targets([100, 10, 0], [1, 3, 2], 3) == [80.0, 30.0, 0.0]
     assert sum(mixing.targets([5, 50, 500], [1, 2, 3], 3)) == 555
