@@ -235,6 +235,15 @@ def test_wrapper_is_a_union_free_expression():
     assert "".join(map(str, w)) == "<ul>(<li>#</>)+</>(<i>x</>)?<p>same</>"
 
 
+@pytest.mark.parametrize("tag", ["div", "span", "b"])
+def test_deep_pages_are_read(tag):
+    page = "<html><body>" + f"<{tag}>x" * 3000 + "the end"
+    wrapper = html_wrapper.infer([page, page.replace("the end", "another"), page])
+    assert str(wrapper[0]).count(f"<{tag}>") >= 3000
+    for path in (html_wrapper.article_path(wrapper), ["no such"], None):
+        assert html_wrapper.extract(page, path).endswith("the end")
+
+
 # --- conversations --------------------------------------------------------------
 
 
