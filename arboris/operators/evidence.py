@@ -55,31 +55,61 @@ def duplicate_ids(evidence: DataFrame) -> DataFrame:
     return evidence.where("id_dup_count > 1").groupBy("pair_id", "side", "persistent_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-def depths(nodes: DataFrame, stage, limit: int = 100_000) -> DataFrame:
-    """pair_id, side, node_ref and depth (root: 1), level by level. ``stage`` writes a level away; nodes of cycles are absent."""
-    edges = nodes.select("pair_id", "side", "node_ref", "parent_ref")
-    level = stage(edges.where("parent_ref is null").select("pair_id", "side", "node_ref", F.lit(1).alias("depth")))
-    out, n = level, 1
-    while n < limit:
-        up = level.select("pair_id", "side", F.col("node_ref").alias("parent_ref"), "depth")
-        level = stage(edges.join(up, ["pair_id", "side", "parent_ref"]).select("pair_id", "side", "node_ref", (F.col("depth") + 1).alias("depth")))
-        if level.isEmpty():
+def ancestry(nodes: DataFrame, stage, tops: DataFrame | None = None) -> DataFrame:
+    """pair_id, side, node_ref, depth (root: 1), ends and near, one row a node; a ref that stands on several rows is one node.
+
+    ``ends`` says where the way up leads: ROOT, MISSING (to a parent that isn't there) or CYCLE; depth is null off the
+    root. ``near`` is the nearest proper ancestor among ``tops`` (pair_id, side, top), or null. Each round doubles the
+    length of the jumps, so a chain of depth d takes log2(d) rounds, and there is no limit to d. A round that finishes
+    no node ends the search: as depths have no gaps, what is left then hangs on cycles.
+    """
+    key = ["pair_id", "side"]
+    first = nodes.groupBy(*key, "node_ref").agg(F.bool_or(F.col("parent_ref").isNull()).alias("top"), F.min("parent_ref").alias("up"))
+    state = first.select(*key, "node_ref", F.when(~F.col("top"), F.col("up")).alias("jump"), F.when(F.col("top"), 0).otherwise(1).cast("long").alias("steps"), F.lit(False).alias("lost"))
+    if tops is None:
+        state = state.withColumn("near", F.lit(None).cast("string"))
+    else:
+        held = tops.select(*key, F.col("top").alias("jump"), F.col("top").alias("near")).distinct()
+        state = state.where("jump is not null").join(held, [*key, "jump"], "left").unionByName(state.where("jump is null").withColumn("near", F.lit(None).cast("string")))
+    columns = [*key, "node_ref", "jump", "steps", "lost", "near"]
+    state, before = stage(state.select(*columns)), -1
+    while True:
+        climbing = state.where("jump is not null")
+        n = climbing.count()
+        if n in (0, before):
             break
-        out, n = out.unionByName(level), n + 1
-    return out
+        before = n
+        up = state.select(*key, F.col("node_ref").alias("jump"), F.col("jump").alias("next"), F.col("steps").alias("more"), F.col("lost").alias("off"), F.col("near").alias("far"), F.lit(True).alias("there"))
+        met = climbing.join(up, [*key, "jump"], "left").select(
+            *key, "node_ref", F.col("next").alias("jump"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), F.coalesce("off", F.col("there").isNull()).alias("lost"), F.coalesce("near", "far").alias("near")
+        )
+        state = stage(state.where("jump is null").select(*columns).unionByName(met))
+    ends = F.when(F.col("jump").isNotNull(), "CYCLE").when(F.col("lost"), "MISSING").otherwise("ROOT")
+    out = state.withColumn("ends", ends)
+    return out.select(*key, "node_ref", F.when(F.col("ends") == "ROOT", F.col("steps") + 1).alias("depth"), "ends", "near")
+
+
+def depths(nodes: DataFrame, stage) -> DataFrame:
+    """pair_id, side, node_ref and depth (root: 1) of the nodes from which parents lead to a root."""
+    return ancestry(nodes, stage).where("ends = 'ROOT'").select("pair_id", "side", "node_ref", "depth")
 
 
 def descendants(nodes: DataFrame, tops: DataFrame, stage) -> DataFrame:
-    """pair_id, top, node_ref: strict descendants of ``tops`` (pair_id, side, top), level by level."""
-    edges = nodes.where("parent_ref is not null").select("pair_id", "side", "node_ref", "parent_ref")
-    front = tops.select("pair_id", "side", "top", F.col("top").alias("node_ref"))
-    out = None
-    while True:
-        up = front.select("pair_id", "side", "top", F.col("node_ref").alias("parent_ref"))
-        front = stage(edges.join(up, ["pair_id", "side", "parent_ref"]).select("pair_id", "side", "top", "node_ref"))
-        if front.isEmpty():
-            return front if out is None else out
-        out = front if out is None else out.unionByName(front)
+    """pair_id, side, top, node_ref: strict descendants of ``tops`` (pair_id, side, top). Nodes on or below a cycle are left out.
+
+    A node's tops are its nearest one, that one's nearest, and so on: as many joins as tops are nested, whatever the
+    depth of the trees. Only trees that hold a top are looked at.
+    """
+    key = ["pair_id", "side"]
+    tops = tops.select(*key, "top").distinct()
+    near = ancestry(nodes.join(tops.select(*key).distinct(), key, "left_semi"), stage, tops).where("ends <> 'CYCLE' and near is not null")
+    near = stage(near.select(*key, F.col("near").alias("top"), "node_ref"))
+    above = near.select(*key, F.col("node_ref").alias("top"), F.col("top").alias("next")).join(tops, [*key, "top"], "left_semi")
+    out = front = near
+    while not front.isEmpty():
+        front = stage(front.join(above, [*key, "top"]).select(*key, F.col("next").alias("top"), "node_ref"))
+        out = out.unionByName(front)
+    return out
 
 
 def ranked(df: DataFrame, keys: list[str], order: list[Column], name: str) -> DataFrame:

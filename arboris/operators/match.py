@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -50,6 +51,28 @@ def candidates(evidence: DataFrame, confirmed: DataFrame, profile: Matching) ->
     return every.withColumn("score", scoring.score(F.col("mask"), profile)).where(F.col("score") >= profile.probable_threshold)
 
 
+def candidate_counts(evidence: DataFrame, confirmed: DataFrame, profile: Matching) -> DataFrame:
+    """pair_id and n: how many pairs of free nodes meet under a blocking key, counted without making any.
+
+    Keys overlap, so pairs that meet under several are counted once by inclusion and exclusion over the keys.
+    """
+    keys = scoring.blocking_keys(profile)
+    ends = []
+    for which, end in ((SOURCE, "s"), (TARGET, "t")):
+        free = evidence.where(F.col("side") == which).join(confirmed.select("pair_id", F.col(end).alias("node_ref")), ["pair_id", "node_ref"], "left_anti")
+        ends.append(free.select("pair_id", "side", "node_type", *_EVIDENCE))
+    free = ends[0].unionByName(ends[1])
+    out = [free.select("pair_id", F.lit(0).cast("decimal(38,0)").alias("n")).where("false")]
+    for k in range(1, len(keys) + 1):
+        for some in combinations(keys, k):
+            by = sorted({c for key in some for c in key})
+            by += ["node_type"] if profile.hard_node_type else []
+            known = free.where(reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in by), F.lit(True)))
+            met = known.groupBy("pair_id", *by).agg(*(F.count_if(F.col("side") == x).cast("decimal(18,0)").alias(x) for x in (SOURCE, TARGET)))
+            out.append(met.select("pair_id", (F.col(SOURCE) * F.col(TARGET) * (-1) ** (k + 1)).cast("decimal(38,0)").alias("n")))
+    return reduce(DataFrame.unionByName, out).groupBy("pair_id").agg(F.sum("n").alias("n"))
+
+
 def _on(keys: tuple[str, ...], profile: Matching):
     on = F.col("pair_id") == F.col("_p")
     for k in (*keys, *(("node_type",) if profile.hard_node_type else ())):

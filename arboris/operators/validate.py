@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arboris.operators.evidence import depths
+from arboris.operators.evidence import ancestry, depths
 from arboris.profiles import Limits
 from arboris.storage import kept
 
@@ -27,18 +27,8 @@ def tree_violations(nodes: DataFrame, stage=kept) -> DataFrame:
         rows(nodes.where("parent_ref is null").groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min("node_ref").alias("r")).where("n > 1"), "MULTIPLE_ROOTS", F.col("r")),
         rows(nodes.groupBy(*key).agg(F.count_if(F.col("parent_ref").isNull()).alias("n"), F.min("node_ref").alias("r")).where("n = 0"), "MISSING_ROOT", F.col("r")),
     ]
-    dangling = out[0].select(*key, "node_ref")
-    reached = depths(nodes, stage).select(*key, "node_ref")
-    lost = refs.join(reached, [*key, "node_ref"], "left_anti").join(dangling, [*key, "node_ref"], "left_anti")
-    # below a dangling node nothing is reached either, but that is no cycle
-    below = dangling
-    while True:
-        up = below.withColumnRenamed("node_ref", "parent_ref")
-        below = stage(nodes.select(*key, "node_ref", "parent_ref").join(up, [*key, "parent_ref"]).select(*key, "node_ref"))
-        if below.isEmpty():
-            break
-        lost = lost.join(below, [*key, "node_ref"], "left_anti")
-    out.append(rows(lost, "CONTAINMENT_CYCLE", F.col("node_ref")))
+    # below a dangling node no root is reached either, but that is no cycle
+    out.append(rows(ancestry(nodes, stage).where("ends = 'CYCLE'"), "CONTAINMENT_CYCLE", F.col("node_ref")))
     if "child_refs" in nodes.columns:
         listed = nodes.select(*key, F.col("node_ref").alias("parent"), F.explode("child_refs").alias("node_ref"))
         own = nodes.select(*key, "node_ref", F.col("parent_ref").alias("parent"))
@@ -48,6 +38,18 @@ def tree_violations(nodes: DataFrame, stage=kept) -> DataFrame:
     return reduce(DataFrame.unionByName, out)
 
 
+#: Codes in the order in which they are reported for a tree.
+CODES = (
+    "CONTAINMENT_CYCLE", "DANGLING_CHILD_REF", "PARENT_CHILD_DISAGREEMENT", "DANGLING_PARENT_REF", "MISSING_FROM_PARENT_CHILDREN", "MULTIPLE_ROOTS", "MISSING_ROOT", "DUPLICATE_NODE_REF",
+)
+
+
+def first_violations(violations: DataFrame) -> DataFrame:
+    """pair_id, side, code, node_ref of each tree's first violation (by code, then node), and how many there are."""
+    rank = F.array_position(F.array(*map(F.lit, CODES)), F.col("code"))
+    return violations.groupBy("pair_id", "side").agg(F.min(F.struct(rank.alias("rank"), "node_ref", "code")).alias("x"), F.count(F.lit(1)).alias("n")).select("pair_id", "side", "x.code", "x.node_ref", "n")
+
+
 def match_violations(matches: DataFrame) -> DataFrame:
     """pair_id, code, ref: ends of more than one confirmed match; states without what they need."""
     sure = matches.where("state = 'CONFIRMED'")

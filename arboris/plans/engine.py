@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from arboris.operators import align, classify, evidence, explain, match, normalize, validate
 from arboris.profiles import Bundle
-from arboris.schema import NODES
+from arboris.schema import NODES, SOURCE, TARGET
 from arboris.storage import kept
 
 
@@ -22,25 +22,42 @@ class Result:
     bundle: Bundle
 
     @cached_property
-    def over_limits(self) -> DataFrame:
+    def over_size(self) -> DataFrame:
         return validate.over_limits(self.raw, self.bundle.limits)
 
     @cached_property
-    def nodes(self) -> DataFrame:
-        """Normalised nodes with evidence, of the pairs within the limits."""
+    def evidence(self) -> DataFrame:
+        """Normalised nodes with evidence, of the pairs within the limits of size and depth."""
         raw, limits = self.raw, self.bundle.limits
         if limits.max_node_count is not None or limits.max_tree_depth is not None:
-            raw = raw.join(self.over_limits, "pair_id", "left_anti")
-        rows = evidence.extract(normalize.normalize(raw, self.bundle.normalization))
-        if limits.max_candidates is not None:
-            rows = rows.join(self.candidate_bound(rows).where(F.col("bound") > limits.max_candidates), "pair_id", "left_anti")
-        return kept(rows)
+            raw = raw.join(self.over_size, "pair_id", "left_anti")
+        return kept(evidence.extract(normalize.normalize(raw, self.bundle.normalization)))
 
-    @staticmethod
-    def candidate_bound(nodes: DataFrame) -> DataFrame:
-        """pair_id and how many pairs of nodes share a signature: known before any of them is made."""
-        n = nodes.groupBy("pair_id", "signature").agg(F.count_if(F.col("side") == "S").alias("s"), F.count_if(F.col("side") == "T").alias("t"))
-        return n.groupBy("pair_id").agg(F.sum(F.col("s") * F.col("t")).alias("bound"))
+    @cached_property
+    def over_candidates(self) -> DataFrame:
+        """pair_id and message of pairs with more candidates than the limit, counted before any is made."""
+        profile = self.bundle.matching
+        sure = match.authoritative(self.evidence, profile).where(F.col("state") == match.CONFIRMED)
+        n = match.candidate_counts(self.evidence, sure, profile).where(F.col("n") > self.bundle.limits.max_candidates)
+        return kept(n.select("pair_id", F.concat(F.lit("candidates: "), F.col("n").cast("string")).alias("message")))
+
+    @cached_property
+    def over_limits(self) -> DataFrame:
+        """pair_id and message of the pairs that aren't compared because they break a limit."""
+        return self.over_size if self.bundle.limits.max_candidates is None else self.over_size.unionByName(self.over_candidates)
+
+    @cached_property
+    def nodes(self) -> DataFrame:
+        """The nodes that are compared: ``evidence`` of the pairs within all limits."""
+        if self.bundle.limits.max_candidates is None:
+            return self.evidence
+        return kept(self.evidence.join(self.over_candidates, "pair_id", "left_anti"))
+
+    @cached_property
+    def status(self) -> DataFrame:
+        """pair_id and complete: false for pairs over a limit, of which every other table but the diagnostics is empty."""
+        over = self.over_limits.select("pair_id").distinct().withColumn("over", F.lit(True))
+        return self.raw.select("pair_id").distinct().join(over, "pair_id", "left").select("pair_id", F.col("over").isNull().alias("complete"))
 
     @cached_property
     def matches(self) -> DataFrame:
@@ -64,7 +81,9 @@ class Result:
 
     @cached_property
     def explanations(self) -> DataFrame:
-        return explain.explanations(self.operations, self.matches, self.nodes)
+        rows = explain.explanations(self.operations, self.matches, self.nodes)
+        none = self.over_limits.select("pair_id", F.lit("explanation-incomplete").alias("explanation_id"), F.lit(0).cast("long").alias("n_roots"), F.lit(0.0).alias("objective_score"), F.lit(0.0).alias("confidence"))
+        return rows.unionByName(none.distinct())
 
     @cached_property
     def affected(self) -> DataFrame:
@@ -102,10 +121,32 @@ class Result:
 
     @cached_property
     def metrics(self) -> DataFrame:
-        """pair_id, stage, candidates and results of each stage; times are the cluster's own affair."""
-        counts = [("matching", self.matches), ("alignment", self.regions), ("classification", self.operations), ("suppression", self.effects)]
-        out = [df.groupBy("pair_id").agg(F.count(F.lit(1)).alias("results")).withColumn("stage", F.lit(name)) for name, df in counts]
-        return reduce(DataFrame.unionByName, out)
+        """pair_id, stage, candidates and results of each stage of the compared pairs, zeros too; times are the cluster's own affair."""
+        sure = F.count_if(F.col("state") == match.CONFIRMED)
+        counts = [("MATCHING", self.matches, F.count(F.lit(1)), sure)]
+        counts += [(name, df, F.lit(0).cast("long"), F.count(F.lit(1))) for name, df in (("ALIGNMENT", self.regions), ("CLASSIFICATION", self.operations), ("SUPPRESSION", self.effects))]
+        out = [df.groupBy("pair_id").agg(c.alias("candidates"), n.alias("results")).withColumn("stage", F.lit(name)) for name, df, c, n in counts]
+        found = reduce(DataFrame.unionByName, out)
+        every = self.nodes.select("pair_id").distinct().withColumn("stage", F.explode(F.array(*(F.lit(name) for name, *_ in counts))))
+        return every.join(found, ["pair_id", "stage"], "left").fillna(0, ["candidates", "results"])
+
+    @cached_property
+    def node_counts(self) -> DataFrame:
+        """pair_id and the numbers of source and target nodes."""
+        return self.raw.groupBy("pair_id").agg(*(F.count_if(F.col("side") == x).alias(n) for x, n in ((SOURCE, "source_nodes"), (TARGET, "target_nodes"))))
+
+    def metrics_fingerprint(self) -> DataFrame:
+        """pair_id and a digest of the node counts and of each stage's counts."""
+        stages = self.metrics.groupBy("pair_id").agg(F.sort_array(F.collect_list(F.struct("stage", "candidates", "results"))).alias("stages"))  # a few stages
+        rows = self.node_counts.join(stages, "pair_id", "left")
+        return rows.select("pair_id", F.sha2(F.to_json(F.struct("source_nodes", "target_nodes", "stages")).cast("binary"), 256).alias("fingerprint"))
+
+    def performance_fingerprint(self) -> DataFrame:
+        """pair_id and a digest of how much was compared and found: nodes, candidates, matches, operations."""
+        matching = self.metrics.where("stage = 'MATCHING'").select("pair_id", "candidates", F.col("results").alias("matches"))
+        operations = self.metrics.where("stage = 'CLASSIFICATION'").select("pair_id", F.col("results").alias("operations"))
+        rows = self.node_counts.join(matching, "pair_id", "left").join(operations, "pair_id", "left")
+        return rows.select("pair_id", F.sha2(F.to_json(F.struct("source_nodes", "target_nodes", "candidates", "matches", "operations")).cast("binary"), 256).alias("fingerprint"))
 
     def fingerprint(self) -> DataFrame:
         """pair_id and a digest of the pair's operations, matches and effects, in their fixed order."""
@@ -114,9 +155,12 @@ class Result:
             self.matches.select("pair_id", F.to_json(F.struct("match_id", "state", "score", "confidence", "evidence")).alias("x")),
             self.effects.select("pair_id", F.to_json(F.struct("effect_id", "root_operation_id", "rule_id", "affected_refs")).alias("x")),
         ]
-        # one digest a row first: what is gathered for a pair is 32 bytes a row
+        # digests of rows, then of cells of rows: a pair with most rows is no single task's list
         rows = reduce(DataFrame.unionByName, parts).select("pair_id", F.sha2(F.col("x").cast("binary"), 256).alias("h"))
-        return rows.groupBy("pair_id").agg(F.sha2(F.array_join(F.sort_array(F.collect_list("h")), "").cast("binary"), 256).alias("fingerprint"))
+        digest = lambda c: F.sha2(F.array_join(F.sort_array(F.collect_list(c)), "").cast("binary"), 256)
+        cells = rows.groupBy("pair_id", F.substring("h", 1, 3).alias("cell")).agg(digest("h").alias("h"))
+        cells = cells.select("pair_id", F.concat("cell", "h").alias("h"))
+        return cells.groupBy("pair_id").agg(digest("h").alias("fingerprint"))
 
 
 def reconcile(nodes: DataFrame, bundle: Bundle) -> Result:

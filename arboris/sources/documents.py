@@ -14,7 +14,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from xml.parsers import expat
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -295,26 +295,59 @@ READERS = {"generic-xml-v1": xml_nodes, "dita-map-v1": dita_nodes, "generic-json
 PARSED = T.StructType([*NODES, T.StructField("error_code", T.StringType()), T.StructField("error_message", T.StringType())])
 
 
+_MAP = pa.map_(pa.string(), pa.string())
+_ARROW = pa.schema([
+    ("pair_id", pa.string()), ("side", pa.string()), ("node_ref", pa.string()), ("node_type", pa.string()), ("parent_ref", pa.string()), ("child_pos", pa.int64()), ("identity", _MAP), ("content", _MAP),
+    ("structural", _MAP), ("loc", pa.struct([("document_uri", pa.string()), ("line", pa.int32()), ("column", pa.int32()), ("xpath", pa.string())])), ("error_code", pa.string()), ("error_message", pa.string()),
+])
+#: Node rows that are handed to Spark at a time.
+BATCH_ROWS = 8192
+
+
+def _batch(rows: list[dict]) -> pa.RecordBatch:
+    maps = ("identity", "content", "structural")
+    columns = [[r.get(f.name) for r in rows] if f.name not in maps else [list(m.items()) if (m := r.get(f.name)) is not None else None for r in rows] for f in _ARROW]
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ARROW)], schema=_ARROW)
+
+
+def _dealt(documents: DataFrame) -> DataFrame:
+    """``documents`` on enough partitions to keep the cluster parsing: small documents come by the thousands in a
+    split that Spark takes to be small. Tables of more splits than cores stay as they are, and nothing is shuffled."""
+    spark = documents.sparkSession
+    size = int(documents._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    cores = spark.sparkContext.defaultParallelism
+    return documents if documents.isStreaming or size >= cores * split else documents.repartition(cores)
+
+
 def parse(documents: DataFrame, profile_id: str, caps: Caps = Caps()) -> DataFrame:
     """Node rows of ``documents`` (pair_id, side, content, document_uri), and a row with error_code and
-    error_message for each that is refused."""
+    error_message for each that is refused.
+
+    Rows of many documents go to Spark together; a document is held whole until it is known to be sound,
+    which ``caps`` bounds."""
     read = READERS[profile_id]
-    names = PARSED.names
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[dict] = []
         for batch in batches:
-            for pair_id, side, content, uri in zip(batch["pair_id"], batch["side"], batch["content"], batch["document_uri"]):
+            for pair_id, side, content, uri in zip(*(batch.column(i) for i in range(4))):
+                own = {"pair_id": pair_id.as_py(), "side": side.as_py()}
                 try:
-                    if content is None:
+                    if (text := content.as_py()) is None:
                         raise Refused("INVALID_INPUT", "no content")
-                    rows = [n | {"pair_id": pair_id, "side": side, "error_code": None, "error_message": None} for n in read(content, uri, caps)]
+                    made = [n | own for n in read(text, uri.as_py(), caps)]
                 except Refused as e:
-                    rows = [dict.fromkeys(names) | {"pair_id": pair_id, "side": side, "error_code": e.code, "error_message": str(e)}]
-                yield pd.DataFrame(rows, columns=names)
+                    made = [own | {"error_code": e.code, "error_message": str(e)}]
+                rows += made
+                while len(rows) >= BATCH_ROWS:
+                    yield _batch(rows[:BATCH_ROWS])
+                    rows = rows[BATCH_ROWS:]
+        yield _batch(rows)
 
     if "document_uri" not in documents.columns:
         documents = documents.withColumn("document_uri", F.lit(None).cast("string"))
-    return documents.select("pair_id", "side", "content", "document_uri").mapInPandas(run, PARSED)
+    return _dealt(documents.select("pair_id", "side", "content", "document_uri")).mapInArrow(run, PARSED)
 
 
 def nodes_of(parsed: DataFrame) -> DataFrame:

@@ -176,3 +176,61 @@ def test_quality_against_labels(spark, result):
     rates = by_pair(evaluate.ambiguity_rate(result), "ambiguity_rate")
     assert rates["repeated"] == [1.0] and rates["identical"] == [0.0]
     assert 0 < by_pair(evaluate.cascade_reduction(result), "cascade_reduction")["move"][0] < 1
+
+
+MANY = "r#r[" + ",".join(f"{{}}{i}:item{{{{t:x}}}}" for i in range(20)) + "]"
+
+
+def test_too_many_candidates_are_refused_openly(spark):
+    from arboris.plans import jobs
+
+    trees = table(spark, many=(MANY.format(*"s" * 20), MANY.format(*"t" * 20)), few=CASES["insert"])
+    for limit, complete in ((399, False), (400, True)):
+        r = reconcile(trees, DITA.with_(limits=Limits(max_candidates=limit)))
+        assert {x["pair_id"]: x["complete"] for x in r.status.collect()} == {"many": complete, "few": True}
+        matches, ops = by_pair(r.matches, "state"), by_pair(r.operations, "type")
+        assert len(matches["few"]) == 3 and ops["few"].count("INSERT") == 1
+        assert matches["many"].count("AMBIGUOUS") == (400 if complete else 0)
+        codes = by_pair(r.diagnostics, "code", "message")
+        assert (("RESOURCE_LIMIT_EXCEEDED", "candidates: 400") in codes["many"]) == (not complete) and not codes["few"]
+        assert ("explanation-incomplete" in by_pair(r.explanations, "explanation_id")["many"]) == (not complete)
+    text = "[" + ",".join("1" for _ in range(20)) + "]"
+    requests = spark.createDataFrame([("j", "generic-json-v1", text, text), ("k", "generic-json-v1", "[1]", "[1]")], "pair_id string, profile_id string, source_content string, locale_content string")
+    bundle = BUNDLES["generic-json-v1"].with_(limits=Limits(max_candidates=100))
+    batch = jobs.compare(requests, "fr-FR", bundles={"generic-json-v1": bundle})
+    assert {r["pair_id"]: (r["state"], r["error_code"]) for r in batch.jobs.collect()} == {"j": ("FAILED", "RESOURCE_LIMIT_EXCEEDED"), "k": ("COMPLETED", None)}
+
+
+def test_candidates_are_counted_as_they_are_made(spark, result):
+    from arboris.operators import match
+
+    sure = match.authoritative(result.evidence, DITA.matching).where("state = 'CONFIRMED'")
+    made = by_pair(match.candidates(result.evidence, sure, DITA.matching), "s", "t")
+    counted = by_pair(match.candidate_counts(result.evidence, sure, DITA.matching), "n")
+    assert all(len(made[p]) <= int(counted[p][0]) for p in made) and int(counted["repeated"][0]) == len(made["repeated"]) == 4
+
+
+EDGES = "pair_id string, side string, node_ref string, parent_ref string"
+
+
+def test_cycles_and_depths(spark):
+    from arboris.operators import evidence, validate
+    from arboris.storage import kept
+
+    rows = [("deep", "S", f"n{i}", f"n{i - 1}" if i else None) for i in range(3000)]
+    rows += [("ring", "S", "r", None), ("ring", "S", "a", "b"), ("ring", "S", "b", "a"), ("ring", "S", "c", "a"), ("ring", "S", "d", "r")]
+    rows += [("lost", "S", "r", None), ("lost", "S", "x", "nowhere"), ("lost", "S", "y", "x"), ("lost", "S", "r2", None), ("lost", "S", "r2", None)]
+    nodes = spark.createDataFrame(rows, EDGES)
+    depth = {(r["pair_id"], r["node_ref"]): r["depth"] for r in evidence.depths(nodes, kept).collect()}
+    assert all(depth["deep", f"n{i}"] == i + 1 for i in range(3000))
+    assert {k[1]: v for k, v in depth.items() if k[0] == "ring"} == {"r": 1, "d": 2}
+    found = {(r["pair_id"], r["code"], r["node_ref"]) for r in validate.tree_violations(nodes).collect()}
+    assert found == {
+        *(("ring", "CONTAINMENT_CYCLE", x) for x in "abc"), ("lost", "DANGLING_PARENT_REF", "x"), ("lost", "MULTIPLE_ROOTS", "r"), ("lost", "DUPLICATE_NODE_REF", "r2"),
+    }
+    first = {(r["pair_id"], r["code"], r["node_ref"], r["n"]) for r in validate.first_violations(validate.tree_violations(nodes)).collect()}
+    assert first == {("ring", "CONTAINMENT_CYCLE", "a", 3), ("lost", "DANGLING_PARENT_REF", "x", 3)}
+    tops = spark.createDataFrame([("deep", "S", "n10"), ("deep", "S", "n2990"), ("ring", "S", "a"), ("ring", "S", "r"), ("lost", "S", "x")], "pair_id string, side string, top string")
+    below = {(r["pair_id"], r["top"], r["node_ref"]) for r in evidence.descendants(nodes, tops, kept).collect()}
+    want = {("deep", t, f"n{i}") for t, a in (("n10", 11), ("n2990", 2991)) for i in range(a, 3000)}
+    assert below == {*want, ("ring", "r", "d"), ("lost", "x", "y")}
