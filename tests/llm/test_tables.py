@@ -230,18 +230,123 @@ def test_main_text(spark):
     assert all(r["n_chars"] == len(r["text"]) for r in got.values()) and html_wrapper.main_text(pages(spark, []).limit(0)).count() == 0
 
 
-def test_wrapper_is_a_union_free_expression():
-    w = html_wrapper.infer(["<ul><li>a</li><li>b</li></ul><p>same</p>", "<ul><li>c</li></ul><i>x</i><p>same</p>"])
-    assert "".join(map(str, w)) == "<ul>(<li>#</>)+</>(<i>x</>)?<p>same</>"
+def hashed(text):
+    return f"{html_wrapper.text_hash(text):x}"
 
 
-@pytest.mark.parametrize("tag", ["div", "span", "b"])
+def test_wrapper_is_a_union_free_expression():
+    w = html_wrapper.infer(["<ul><li>a</li><li>b</li></ul><p>same</p>", "<ul><li>c</li></ul><div>x</div><p>same</p>"])
+    assert str(w) == f"<ul>(<li>#</>)+</>(<div>{hashed('x')}</>)?<p>{hashed('same')}</>"
+    w = html_wrapper.infer(["<h2>a</h2><p>b</p>", "<h2>a</h2><p>c</p><h2>d</h2><p>e</p>"])
+    assert str(w) == "(<h2>#</><p>#</>)+"
+    assert str(html_wrapper.load(html_wrapper.dump(w))) == str(w)
+
+
+def test_sequences_are_aligned():
+    rng = random.Random(8)
+    for _ in range(300):
+        a, b = ([rng.choice("abcdefgh") for _ in range(rng.randrange(12))] for _ in range(2))
+        pairs = html_wrapper.common(a, b)
+        assert all(a[x] == b[y] for x, y in pairs) and all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:]))
+        assert bool(pairs) == bool(set(a) & set(b))
+    long = list(range(200_000))
+    assert len(html_wrapper.common(long, long[::2])) == 100_000
+
+
+TEXT = "words of the article that go on for a while, " * 5
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<body class='page has-sidebar'><article class='post has-comments'><h1>T</h1><p>{0}</p></article>", ["T", TEXT]),
+        ("<body><form id=aspnetForm><div id=c><h1>T</h1><p>{0}</p></div><label>q</label></form>", ["T", TEXT]),
+        ("<body><form id=aspnetForm><div id=c><p>{0}</p></div></form><form><p>Your mail</p></form>", [TEXT]),
+        ("<article><div style='overflow:hidden'><p>{0}</p></div><p aria-hidden=false>more</p><p aria-hidden='true'>x</p><p hidden>y</p><p style='display: none'>z</p></article>", [TEXT, "more"]),
+        ("<header><h1>Site</h1></header><article><header><h1 class='entry-header'>T</h1></header><p>{0}</p><footer>tags</footer></article>", ["T", TEXT]),
+        ("<main><article><h1>T</h1><p>{0}</p></article><section class='comments'><article class='comment'><p>{0} {0} {0}</p></article></section></main>", ["T", TEXT]),
+        ("<div class='content-with-sidebar'><div class=sidebar><p>{0}</p></div><div class=body><h1>T</h1><p>{0}</p><p>{0}</p></div></div>", ["T", TEXT, TEXT]),
+        ("<article><h1>T</h1><ul><li><a>one</a><li><a>two</a><li><a>three</a></ul><p>{0}<a>a</a> <a>b</a></p></article>", ["T", TEXT + "a b"]),
+        ("<div><p>{0}</p><article class=teaser><p>short</p></article></div>", [TEXT, "short"]),
+    ],
+)
+def test_kinds_of_pages(page, want):
+    page = page.format(TEXT)
+    want = "\n".join(" ".join(x.split()) for x in want)
+    assert html_wrapper.extract(page, None) == want
+    others = [page.replace(TEXT, TEXT.replace("words", f"n{i}")).replace("T</h1>", f"T{i}</h1>").replace(">more<", f">more{i}<").replace(">short<", f">short{i}<") for i in range(4)]
+    assert html_wrapper.extract(page, html_wrapper.judged(html_wrapper.infer([page, *others]))) == want
+
+
+LEGAL = "all rights reserved by the owner of this site and its partners in every land. " * 20
+
+
+def test_slots_decide(spark):
+    page = "<title>{0}</title><body><div class=a><p>{1}</p></div><div class=b><p>{0} tells of it</p><p>and goes on</p><div class=c>Follow us</div><h2>More</h2></div>"
+    rows = [(i, "http://h/", page.format(f"page {i}", LEGAL), "own") for i in range(5)]
+    own = html_wrapper.extract(rows[0][2], None)
+    assert own == LEGAL.strip()  # a page alone can't tell
+    few = html_wrapper.judged(html_wrapper.infer([r[2] for r in rows[:2]]))
+    assert html_wrapper.extract(rows[0][2], few) == own
+    got = {r["page_id"]: r["text"] for r in html_wrapper.main_text(spark.createDataFrame(rows, PAGE_SCHEMA)).collect()}
+    assert got == {i: f"page {i} tells of it\nand goes on\nMore" for i in range(5)}
+    # if the long text differs too, it is the article
+    rows = [(i, "http://h/", page.format(f"page {i}", LEGAL + f"no {i}"), "own") for i in range(5)]
+    got = {r["page_id"]: r["text"] for r in html_wrapper.main_text(spark.createDataFrame(rows, PAGE_SCHEMA)).collect()}
+    assert got == {i: LEGAL + f"no {i}" for i in range(5)}
+    # versions of one document have no fixed texts
+    rows = [(i, "http://h/", page.format("one", LEGAL) + f"<p>{i}</p>", "own") for i in range(5)]
+    got = {r["page_id"]: r["text"] for r in html_wrapper.main_text(spark.createDataFrame(rows, PAGE_SCHEMA)).collect()}
+    assert all(LEGAL.strip() in t for t in got.values())
+
+
+def made_page(rng, layout, i):
+    """A page of a random template and its article's blocks: written apart from the operator, as its second opinion."""
+    say = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    blocks = [("h1", f"title {i} {say(3)}")]
+    for _ in range(rng.randrange(2, 6)):
+        blocks.append((rng.choice(["p", "p", "blockquote", "h2"]), say(rng.randrange(20, 40))))
+        if rng.random() < 0.3:
+            blocks += [("li", say(6)), ("li", say(7))]
+    inner = ""
+    for k, (tag, text) in enumerate(blocks):
+        first, last = tag == "li" and blocks[k - 1][0] != "li", tag == "li" and (k + 1 == len(blocks) or blocks[k + 1][0] != "li")
+        inner += ("<ul>" if first else "") + f"<{tag}>{text}</{tag}>" + ("</ul>" if last else "")
+    menu = "<ul>" + "".join(f"<li><a href='/{x}'>{say(1)}</a></li>" for x in range(rng.randrange(3, 7))) + "</ul>"
+    parts = {
+        "menu": f"<div class=m0>{menu}</div>", "legal": f"<div class=x9><p>{LEGAL}</p></div>", "article": f"<div class=q>{inner}<div class=z>Thanks for reading</div></div>",
+        "ad": f"<div class=ad>{say(30)}</div>", "foot": f"<footer>{say(4)}</footer>",
+    }
+    return f"<html><head><title>{blocks[0][1]}</title></head><body>" + "".join(parts[p] for p in layout) + "</body></html>", "\n".join(t for _, t in blocks)
+
+
+@pytest.mark.parametrize("cell", [4096, 3])
+def test_random_templates(spark, cell):
+    rng = random.Random(9)
+    rows, want = [], {}
+    for host in range(12):
+        layout = ["menu", "legal", "article", "ad", "foot"]
+        rng.shuffle(layout)
+        for _ in range(rng.choice([4, 9, 20])):
+            i = len(rows)
+            page, want[i] = made_page(rng, layout, i)
+            rows += [(i, f"http://h{host}/x", page, "own")] * rng.choice([1, 1, 2])
+            want[len(rows) - 1] = want[i]
+    df = spark.createDataFrame(rows, PAGE_SCHEMA)
+    learnt = {r["host"]: r["wrapper"] for r in html_wrapper.wrappers(df, cell).collect()}
+    again = {r["host"]: r["wrapper"] for r in html_wrapper.wrappers(df.repartition(7), cell).collect()}
+    assert learnt == again and len(learnt) == 12
+    for i, url, page, _ in rows:
+        assert html_wrapper.extract(page, html_wrapper.load(learnt[url.split("/")[2]])) == want[i]
+
+
+@pytest.mark.parametrize("tag", ["div", "span", "b", "blockquote"])
 def test_deep_pages_are_read(tag):
-    page = "<html><body>" + f"<{tag}>x" * 3000 + "the end"
-    wrapper = html_wrapper.infer([page, page.replace("the end", "another"), page])
-    assert str(wrapper[0]).count(f"<{tag}>") >= 3000
-    for path in (html_wrapper.article_path(wrapper), ["no such"], None):
-        assert html_wrapper.extract(page, path).endswith("the end")
+    page = "<html><body>" + f"<{tag}>x" * 10_000 + "the end"
+    wrapper = html_wrapper.judged(html_wrapper.infer([page, page.replace("the end", "another"), page]))
+    assert str(html_wrapper.load(html_wrapper.dump(wrapper))) == str(wrapper)
+    for w in (wrapper, html_wrapper.Item(""), None):
+        assert html_wrapper.extract(page, w).endswith("the end")
 
 
 # --- conversations --------------------------------------------------------------
