@@ -10,17 +10,21 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own_dir: str | None = None
+_written: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster shares, as ``spark.checkpoint.dir`` names it.
 
-    Only where the session has none (tests on one machine) is a private one made.
+    Only on one machine is a private one made where the session has none: on a cluster executors
+    can't see each other's folders, so there it is an error.
     """
     global _own_dir
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
     if _own_dir is None:
         _own_dir = tempfile.mkdtemp(prefix="arboris-")
         atexit.register(shutil.rmtree, _own_dir, True)
@@ -32,6 +36,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     so a lost executor costs a reread and not the stages before."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -39,3 +44,12 @@ def kept(df: DataFrame) -> DataFrame:
     """``df`` as a staged table. A stage that several others read is written once: plans built on
     it start from a scan instead of holding a copy of all that led to it."""
     return staged(df, "stage")
+
+
+def release(spark: SparkSession) -> int:
+    """Remove the tables that this process has staged, and say how many. DataFrames built on them can't be read after."""
+    n = len(_written)
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
