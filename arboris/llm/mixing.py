@@ -18,11 +18,14 @@ weights are.
 
 Defined results: null text and text without words have size 0 and are never
 taken; null sources are one source, last in order; repeated rows are documents
-of their own; an empty table gives an empty mix; runs agree for a given seed.
+of their own; ties within a source go by a hash of id and text; other columns
+pass through ``texts`` untouched, whatever their names; an empty table gives an
+empty mix; runs agree for a given seed. Draws follow one rule for any total.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -33,7 +36,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from arboris.llm.common import WORD, small_batches, staged
+from arboris.llm.common import WORD, fresh, small_batches, staged
 
 _WORDS = re.compile(WORD)
 
@@ -60,20 +63,18 @@ class Source:
 
 def targets(sizes: list[int], weights: list[float], cap: float) -> list[float]:
     """Shares of the total size by weight, none above ``cap`` times its own size."""
-    total, out = float(sum(sizes)), [0.0] * len(sizes)
-    free = [i for i, s in enumerate(sizes) if s > 0]
-    left = total
-    while free:
-        by = left / sum(weights[i] for i in free)
-        full = [i for i in free if by * weights[i] > cap * sizes[i]]
-        if not full:
-            for i in free:
-                out[i] = by * weights[i]
+    out = [0.0] * len(sizes)
+    # those that reach the cap first come first
+    free = sorted((i for i, s in enumerate(sizes) if s > 0), key=lambda i: (cap * sizes[i] / weights[i], i))
+    left, weight = float(sum(sizes)), sum(weights[i] for i in free)
+    for n, i in enumerate(free):
+        if left * weights[i] <= cap * sizes[i] * weight:
+            by = left / weight
+            for j in free[n:]:
+                out[j] = by * weights[j]
             break
-        for i in full:
-            out[i] = float(cap * sizes[i])
-            left -= out[i]
-        free = [i for i in free if i not in full]
+        out[i] = float(cap * sizes[i])
+        left, weight = left - out[i], weight - weights[i]
     return out
 
 
@@ -90,26 +91,69 @@ def catalogue(sizes: list[tuple[str | None, int]], block: int, cap: float, weigh
     return out
 
 
-def shard_counts(totals: np.ndarray, shards: int, per_shard: int, shard: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Slots of each source in a shard, and in all shards before it."""
-    counts, before, low, high = totals.copy(), np.zeros_like(totals), 0, shards
-    n = int(totals.sum())
+def _log_rise(x: int, d: int) -> float:
+    """log((x + d)! / x!), without the cancellation that two large logarithms of factorials would bring."""
+    if min(x, x + d) < 10_000:
+        return math.lgamma(x + d + 1) - math.lgamma(x + 1)
+    y = x + 1
+    return (y + d - 0.5) * math.log1p(d / y) + d * (math.log(y) - 1) + (1 / (y + d) - 1 / y) / 12
+
+
+def hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
+    """How many of ``n`` things drawn from ``good`` and ``bad`` ones without replacement are good.
+
+    By ratio of uniforms (Stadlober's bounds), with integers of any size: the same rule for ten things and for 10**15.
+    """
+    total = good + bad
+    m, few = min(n, total - n), min(good, bad)
+    if m == 0 or few == 0:
+        k = 0
+    else:
+        p = few / total
+        mean, spread = m * p, math.sqrt(m * p * (1 - p) * ((total - m) / max(total - 1, 1)) + 0.5)
+        mode = (m + 1) * (few + 1) // (total + 2)
+        rest = total - few - m  # of the many, what would be left if no few were drawn
+        width, top = 1.7155277699214135 * spread + 0.8989161620588988, min(m, few)
+        while True:
+            u, v = rng.random(2)
+            if u == 0:
+                continue
+            x = mean + 0.5 + width * (v - 0.5) / u
+            if not 0 <= x < top + 1:
+                continue
+            k = int(x)
+            if rest + k < 0:
+                continue
+            d = k - mode
+            if 2 * math.log(u) <= -_log_rise(mode, d) - _log_rise(few - mode, -d) - _log_rise(m - mode, -d) - _log_rise(rest + mode, d):
+                break
+    if good > bad:
+        k = m - k
+    return k if m == n else good - k
+
+
+def shard_counts(totals: np.ndarray, shards: int, per_shard: int, shard: int, seed: int, known: dict | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Slots of each source in a shard, and in all shards before it. ``known`` keeps the splits for the shards that follow."""
+    counts, before, low, high = [int(x) for x in totals], [0] * len(totals), 0, shards
+    n = sum(counts)
+    known = {} if known is None else known
     while high - low > 1:
         mid = (low + high) // 2
-        left = min(n, mid * per_shard) - min(n, low * per_shard)
-        have = int(counts.sum())
-        if have >= 10**9:  # the draw takes no larger ones; the split is in proportion there
-            part = np.minimum(counts * left // have, counts)
-            rest = left - int(part.sum())
-            room = np.cumsum(counts - part)
-            part = part + np.diff(np.minimum(room, rest), prepend=0)
-        else:
-            part = np.random.default_rng([seed, low, high]).multivariate_hypergeometric(counts, left, method="marginals")
+        if (low, high) not in known:
+            if len(known) >= 256:
+                known.clear()
+            rng = np.random.default_rng([seed, low, high])
+            left, have, part = min(n, mid * per_shard) - min(n, low * per_shard), sum(counts), []
+            for c in counts:
+                part.append(hypergeometric(rng, c, have - c, left))
+                left, have = left - part[-1], have - c
+            known[low, high] = part
+        part = known[low, high]
         if shard < mid:
             counts, high = part, mid
         else:
-            counts, before, low = counts - part, before + part, mid
-    return counts, before
+            counts, before, low = [c - p for c, p in zip(counts, part)], [b + p for b, p in zip(before, part)], mid
+    return np.array(counts, np.int64), np.array(before, np.int64)
 
 
 def permuted(index: np.ndarray, n: int, seed: int, source: int, turn: np.ndarray) -> np.ndarray:
@@ -139,9 +183,9 @@ class Mix:
     def __init__(self, docs: DataFrame, block: int = 64, cap: float = 3, weights: tuple[float, ...] = (1, 2, 3), per_shard: int = 8192, seed: int = 7):
         self.docs, self.block, self.per_shard, self.seed = docs, block, per_shard, seed
         spark = docs.sparkSession
-        sizes = docs.select("doc_id", "source", _size().alias("size"))
+        sizes = docs.select("doc_id", "source", _size().alias("size"), F.xxhash64("doc_id", "text").alias("at"))
         # cells of a source, so that the running sum over a source is a sum over its cells first
-        self.sizes = staged(sizes.withColumn("cell", F.pmod(F.xxhash64("doc_id", "size"), F.lit(4096)).cast("int")), "mix-sizes")
+        self.sizes = staged(sizes.withColumn("cell", F.pmod("at", F.lit(4096)).cast("int")), "mix-sizes")
         totals = self.sizes.groupBy("source").agg(F.sum("size").alias("size")).collect()
         self.sources = catalogue([(r["source"], r["size"]) for r in totals], block, cap, weights)
         schema = "source string, source_no int, source_size long, target double"
@@ -154,9 +198,9 @@ class Mix:
         cells = known.groupBy("source_no", "cell").agg(F.sum("size").alias("words"))
         before = Window.partitionBy("source_no").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
         cells = cells.select("source_no", "cell", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("base"))
-        within = Window.partitionBy("source_no", "cell").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+        within = Window.partitionBy("source_no", "cell").orderBy("at", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
         known = known.withColumn("offset", F.coalesce(F.sum("size").over(within), F.lit(0)))
-        return known.join(cells, ["source_no", "cell"]).withColumn("start", F.col("base") + F.col("offset")).drop("base", "offset", "cell")
+        return known.join(cells, ["source_no", "cell"]).withColumn("start", F.col("base") + F.col("offset")).drop("base", "offset", "cell", "at")
 
     def slots(self) -> DataFrame:
         """The mix: source_no and block of each slot, in order of shard and slot.
@@ -172,9 +216,10 @@ class Mix:
         spark = self.docs.sparkSession
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known: dict = {}
             for b in batches:
                 for shard in b.column(0).to_pylist():
-                    counts, before = shard_counts(totals, shards, per_shard, shard, seed)
+                    counts, before = shard_counts(totals, shards, per_shard, shard, seed, known)
                     no, at = [], []
                     for s in np.flatnonzero(counts):
                         j = np.arange(before[s], before[s] + counts[s])
@@ -229,13 +274,15 @@ class Mix:
         # rows of equal doc_id, source and size can be cut alike: the n-th of them takes the n-th place
         cat = F.broadcast(self.catalogue.select("source_no", F.col("source").alias("_s")))
         keyed = docs.where("size > 0").join(cat, "source_no").select("source_no", "start", _key("_s", F.col("size")).alias("_key"))
-        texts, by = self.docs.withColumn("_key", _key("source", _size())), ["_key"]
+        key, place, passes = (fresh(self.docs, x) for x in ("_key", "_nth", "_passes"))
+        keyed = keyed.withColumnRenamed("_key", key)
+        texts, by = self.docs.withColumn(key, _key("source", _size())), [key]
         if not self.sizes.where("size > 0").groupBy("doc_id", "source", "size").count().where("count > 1").isEmpty():
-            nth = Window.partitionBy("_key")
-            keyed = keyed.withColumn("_nth", F.row_number().over(nth.orderBy("start")))
-            texts = texts.where("_key.size > 0").withColumn("_nth", F.row_number().over(nth.orderBy(F.xxhash64(*self.docs.columns))))
-            by = ["_key", "_nth"]
-        joined = texts.join(per.join(keyed, ["source_no", "start"]).select(*by, "passes"), by)
+            nth = Window.partitionBy(key)
+            keyed = keyed.withColumn(place, F.row_number().over(nth.orderBy("start")))
+            texts = texts.where(F.col(key)["size"] > 0).withColumn(place, F.row_number().over(nth.orderBy(F.xxhash64(*self.docs.columns))))
+            by = [key, place]
+        joined = texts.join(per.join(keyed, ["source_no", "start"]).select(*by, F.col("passes").alias(passes)), by)
         names, schema = self.docs.columns, self.docs.schema
 
         def cut(text: str, spans: list[dict]) -> str:
@@ -252,9 +299,9 @@ class Mix:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 take, made = [], []
-                for i, (text, passes) in enumerate(zip(b.column("text"), b.column("passes"))):
+                for i, (text, turns) in enumerate(zip(b.column("text"), b.column(passes))):
                     whole = text.as_py()
-                    for spans in passes.as_py():
+                    for spans in turns.as_py():
                         take.append(i)
                         made.append(cut(whole or "", spans))
                 rows = b.take(pa.array(take, pa.int64()))
