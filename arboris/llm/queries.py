@@ -54,8 +54,7 @@ def op8_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_threshold_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranges = max(4, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return sketch.edited_fingerprints(table(spark, sf_dir, "documents"), ranges)
+    return sketch.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
 def op10_host_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,11 +8,16 @@ hash, so that only a text without words has an empty sketch.
 
 Words are split at ASCII white space; a text of fewer than five words is one
 shingle. Defined results: null is the empty text; two empty sketches are alike
-(1.0), an empty and a non-empty one are not (0.0).
+(1.0), an empty and a non-empty one are not (0.0); where a sketch is a smallest
+hash alone, containment is all or nothing and no estimate; equal texts have
+equal sketches; repeated rows and rows of equal or null doc_id are documents of
+their own, next to each other in order of text; an empty table gives no rows;
+other columns are not looked at.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,15 +68,18 @@ def merge(a: Column, b: Column) -> Column:
     return F.when((F.size(low) > 0) | (F.size(both) == 0), low).otherwise(F.slice(both, 1, 1))
 
 
-def _range_of(key: Column, bounds: list[int]) -> Column:
-    """Number of the range that ``key`` is in: how many ``bounds`` are at or below it, found in two steps of about the root of their number."""
-    if not bounds:
-        return F.lit(0)
-    step = max(1, int(len(bounds) ** 0.5))
-    rows = [bounds[i : i + step] for i in range(0, len(bounds), step)]
-    outer = F.size(F.filter(F.array(*(F.lit(r[0]) for r in rows)), lambda b: b <= key))
-    inner = F.get(F.array(*(F.array(*(F.lit(x) for x in r)) for r in rows)), outer - 1)
-    return F.when(outer == 0, F.lit(0)).otherwise((outer - 1) * step + F.size(F.filter(inner, lambda b: b <= key)))
+def _range_of(key: Column, rows: Column) -> Column:
+    """Number of the range that ``key`` is in: how many bounds are at or below it. ``rows`` holds the bounds in
+    rows of equal length (the last may be shorter), so that it takes two steps of about the root of their number."""
+    outer = F.size(F.filter(rows, lambda r: F.get(r, F.lit(0)) <= key))
+    inner = F.size(F.filter(F.coalesce(F.get(rows, outer - 1), F.array().cast("array<bigint>")), lambda b: b <= key))
+    return F.when(outer == 0, F.lit(0)).otherwise((outer - 1) * F.size(F.get(rows, F.lit(0))) + inner)
+
+
+def ranges_for(df: DataFrame, text: str = "text", bytes_each: int = 16 << 20) -> int:
+    """How many key ranges hold about so many bytes of text each."""
+    size = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    return max(4, min(-(-size // bytes_each), 1 << 20))
 
 
 def with_next(df: DataFrame, key: str, columns: list[str], ranges: int) -> DataFrame:
@@ -79,30 +87,36 @@ def with_next(df: DataFrame, key: str, columns: list[str], ranges: int) -> DataF
 
     Rows are dealt into ``ranges`` key ranges whose bounds are keys that occur; the row at each
     bound also goes to the range before, where it only serves as the next row of the last one.
-    So the rows move once and no task sees more than a range. Null keys come first; rows of
-    equal keys are ordered by the other columns.
+    So the rows move once and no task sees more than a few ranges. The bounds are found by one
+    pass over the keys and are a value of the plan, not rows that the driver handles. Null keys
+    come first; rows of equal keys are ordered by the other columns.
     """
-    if ranges > 1:
-        q = df.select(F.min(key).alias("low"), F.percentile_approx(key, [i / ranges for i in range(1, ranges)], 100 * ranges).alias("q")).first()
-        low, bounds = q["low"], sorted(set(q["q"] or []) - {q["low"]})
-    else:
-        low, bounds = df.select(F.min(key)).first()[0], []
-    nulls = df.where(F.col(key).isNull()).limit(1).count() > 0
-    last = len(bounds)
     k = F.col(key)
-    at = F.coalesce(_range_of(k, bounds), F.lit(0))
-    first = k.isNull() if nulls else k.eqNullSafe(F.lit(low))  # the row that follows the last one
+    shares = F.lit(np.arange(1, max(2, ranges)) / ranges)  # one value, however many
+    edges = df.agg(F.min(k).alias("low"), F.percentile_approx(k, shares, F.lit(min(100 * ranges, 10**8))).alias("q"), F.max(k.isNull()).alias("nulls"))
+    bounds = F.array_sort(F.array_distinct(F.filter(F.coalesce("q", F.array().cast("array<bigint>")), lambda b: b > F.col("low"))))
+    edges = edges.select("low", bounds.alias("bounds"), F.coalesce("nulls", F.lit(False)).alias("nulls"))
+    step = F.greatest(F.lit(1), F.floor(F.sqrt(F.size("bounds"))).cast("int"))
+    cut = F.when(F.size("bounds") > 0, F.transform(F.sequence(F.lit(0), F.size("bounds") - 1, step), lambda i: F.slice("bounds", i + 1, step)))
+    edges = edges.select(F.struct("low", "nulls", F.size("bounds").alias("last"), F.coalesce(cut, F.array().cast("array<array<bigint>>")).alias("rows")).alias("e"))
+    df = df.withColumn("_e", edges.scalar())
+    e = F.col("_e")
+    at = F.coalesce(_range_of(k, e["rows"]), F.lit(0))
+    first = F.when(e["nulls"], k.isNull()).otherwise(k.eqNullSafe(e["low"]))  # the row that follows the last one
     own = F.struct(at.alias("range"), F.lit(0).alias("side"))
-    before = F.when(k.isin(bounds), F.struct((at - 1).alias("range"), F.lit(1).alias("side"))) if bounds else F.lit(None).cast("struct<range:int,side:int>")
-    wrapped = F.when(first, F.struct(F.lit(last).alias("range"), F.lit(2).alias("side")))
-    dealt = df.withColumn("_at", F.explode(F.filter(F.array(own, before, wrapped), lambda x: x.isNotNull())))
+    bound = F.exists(e["rows"], lambda r: F.array_contains(r, k))
+    before = F.when(bound, F.struct((at - 1).alias("range"), F.lit(1).alias("side")))
+    wrapped = F.when(first, F.struct(e["last"].alias("range"), F.lit(2).alias("side")))
+    dealt = df.withColumn("_at", F.explode(F.filter(F.array(own, before, wrapped), lambda x: x.isNotNull()))).drop("_e")
+    dealt = dealt.repartition(ranges, F.col("_at.range"))
     w = Window.partitionBy("_at.range").orderBy(F.col("_at.side"), F.col(key).asc_nulls_first(), *(F.col(c).asc_nulls_first() for c in columns))
     out = dealt.select("*", *(F.lead(c).over(w).alias(f"next_{c}") for c in columns))
     return out.where(F.col("_at.side") == 0).drop("_at")
 
 
-def edited_fingerprints(docs: DataFrame, ranges: int) -> DataFrame:
+def edited_fingerprints(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     """Fingerprints of each text and of its edit, whose last quarter is replaced by the beginning of the next text."""
+    ranges = ranges or ranges_for(docs)
     text = F.coalesce(F.col("text"), F.lit(""))
     base = with_sketch(docs.select("doc_id", text.alias("text")), "text", "sketch")
     rows = with_next(base, "doc_id", ["text", "sketch"], ranges)
