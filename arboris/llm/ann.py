@@ -1,9 +1,11 @@
 """Approximate nearest neighbours by inner product: inverted file, product-quantised residuals, exact reranking.
 
 Coarse centroids and the codebooks of their residuals are fitted on a sample of
-at most ``sample`` vectors (smallest hash of vec_id); every vector is indexed.
+``sample`` vectors, or 16 a list if that is more (smallest hash of vec_id); there
+are about sqrt(n) / 8 lists, and every vector is indexed.
 Lists are cut into blocks of about ``block_rows`` vectors, so that a list with a
-third of all vectors is many tasks' work. A query goes to the blocks of the
+third of all vectors is many tasks' work; so are the queries that come to a
+block, in chunks of about ``chunk_rows``. A query goes to the blocks of the
 lists nearest to it; there an asymmetric distance table ranks all codes, and the
 ``shortlist`` best are scored exactly, in double precision, with the original
 vectors. Their k-th score is a floor: every other vector of the block is scored
@@ -125,16 +127,17 @@ def _least_copies(x: np.ndarray, ids: np.ndarray, n: int) -> np.ndarray:
 
 
 def search(
-    vectors: DataFrame, is_query, k: int = 20, reach: float = 0.97, slices: int = 8, sample: int = 20_000, block_rows: int = 2048, shortlist: int = 160
+    vectors: DataFrame, is_query, k: int = 20, reach: float = 0.97, slices: int = 8, sample: int = 20_000, block_rows: int = 2048, chunk_rows: int = 4096, shortlist: int = 160
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest of each row that ``is_query`` (a condition) holds for."""
     rows = usable(vectors)
-    picked = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("embedding").toPandas()
+    n = rows.count()
+    lists = max(1, round(n**0.5 / 8))
+    # as the number of lists grows, so does what they are fitted on
+    picked = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(max(sample, 16 * lists)).select("embedding").toPandas()
     schema = "query_id long, rank int, vec_id long, score double"
     if not len(picked):
         return vectors.sparkSession.createDataFrame([], schema)
-    n = rows.count()
-    lists = 1 if n <= 1024 else min(4096, round(n**0.5 / 8))
     known = np.stack(picked["embedding"].to_numpy()).astype(np.float64)
     quantiser = Quantiser(known, lists, slices)
     probes = quantiser.lists_for(known, k, reach)
@@ -156,22 +159,42 @@ def search(
     per_list = F.array(*(F.lit(int(x)) for x in blocks))
     held = index.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.get(per_list, F.col("list"))).cast("int"))
 
+    def lists_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Queries (by place) and the lists that each visits."""
+        order = np.argsort(-(_matrix(column) @ shared.value.coarse.T), axis=1, kind="stable")
+        before = np.cumsum(sizes[order], 1) - sizes[order]
+        wanted = (np.arange(order.shape[1]) < probes) | (before < 8 * k)
+        q, p = np.nonzero(wanted & (sizes[order] > 0))
+        return q, order[q, p]
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(sizes), np.int64)
+        for b in batches:
+            if b.num_rows:
+                total += np.bincount(lists_of(b.column(1))[1], minlength=len(sizes))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["list", "n"])
+
+    asking = np.zeros(len(sizes), np.int64)
+    for r in small_batches(rows).where(is_query).mapInArrow(tally, "list int, n long").groupBy("list").agg(F.sum("n").alias("n")).collect():  # one row a list
+        asking[r["list"]] = r["n"]
+    chunks = np.maximum(1, -(-asking // chunk_rows))
+    held = held.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.get(F.array(*(F.lit(int(x)) for x in chunks)), F.col("list")) - 1)))
+
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            order = np.argsort(-(_matrix(b.column(1)) @ shared.value.coarse.T), axis=1, kind="stable")
-            before = np.cumsum(sizes[order], 1) - sizes[order]
-            wanted = (np.arange(order.shape[1]) < probes) | (before < 8 * k)
-            q, p = np.nonzero(wanted & (sizes[order] > 0))
-            at = order[q, p]
+            q, at = lists_of(b.column(1))
             times = blocks[at]
             q, at = np.repeat(q, times), np.repeat(at, times)
             block = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
             take = pa.array(q)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(take), pa.array(at.astype(np.int32)), pa.array(block.astype(np.int32)), b.column(1).take(take)], ["query_id", "list", "block", "embedding"])
+            ids = b.column(0).take(take)
+            chunk = ((ids.to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % chunks[at]
+            yield pa.RecordBatch.from_arrays([ids, pa.array(at.astype(np.int32)), pa.array(block.astype(np.int32)), pa.array(chunk.astype(np.int32)), b.column(1).take(take)], ["query_id", "list", "block", "chunk", "embedding"])
 
-    asked = small_batches(rows).where(is_query).mapInArrow(route, f"query_id long, list int, block int, embedding {kind}")
+    asked = small_batches(rows).where(is_query).mapInArrow(route, f"query_id long, list int, block int, chunk int, embedding {kind}")
 
     def scan(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         """The best of one block for each query that comes to it."""
@@ -222,7 +245,7 @@ def search(
                     o.append(v)
         return pa.table([pa.array(np.concatenate(o)) for o in out], ["query_id", "vec_id", "score"])
 
-    met = held.groupBy("list", "block").cogroup(asked.groupBy("list", "block")).applyInArrow(scan, "query_id long, vec_id long, score double")
+    met = held.groupBy("list", "block", "chunk").cogroup(asked.groupBy("list", "block", "chunk")).applyInArrow(scan, "query_id long, vec_id long, score double")
     met = met.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return met.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
