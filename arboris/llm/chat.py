@@ -13,9 +13,18 @@ per conversation (one small matrix a segment), and every segment is traced back
 and rendered on its own between its known end states. A conversation with a
 third of all turns is many tasks' work.
 
+A conversation may end with a user's or an assistant's turn only (ENDS); where it
+ends otherwise, empty turns are appended at the cost of insertions. Texts are
+escaped: each ``<|`` in a text becomes ``<||``, so no text can look like a mark,
+and ``unescaped`` gives it back.
+
+Turns of one number, or without one, are segments by their order, so that a
+segment never holds more than SEGMENT turns.
+
 Defined results: unknown and null roles are relabelled; null text is empty; turns
 come by turn, role, text, null turns last; repeated turns are turns; ties go to
-the role first in ROLES; an empty table gives no rows.
+the role first in ROLES; turns without conv_id are one conversation; other
+columns are not looked at; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from arboris.llm.common import small_batches, staged
@@ -33,6 +42,8 @@ ROLES = ("system", "user", "assistant", "tool")
 START = len(ROLES)
 #: What may follow what.
 LEGAL = {"start": ("system", "user"), "system": ("user",), "user": ("assistant",), "assistant": ("user", "tool"), "tool": ("assistant", "tool")}
+#: Roles of the last turn that a conversation may have.
+ENDS = ("user", "assistant")
 ALIASES = {"human": "user", "prompter": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant", "ai": "assistant", "function": "tool", "developer": "system"}
 MERGE, NAME, RELABEL, INSERT = 1, 1, 2, 3
 SEGMENT = 256
@@ -56,6 +67,26 @@ def _paths() -> tuple[np.ndarray, dict[tuple[int, int], list[int]]]:
 _GAP, _VIA = _paths()
 
 
+def _endings() -> tuple[np.ndarray, list[list[int]]]:
+    """Cost of ending in each state, and the empty turns that it takes."""
+    ways = []
+    for s in range(START + 1):
+        fits = [[]] if s == START or ROLES[s] in ENDS else [[*_VIA[s, q], q] for q in range(START) if ROLES[q] in ENDS and (s, q) in _VIA]
+        ways.append(min(fits, key=len))
+    return np.array([len(w) * INSERT for w in ways]), ways
+
+
+_CLOSE, _LAST = _endings()
+
+
+def escaped(text: str) -> str:
+    return text.replace("<|", "<||")
+
+
+def unescaped(text: str) -> str:
+    return text.replace("<||", "<|")
+
+
 def role_number(role: str | None) -> int:
     """Number of a role, -1 if it is none."""
     name = (role or "").strip().lower()
@@ -92,7 +123,7 @@ def trace(steps: list[np.ndarray], entry: int, end: int | None = None) -> tuple[
         total = at[:, None] + m
         back.append(total.argmin(0))
         at = np.minimum(total.min(0), _FAR)
-    q = int(at.argmin()) if end is None else end
+    q = int((at + _CLOSE).argmin()) if end is None else end
     cost, way = int(at[q]), []
     for b in reversed(back):
         way.append(q)
@@ -106,33 +137,37 @@ def rendered(turns: list[tuple[int, str]], way: list[int], entry: int, last: boo
     for (role, text), q in zip(turns, way):
         label = NAME if role < 0 else 0 if q == role else RELABEL
         if q == state and MERGE + label <= _GAP[state, q] * INSERT + label:
-            out.append("\n" + text)
+            out.append("\n" + escaped(text))
             continue
         for e in [*_VIA[state, q], q]:
             out.append(("" if state == START else "<|end|>\n") + f"<|{ROLES[e]}|>\n")
             n, state = n + 1, e
-        out.append(text)
+        out.append(escaped(text))
     if last and state != START:
+        for e in _LAST[state]:
+            out.append(f"<|end|>\n<|{ROLES[e]}|>\n")
+            n += 1
         out.append("<|end|>\n")
     return "".join(out), n
 
 
 def repaired(turns: DataFrame, segment: int = SEGMENT) -> DataFrame:
-    """conv_id, part, n_turns, n_repaired (turns that start in the part), cost and rendered text,
+    """conv_id, part (from 0), n_turns, n_repaired (turns that start in the part), cost and rendered text,
     a row for each conversation and segment; ``turns`` has conv_id, turn, role, text."""
     part = F.coalesce(F.floor(F.col("turn") / segment).cast("long"), F.lit(2**62))
-    one = F.struct(F.col("turn").isNull().alias("late"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    grouped = turns.groupBy("conv_id", part.alias("part")).agg(F.sort_array(F.collect_list(one)).alias("turns"))
-    grouped = staged(grouped.select("conv_id", "part", F.col("turns.role").alias("roles"), F.col("turns.text").alias("texts")), "segments")
-    conv = grouped.schema["conv_id"].dataType.simpleString()
+    rows = turns.select("conv_id", part.alias("part"), F.struct(F.col("turn").isNull().alias("late"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("one"))
+    order = F.row_number().over(Window.partitionBy("conv_id", "part").orderBy("one"))
+    grouped = rows.withColumn("sub", F.floor((order - 1) / segment).cast("long")).groupBy("conv_id", "part", "sub").agg(F.sort_array(F.collect_list("one")).alias("turns"))
+    grouped = staged(grouped.select("conv_id", F.struct("part", "sub").alias("at"), F.col("turns.role").alias("roles"), F.col("turns.text").alias("texts")), "segments")
+    conv, at_type = (grouped.schema[c].dataType.simpleString() for c in ("conv_id", "at"))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             costs = [chain_costs([role_number(r) for r in x]).ravel().tolist() for x in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(costs, pa.list_(pa.int64()))], ["conv_id", "part", "costs"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(costs, pa.list_(pa.int64()))], ["conv_id", "at", "costs"])
 
-    matrices = small_batches(grouped).select("conv_id", "part", "roles").mapInArrow(measure, f"conv_id {conv}, part long, costs array<long>")
-    chains = matrices.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("part", "costs"))).alias("chain"))
+    matrices = small_batches(grouped).select("conv_id", "at", "roles").mapInArrow(measure, f"conv_id {conv}, at {at_type}, costs array<long>")
+    chains = matrices.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("at", "costs"))).alias("chain"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -141,13 +176,13 @@ def repaired(turns: DataFrame, segment: int = SEGMENT) -> DataFrame:
                 _, way = trace([np.array(c["costs"]).reshape(START + 1, -1) for c in chain], START)
                 for k, c in enumerate(chain):
                     take.append(i)
-                    rows.append((c["part"], way[k - 1] if k else START, way[k], k == len(chain) - 1))
-            cols = list(zip(*rows)) or [(), (), (), ()]
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(take, pa.int64())), *(pa.array(c, k) for c, k in zip(cols, kinds))], ["c", "p", "entry", "end", "last"])
+                    rows.append((c["at"]["part"], c["at"]["sub"], k, way[k - 1] if k else START, way[k], k == len(chain) - 1))
+            cols = list(zip(*rows)) or [()] * 6
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(take, pa.int64())), *(pa.array(c, k) for c, k in zip(cols, kinds))], ["c", "p", "s", "no", "entry", "end", "last"])
 
-    placed = small_batches(chains).mapInArrow(place, f"c {conv}, p long, entry int, end int, last boolean")
-    both = grouped.join(placed, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("part") == F.col("p"))).drop("c", "p")
+    placed = small_batches(chains).mapInArrow(place, f"c {conv}, p long, s long, no long, entry int, end int, last boolean")
+    both = grouped.join(placed, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("at.part") == F.col("p")) & (F.col("at.sub") == F.col("s")))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -155,6 +190,7 @@ def repaired(turns: DataFrame, segment: int = SEGMENT) -> DataFrame:
             for roles, texts, entry, end, last in zip(*(b.column(i).to_pylist() for i in range(2, 7))):
                 numbers = [role_number(r) for r in roles]
                 total, way = trace([_STEP[r] for r in numbers], entry, end)
+                total += int(_CLOSE[end]) if last else 0
                 out, k = rendered(list(zip(numbers, texts)), way, entry, last)
                 n.append(len(roles)), made.append(k), cost.append(total), text.append(out)
             yield pa.RecordBatch.from_arrays(
@@ -162,5 +198,5 @@ def repaired(turns: DataFrame, segment: int = SEGMENT) -> DataFrame:
                 ["conv_id", "part", "n_turns", "n_repaired", "cost", "rendered"],
             )
 
-    both = both.select("conv_id", "part", "roles", "texts", "entry", "end", "last")
+    both = both.select("conv_id", F.col("no").alias("part"), "roles", "texts", "entry", "end", "last")
     return small_batches(both).mapInArrow(write, f"conv_id {conv}, part long, n_turns long, n_repaired long, cost long, rendered string")
