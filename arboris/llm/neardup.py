@@ -38,21 +38,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from arboris.llm.common import small_batches, staged, text_blocks
+from arboris.llm.common import fresh, small_batches, staged, text_blocks
 
 K = 64
 MATCHES = 30
 SHINGLE = 5
 _PREFIX = K - MATCHES + 1
-_BUCKETS = 1 << 16
 #: Cells of the bound, and sets under a pair from which it is compared in blocks of so many sets.
 CELLS = 256
 CROWD = 64
 BLOCK = 1024
 #: Leaders that a set is compared with in full; what they leave apart is compared across components.
 LEADERS = 3
-#: Bits of the filter that keeps texts without a candidate from being shingled again.
-_FILTER = 1 << 22
 
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(0, 2**64, 256, np.uint64)
@@ -166,7 +163,7 @@ def _postings(reps: DataFrame, rank: np.ndarray) -> DataFrame:
             if not b.num_rows:
                 continue
             v = b.column(2).flatten().to_numpy().reshape(-1, K).view(np.uint32).astype(np.int64)
-            by_rarity = (shared.value[v & (_BUCKETS - 1)] << 40) | coordinate | v
+            by_rarity = (shared.value[v & (len(shared.value) - 1)].astype(np.int64) << 40) | coordinate | v
             by_rarity = np.partition(by_rarity, _PREFIX - 1, axis=1)[:, :_PREFIX]
             rows = np.repeat(np.arange(len(v)), _PREFIX)
             yield pa.RecordBatch.from_arrays(
@@ -198,13 +195,15 @@ def _matching(pairs: DataFrame, reps: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """doc_id and its whole set as bytes, for the ids in ``wanted`` and few others: a bit map of fixed
-    size, by hash of the id, says which texts are shingled again."""
-    spot = F.pmod(F.xxhash64("doc_id"), F.lit(_FILTER))
+    """doc_id and its whole set as bytes, each once, for the ids in ``wanted`` and few others: a bit map, by hash
+    of the id, says which texts are shingled again. Its size follows the number of ids, up to 16 MB."""
+    n = wanted.count()
+    bits_held = 1 << min(max(22, (8 * n).bit_length()), 27)
+    spot = F.pmod(F.xxhash64("doc_id"), F.lit(bits_held))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("spot").cast("int").bitwiseAND(63))
     words = wanted.select(spot.alias("spot")).groupBy(F.shiftright("spot", 6).alias("word")).agg(F.bit_or(bit).alias("bits"))
-    bits = np.zeros(_FILTER // 64, np.int64)
-    for r in words.collect():  # at most _FILTER / 64 rows
+    bits = np.zeros(bits_held // 64, np.int64)
+    for r in words.toLocalIterator():  # at most bits_held / 64 rows
         bits[r["word"]] = r["bits"]
     shared = docs.sparkSession.sparkContext.broadcast(bits.view(np.uint64))
 
@@ -213,10 +212,14 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             at = b.column(1).to_numpy()
             b = b.take(pa.array(np.flatnonzero((shared.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1))))
             for i, j, texts in text_blocks(b.column(2)):
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array([s.tobytes() for s in shingle_sets(texts)], pa.binary())], ["doc_id", "items"])
+                sets = shingle_sets(texts)
+                same = [int(np.sum(_mix(s + np.uint64(1)), dtype=np.uint64).view(np.int64)) for s in sets]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(same, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "same", "items"])
 
     whole = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return small_batches(whole).select("doc_id", spot.alias("spot"), "text").mapInArrow(run, "doc_id long, items binary")
+    sets = small_batches(whole).select("doc_id", spot.alias("spot"), "text").mapInArrow(run, "doc_id long, same long, items binary")
+    # a row that repeats another must not multiply the pairs it is in; the joins that follow are by doc_id too
+    return sets.repartition("doc_id").dropDuplicates(["doc_id", "same"]).drop("same")
 
 
 def similar_enough(common: int, a: int, b: int) -> bool:
@@ -323,16 +326,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id that links lead to) and kept, per document."""
     profiles = staged(_profiles(docs), "profiles")
     full = profiles.where("n_shingles > 0")
-    classes = full.groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"))
-    reps = full.join(classes.where("rep is not null").select("c1", "c2", F.col("rep").alias("doc_id")), ["c1", "c2", "doc_id"])
-    reps = staged(reps.select("doc_id", F.col("n_shingles").alias("n"), "sig"), "reps")
-
-    counts = np.zeros(_BUCKETS, np.int64)
-    seen = reps.select(F.explode("sig").alias("v")).groupBy(F.col("v").bitwiseAND(_BUCKETS - 1).alias("bucket")).count()
-    for r in seen.collect():  # at most _BUCKETS rows
+    # equal sets have equal signatures: one row of a class stands for all, whatever their number
+    classes = staged(full.groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.any_value("n_shingles").alias("n"), F.any_value("sig").alias("sig")), "classes")
+    reps = classes.where("rep is not null").select(F.col("rep").alias("doc_id"), "n", "sig")
+    classes = classes.select("c1", "c2", "rep")
+
+    # buckets follow the number of sets, up to 4 MB of ranks, so that they can tell rare pairs from common ones
+    buckets = 1 << min(max(16, reps.count().bit_length()), 20)
+    counts = np.zeros(buckets, np.int64)
+    seen = reps.select(F.explode("sig").alias("v")).groupBy(F.col("v").bitwiseAND(buckets - 1).alias("bucket")).count()
+    for r in seen.toLocalIterator():  # at most ``buckets`` rows
         counts[r["bucket"]] = r["count"]
-    rank = np.empty(_BUCKETS, np.int64)
-    rank[np.argsort(counts, kind="stable")] = np.arange(_BUCKETS)
+    rank = np.empty(buckets, np.int32)
+    rank[np.argsort(counts, kind="stable")] = np.arange(buckets)
     postings = _postings(reps, rank)
 
     # every set with one leader under each pair
@@ -379,12 +385,13 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each group of near duplicates. Rows that repeat an id count as one, and
     one of them stays; rows without an id are nodes by their text here, above all ids."""
     own = F.lit(1 << 62) + F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND((1 << 61) - 1)
-    rows = docs.withColumn("_node", F.coalesce(F.col("doc_id").cast("long"), own))
-    groups = near_duplicates(rows.select(F.col("_node").alias("doc_id"), "text"))
-    kept = staged(groups.where("kept").groupBy(F.col("doc_id").alias("_node")).count(), "kept")
-    repeated = kept.where("count > 1").select("_node")
+    node, rank = fresh(docs, "_node"), fresh(docs, "_rn")
+    rows = docs.withColumn(node, F.coalesce(F.col("doc_id").cast("long"), own))
+    groups = near_duplicates(rows.select(F.col(node).alias("doc_id"), "text"))
+    kept = staged(groups.where("kept").groupBy(F.col("doc_id").alias(node)).agg(F.count(F.lit(1)).alias(rank)), "kept")
+    repeated = kept.where(F.col(rank) > 1).select(node)
     if repeated.isEmpty():
-        return rows.join(kept, "_node", "left_semi").drop("_node")
-    first = Window.partitionBy("_node").orderBy(F.xxhash64(*docs.columns))
-    one = rows.join(repeated, "_node", "left_semi").withColumn("_rn", F.row_number().over(first)).where("_rn = 1").drop("_rn")
-    return rows.join(kept.where("count = 1"), "_node", "left_semi").unionByName(one).drop("_node")
+        return rows.join(kept.select(node), node, "left_semi").drop(node)
+    first = Window.partitionBy(node).orderBy(F.xxhash64(*docs.columns))
+    one = rows.join(repeated, node, "left_semi").withColumn(rank, F.row_number().over(first)).where(F.col(rank) == 1).drop(rank)
+    return rows.join(kept.where(F.col(rank) == 1).select(node), node, "left_semi").unionByName(one).drop(node)
