@@ -15,16 +15,17 @@ and bucket, whatever the size of the corpus. Prediction reads every whole text.
 
 Defined results: null text or no letter: ``und`` with score 0; no learned
 language: ``und``; ties go to the language that sorts first; repeated rows give
-equal results; other columns are not looked at.
+equal results (in learning, a repeated row counts each time); an empty table
+gives no rows; other columns pass through.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,7 +34,7 @@ from arboris.llm.common import small_batches, text_blocks
 
 BUCKETS = 1 << 16
 CLASSES = 256
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def _trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -143,15 +144,13 @@ def fit(docs: DataFrame, per_language: int = 1500) -> Model:
     sample = docs.where(F.col("text").isNotNull() & (F.xxhash64("doc_id") <= limits[F.col("lang")])).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(languages), BUCKETS), np.int64)
         number = {x: i for i, x in enumerate(languages)}
         for b in batches:
             langs = np.array([number[x] for x in b.column(0).to_pylist()], np.int64)
             for i, j, texts in text_blocks(b.column(1)):
                 bucket, owner = _trigrams(texts)
-                total += np.bincount(langs[i:j][owner] * BUCKETS + bucket, minlength=total.size).reshape(total.shape)
-        i, j = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(total[i, j])], ["lang_no", "bucket", "n"])
+                at, n = np.unique(langs[i:j][owner] * BUCKETS + bucket, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array((at // BUCKETS).astype(np.int32)), pa.array((at % BUCKETS).astype(np.int32)), pa.array(n)], ["lang_no", "bucket", "n"])
 
     parts = small_batches(sample).mapInArrow(count, "lang_no int, bucket int, n long").groupBy("lang_no", "bucket").agg(F.sum("n").alias("n"))
     got = parts.toPandas()
@@ -160,11 +159,12 @@ def fit(docs: DataFrame, per_language: int = 1500) -> Model:
     return Model(languages, counts)
 
 
-def predict(docs: DataFrame, model: Model, charge: float = 2.0) -> DataFrame:
+def predict(docs: DataFrame, model: Model, charge: float = 2.0, names: tuple[str, str, str] = ("lang_pred", "score", "languages")) -> DataFrame:
     """``docs`` with lang_pred, score (the proportion of that language), and languages: all that
-    the selected set holds, with their proportions."""
+    the selected set holds, with their proportions. Columns of ``docs`` that have one of these
+    ``names`` are replaced; other names keep them."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    added = T.StructType().add("lang_pred", T.StringType()).add("score", T.DoubleType()).add("languages", T.MapType(T.StringType(), T.DoubleType()))
+    added = T.StructType().add(names[0], T.StringType()).add(names[1], T.DoubleType()).add(names[2], T.MapType(T.StringType(), T.DoubleType()))
     keep = [f for f in docs.schema if f.name not in added.names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
