@@ -113,7 +113,7 @@ class _Window:
     """Bytes of a file from an offset on, read a chunk at a time as they are asked for."""
 
     def __init__(self, stream, size: int, start: int):
-        self.stream, self.size, self.start, self.data = stream, size, start, b""
+        self.stream, self.size, self.start, self.data = stream, size, start, bytearray()
 
     @property
     def end(self) -> int:
@@ -129,7 +129,8 @@ class _Window:
         return True
 
     def drop(self, upto: int) -> None:
-        self.data, self.start = self.data[upto - self.start :], upto
+        del self.data[: upto - self.start]
+        self.start = upto
 
 
 def _decoded(w: _Window, at: int) -> tuple[bytes, int] | None:
