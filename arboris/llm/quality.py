@@ -130,10 +130,10 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = 800, dims: int = 32
     return Model(counts, got["quality"].to_numpy(), dims)
 
 
-def predict(docs: DataFrame, model: Model, k: int = 15) -> DataFrame:
-    """``docs`` with score: the share of the vote for label 1."""
+def predict(docs: DataFrame, model: Model, k: int = 15, name: str = "score") -> DataFrame:
+    """``docs`` with score: the share of the vote for label 1. A column of ``docs`` of that ``name`` is replaced."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    keep = [f for f in docs.schema if f.name != "score"]
+    keep = [f for f in docs.schema if f.name != name]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -142,6 +142,6 @@ def predict(docs: DataFrame, model: Model, k: int = 15) -> DataFrame:
                 texts = [x or "" for x in raw]
                 for a in range(0, len(texts), 128):
                     scores.append(shared.value.score(features(texts[a : a + 128]), k))
-            yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in keep), pa.array(np.concatenate(scores))], [*(f.name for f in keep), "score"])
+            yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in keep), pa.array(np.concatenate(scores))], [*(f.name for f in keep), name])
 
-    return small_batches(docs).mapInArrow(run, T.StructType([*keep, T.StructField("score", T.DoubleType())]))
+    return small_batches(docs).mapInArrow(run, T.StructType([*keep, T.StructField(name, T.DoubleType())]))

@@ -2,7 +2,14 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which ``run``
 writes as Parquet in the shared folder and rereads for the next one. All but the
-last return the columns of ``documents``.
+last return the columns of ``documents``, whatever these are called.
+
+Defined results: documents without a letter (null and empty texts too) go in the
+first stage; null doc_id, lang and source are values like others; of rows that
+repeat a document one stays, in the third stage; of equal documents the one of
+the smallest doc_id stays; very long texts are read whole; extra columns pass
+through the first four stages and a column of any name is kept; an empty table
+gives an empty table at every stage.
 """
 
 from __future__ import annotations
@@ -14,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arboris.llm import bpe, langid, mixing, neardup, quality
-from arboris.llm.common import held_out, shared_dir, table
+from arboris.llm.common import fresh, held_out, shared_dir, table
 
 #: A document goes if its foremost language has less than this share of it.
 LEAST_SHARE = 0.5
@@ -25,15 +32,17 @@ LEAST_QUALITY = 0.5
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with letters and a language of which they hold at least LEAST_SHARE."""
     model = langid.fit(docs.where(~held_out(F.col("doc_id"))))
-    out = langid.predict(docs, model).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE))
+    pred, score, _ = names = tuple(fresh(docs, x) for x in ("_lang_pred", "_score", "_languages"))
+    out = langid.predict(docs, model, names=names).where((F.col(pred) != "und") & (F.col(score) >= LEAST_SHARE))
     return out.select(*docs.columns)
 
 
 def by_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the labelled neighbours take to be good."""
     labels = table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id")))
-    out = quality.predict(docs, quality.fit(docs, labels))
-    return out.where(F.col("score") >= LEAST_QUALITY).select(*docs.columns)
+    score = fresh(docs, "_score")
+    out = quality.predict(docs, quality.fit(docs, labels), name=score)
+    return out.where(F.col(score) >= LEAST_QUALITY).select(*docs.columns)
 
 
 def by_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -87,6 +87,8 @@ def test_language_mixtures(spark):
     mix = langid.predict(docs(spark, [(1, text("aa", 60) + " " + text("bb", 30)), *ODD]), model).collect()
     assert mix[0]["lang_pred"] == "aa" and set(mix[0]["languages"]) == {"aa", "bb"} and abs(mix[0]["score"] - 2 / 3) < 0.1
     assert {r["lang_pred"] for r in mix if r["text"] is None or not any(c.isalpha() for c in r["text"])} == {"und"}
+    signs = langid.predict(docs(spark, [(1, "² ½ ³"), (2, "⑤"), (3, "٣ 12"), (4, "ª")]), model).collect()
+    assert [r["lang_pred"] == "und" for r in signs] == [True, True, True, False]
     empty = langid.fit(train.limit(0))
     assert {r["lang_pred"] for r in langid.predict(train, empty).collect()} == {"und"}
     assert langid.predict(train.limit(0), model).count() == 0
@@ -151,9 +153,15 @@ def test_sketches(spark):
             a, b = shingles(text), shingles(edited)
             if len(a) > 200:
                 assert abs(got[i]["near_edited"] - len(a & b) / len(a | b)) < 0.25
+            own, new, then = (set(re.findall(".{16}", x)) for x in (got[i]["fingerprint"], got[i]["edited_fingerprint"], got[order[(order.index((i, dict(rows)[i])) + 1) % len(order)][0]]["fingerprint"]))
+            for x, y, name in ((own, new, "near_edited"), (own, then, "near_next")):
+                assert got[i][name] == pytest.approx(len(x & y) / len(x | y) if x | y else 1.0)
+            assert len(own) == len(set(own)) and (not a or own) and (len(a) < 40 or abs(len(own) / len(a) - 1 / sketch.FRACTION) < 0.25)
     assert got[4]["fingerprint"] == "" and got[5]["fingerprint"] != "" and got[5]["near_edited"] == 1.0
     assert sketch.edited_fingerprints(docs(spark, rows).limit(0), 4).count() == 0
-    assert sketch.edited_fingerprints(docs(spark, ODD), 3).count() == len(ODD)
+    assert sketch.edited_fingerprints(docs(spark, ODD), 3).count() == sketch.edited_fingerprints(docs(spark, ODD)).count() == len(ODD)
+    same = sketch.edited_fingerprints(docs(spark, [(i, rows[10 + i % 3][1]) for i in range(30)]), 5).collect()
+    assert len({r["fingerprint"] for r in same}) == 3 and len({(r["fingerprint"], r["doc_id"] % 3) for r in same}) == 3
 
 
 def test_sketches_unite(spark):
@@ -212,6 +220,16 @@ def test_near_duplicates_odd_rows(spark):
     assert {r["doc_id"] for r in neardup.one_of_each(df).collect()} >= {1, 2, 3, 4, 5, 7}
 
 
+def test_repeated_rows_multiply_nothing(spark):
+    rng = random.Random(12)
+    base = words(rng, 80).split()
+    rows = [(1, " ".join(base))] * 60 + [(2, " ".join([*base[:-1], "other"]))] * 60 + [(2, "another text of the same id " * 4)] * 3
+    got = neardup.near_duplicates(docs(spark, rows)).collect()
+    assert len(got) == 123 and {(r["doc_id"], r["component_id"]) for r in got} == {(1, 1), (2, 1)}
+    pairs = spark.createDataFrame([(1, 2)], "a long, b long")
+    assert neardup._confirmed(pairs, docs(spark, rows)).count() == 1
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i + 1, i) for i in range(40)] + [(100, 101)], "a long, b long")
     got = {r["node"]: r["component"] for r in neardup.components(links).collect()}
