@@ -37,7 +37,7 @@ CLASSES = 256
 _LETTER = regex.compile(r"\p{L}")
 
 
-def _trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Bucket and text number of each trigram; each text stands between spaces."""
     joined = [" " + x.lower() + " " for x in texts]
     cps = np.frombuffer("".join(joined).encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -148,7 +148,7 @@ def fit(docs: DataFrame, per_language: int = 1500) -> Model:
         for b in batches:
             langs = np.array([number[x] for x in b.column(0).to_pylist()], np.int64)
             for i, j, texts in text_blocks(b.column(1)):
-                bucket, owner = _trigrams(texts)
+                bucket, owner = trigrams(texts)
                 at, n = np.unique(langs[i:j][owner] * BUCKETS + bucket, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array((at // BUCKETS).astype(np.int32)), pa.array((at % BUCKETS).astype(np.int32)), pa.array(n)], ["lang_no", "bucket", "n"])
 
@@ -174,7 +174,7 @@ def predict(docs: DataFrame, model: Model, charge: float = 2.0, names: tuple[str
             pred, score, sets = [], [], []
             for i, j, raw in text_blocks(b.column("text")):
                 texts = [x or "" for x in raw]
-                bucket, owner = _trigrams(texts)
+                bucket, owner = trigrams(texts)
                 c = np.bincount(owner * k + m.class_of[bucket], minlength=(j - i) * k).reshape(j - i, k).astype(float)
                 pi = proportions(c, m.likelihood, charge) if m.languages else None
                 for x, text in enumerate(texts):

@@ -1,7 +1,9 @@
 """Quality classifier: nearest-neighbour voting in a latent semantic space.
 
-Features are trigrams of character kinds (lower case, upper case, digit, each
-common mark, ...), weighted by log frequency and rarity. A singular value
+Terms are hashed trigrams of lower-cased characters (what is said), trigrams of
+character kinds (lower case, upper case, digit, each common mark, ...: how it is
+written) and the share of words that repeat the word before them (how much is
+said), weighted by log frequency and rarity. A singular value
 decomposition of the labelled sample gives the latent space. The labelled
 vectors are broadcast; every document's cosine with every one of them is
 computed exactly, in blocks, and the nearest vote with their similarity.
@@ -21,6 +23,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -29,10 +32,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from arboris.llm.common import small_batches, text_blocks
+from arboris.llm.langid import trigrams
 
 _MARKS = ".,!?#$%&*|'\"-:;@/()"
 KINDS = 7 + len(_MARKS)
-FEATURES = KINDS**3
+#: Hashed character trigrams, and levels of repetition.
+GRAMS, LEVELS = 4096, 16
+FEATURES = KINDS**3 + GRAMS + LEVELS
 
 
 def _kind_table() -> np.ndarray:
@@ -52,32 +58,56 @@ _kinds: np.ndarray | None = None
 
 
 def features(texts: list[str]) -> np.ndarray:
-    """Counts of kind trigrams: texts by FEATURES."""
+    """Counts of terms: texts by FEATURES."""
+    return np.concatenate([_written(texts), _said(texts), _repeated(texts)], 1)
+
+
+def _said(texts: list[str]) -> np.ndarray:
+    bucket, owner = trigrams(texts)
+    return np.bincount(owner * GRAMS + bucket % GRAMS, minlength=len(texts) * GRAMS).reshape(len(texts), GRAMS).astype(np.float32)
+
+
+def _repeated(texts: list[str]) -> np.ndarray:
+    """A text of four words or more has one term, its level of repetition, as often as it has words."""
+    out = np.zeros((len(texts), LEVELS), np.float32)
+    for i, text in enumerate(texts):
+        w = text.split()
+        if len(w) >= 4:
+            out[i, min(LEVELS - 1, LEVELS * sum(map(eq, w, w[1:])) // (len(w) - 1))] = len(w)
+    return out
+
+
+def _written(texts: list[str]) -> np.ndarray:
     global _kinds
     if _kinds is None:
         _kinds = _kind_table()
+    size = KINDS**3
     cps = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
     owner = np.repeat(np.arange(len(texts)), [len(x) for x in texts])
     kind = np.where(cps < 1 << 16, _kinds[np.minimum(cps, (1 << 16) - 1)], 0)
     if len(kind) < 3:
-        return np.zeros((len(texts), FEATURES), np.float32)
+        return np.zeros((len(texts), size), np.float32)
     gram = (kind[:-2] * KINDS + kind[1:-1]) * KINDS + kind[2:]
     inside = owner[:-2] == owner[2:]
-    return np.bincount(owner[:-2][inside] * FEATURES + gram[inside], minlength=len(texts) * FEATURES).reshape(len(texts), FEATURES).astype(np.float32)
+    return np.bincount(owner[:-2][inside] * size + gram[inside], minlength=len(texts) * size).reshape(len(texts), size).astype(np.float32)
 
 
 class Model:
     """Projection into the latent space, the sample's unit vectors there, and its labels."""
 
-    def __init__(self, counts: np.ndarray, labels: np.ndarray, dims: int):
+    def __init__(self, counts: np.ndarray, labels: np.ndarray, dims: int, used: np.ndarray | None = None):
+        """counts: texts by terms; all of them, or those in ``used``, which stand in two texts at least."""
         n = len(labels)
         self.labels = labels.astype(np.float64)
         self.prior = float(self.labels.mean()) if n else 0.5
-        self.used = np.flatnonzero((counts > 0).sum(0) >= 2) if n else np.zeros(0, int)
+        if used is None:
+            used = np.flatnonzero((counts > 0).sum(0) >= 2) if n else np.zeros(0, int)
+            counts = counts[:, used]
+        self.used = used
         if n == 0 or not len(self.used):
             self.vectors = np.zeros((0, 1), np.float32)
             return
-        x = counts[:, self.used]
+        x = counts
         self.rarity = np.log((1 + n) / (1 + (x > 0).sum(0))).astype(np.float32) + 1
         x = self._weigh(x)
         w, u = np.linalg.eigh(x @ x.T)
@@ -106,12 +136,12 @@ class Model:
         return np.where(total > 0, vote / np.maximum(total, 1e-12), self.prior).clip(0, 1)
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_label: int = 800, dims: int = 32) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, per_label: int = 800, dims: int = 64) -> Model:
     """Learn from the labelled ``docs``: ``labels`` (doc_id, quality) names the rows it may use."""
     one = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     picks = [one.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_label) for q in (0, 1)]
     chosen = picks[0].unionAll(picks[1])  # at most 2 * per_label rows
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text")
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text").distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -123,11 +153,17 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = 800, dims: int = 32
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(at, pa.list_(pa.int32())), pa.array(n, pa.list_(pa.float32()))], ["doc_id", "quality", "at", "n"])
 
     got = small_batches(rows).mapInArrow(run, "doc_id long, quality int, at array<int>, n array<float>").toPandas()
-    got = got.drop_duplicates("doc_id").sort_values("doc_id")
-    counts = np.zeros((len(got), FEATURES), np.float32)
-    for i, (at, n) in enumerate(zip(got["at"], got["n"])):
-        counts[i, at] = n
-    return Model(counts, got["quality"].to_numpy(), dims)
+    every = [(r.doc_id, r.quality, np.asarray(r.at, np.int32), np.asarray(r.n, np.float32)) for r in got.itertuples(index=False)]
+    # of an id's rows the one with most terms, then the first by its terms, whatever order they come in
+    every.sort(key=lambda r: (r[0], -len(r[2]), r[2].tobytes(), r[3].tobytes()))
+    rows = [r for i, r in enumerate(every) if i == 0 or r[0] != every[i - 1][0]]
+    found = np.bincount(np.concatenate([np.zeros(0, np.int32), *(at for _, _, at, _ in rows)]), minlength=FEATURES)
+    used = np.flatnonzero(found >= 2)
+    counts = np.zeros((len(rows), len(used)), np.float32)
+    for i, (_, _, at, n) in enumerate(rows):
+        held = found[at] >= 2
+        counts[i, np.searchsorted(used, at[held])] = n[held]
+    return Model(counts, np.array([r[1] for r in rows], np.float64), dims, used)
 
 
 def predict(docs: DataFrame, model: Model, k: int = 15, name: str = "score") -> DataFrame:

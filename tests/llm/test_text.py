@@ -118,6 +118,21 @@ def test_quality_votes(spark):
     assert {r["score"] for r in quality.predict(df, nothing).collect()} == {0.5}
 
 
+def test_quality_sees_what_is_said(spark):
+    """Words of the same shape, good and bad, and texts that say one word over and over."""
+    rng = random.Random(14)
+    good = lambda: " ".join(rng.choice(["stone", "river", "light", "house", "grass"]) for _ in range(40))
+    bad = lambda: " ".join(rng.choice(["xqzvk", "zzkqx", "vxxqj", "kjqzv", "qvkxz"]) for _ in range(40))
+    rows = [(i, good() if i % 3 == 0 else bad() if i % 3 == 1 else " ".join([f"w{i:04}"] * 40), "en", "s", 0, "") for i in range(240)]
+    df = spark.createDataFrame([*rows, *rows[:20]], SCHEMA)
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(240)], "doc_id long, quality int")
+    model = quality.fit(df, labels.where(~held_out(labels["doc_id"])))
+    got = quality.predict(df, model).where(held_out(F.col("doc_id"))).collect()
+    assert len(got) > 40 and all((r["score"] >= 0.7) == (r["doc_id"] % 3 == 0) for r in got)
+    again = quality.fit(df.repartition(5), labels.where(~held_out(labels["doc_id"])))
+    assert (again.vectors == model.vectors).all()
+
+
 def test_quality_cosines_are_exact():
     rng = np.random.default_rng(0)
     counts = rng.poisson(0.01, (40, quality.FEATURES)).astype(np.float32)
