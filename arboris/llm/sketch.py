@@ -76,10 +76,10 @@ def _range_of(key: Column, rows: Column) -> Column:
     return F.when(outer == 0, F.lit(0)).otherwise((outer - 1) * F.size(F.get(rows, F.lit(0))) + inner)
 
 
-def ranges_for(df: DataFrame, text: str = "text", bytes_each: int = 16 << 20) -> int:
-    """How many key ranges hold about so many bytes of text each."""
-    size = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    return max(4, min(-(-size // bytes_each), 1 << 20))
+def ranges_for(df: DataFrame, text: str = "text", bytes_each: int = 4 << 20, rows_each: int = 2048) -> int:
+    """How many key ranges hold about so many bytes of text, or rows, each."""
+    n, size = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()
+    return max(1, min(max(-(-size // bytes_each), -(-n // rows_each)), 1 << 20))
 
 
 def with_next(df: DataFrame, key: str, columns: list[str], ranges: int) -> DataFrame:
@@ -104,11 +104,11 @@ def with_next(df: DataFrame, key: str, columns: list[str], ranges: int) -> DataF
     at = F.coalesce(_range_of(k, e["rows"]), F.lit(0))
     first = F.when(e["nulls"], k.isNull()).otherwise(k.eqNullSafe(e["low"]))  # the row that follows the last one
     own = F.struct(at.alias("range"), F.lit(0).alias("side"))
-    bound = F.exists(e["rows"], lambda r: F.array_contains(r, k))
+    bound = F.exists(F.filter(e["rows"], lambda r: F.get(r, F.lit(0)) <= k), lambda r: (F.element_at(r, -1) >= k) & F.array_contains(r, k))
     before = F.when(bound, F.struct((at - 1).alias("range"), F.lit(1).alias("side")))
     wrapped = F.when(first, F.struct(e["last"].alias("range"), F.lit(2).alias("side")))
     dealt = df.withColumn("_at", F.explode(F.filter(F.array(own, before, wrapped), lambda x: x.isNotNull()))).drop("_e")
-    dealt = dealt.repartition(ranges, F.col("_at.range"))
+    dealt = dealt.repartition(-(-ranges // 4), F.col("_at.range"))  # several ranges a task, so that tasks are alike
     w = Window.partitionBy("_at.range").orderBy(F.col("_at.side"), F.col(key).asc_nulls_first(), *(F.col(c).asc_nulls_first() for c in columns))
     out = dealt.select("*", *(F.lead(c).over(w).alias(f"next_{c}") for c in columns))
     return out.where(F.col("_at.side") == 0).drop("_at")
