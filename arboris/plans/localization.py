@@ -38,11 +38,11 @@ POSTCONDITIONS = {
     "REMOVE_NODE": ("EXTRA_NODE_REMOVED_FROM_LOCALE", "XML_REMAINS_SCHEMA_VALID"),
 }
 MESSAGES = {
-    "WRONG_PARENT": "corresponding node appears under an incompatible parent",
-    "SOURCE_UPDATED": "source changed after the locale was last synchronized",
-    "WRONG_ORDER": "matched siblings appear in a different order under a matched parent",
-    "AMBIGUOUS_MATCH": "multiple plausible locale correspondences require review",
-    "IDENTIFIER_CONFLICT": "duplicate persistent identifier detected; identity is ambiguous",
+    "WRONG_PARENT": "the node's counterpart stands under a parent that doesn't correspond",
+    "SOURCE_UPDATED": "the source is newer than the revision that the locale was made from",
+    "WRONG_ORDER": "counterparts under corresponding parents come in another order",
+    "AMBIGUOUS_MATCH": "several nodes of the locale could correspond; someone has to choose",
+    "IDENTIFIER_CONFLICT": "an identifier stands on more than one node and identifies none",
 }
 #: A repair is never surer than its diagnosis.
 REPAIR_FACTOR = 0.9

@@ -97,7 +97,7 @@ class Suppression:
 
     def __post_init__(self):
         if len({r.rule_id for r in self.rules}) < len(self.rules):
-            raise ProfileError("INVALID_PROFILE", "suppression rule ids must be unique")
+            raise ProfileError("INVALID_PROFILE", "two suppression rules have one id")
 
 
 @dataclass(frozen=True)

@@ -416,6 +416,34 @@ def limits_exceeded(spark, sf_dir):
     return _result(spark, sf_dir, limits=Limits(max_node_count=1000)).over_limits
 
 
+@query(_sql("""SELECT pair_id, 'candidates: ' || count(*) AS message FROM (
+    SELECT s.pair_id, s.node_ref AS s, t.node_ref AS t FROM sfree s JOIN tfree t ON s.pair_id = t.pair_id AND s.sig = t.sig AND s.node_type = t.node_type
+    UNION SELECT s.pair_id, s.node_ref, t.node_ref FROM sfree s JOIN tfree t ON s.pair_id = t.pair_id AND s.pid = t.pid AND s.node_type = t.node_type) GROUP BY pair_id HAVING count(*) > 20""", upto=3))
+def limits_candidates(spark, sf_dir):
+    return _result(spark, sf_dir, limits=Limits(max_candidates=20)).over_limits
+
+
+@query(_sql("SELECT pair_id, 'MATCHING' AS stage, count(*) AS candidates, count(*) FILTER (state = 'CONFIRMED') AS results FROM m GROUP BY pair_id UNION ALL SELECT pair_id, 'ALIGNMENT', 0, count(*) FROM reg GROUP BY pair_id UNION ALL SELECT pair_id, 'CLASSIFICATION', 0, count(*) FROM ops GROUP BY pair_id", _OPS))
+def stage_metrics(spark, sf_dir):
+    return _result(spark, sf_dir).metrics.where("stage <> 'SUPPRESSION'").select("pair_id", "stage", "candidates", "results")
+
+
+@query(_sql("SELECT pair_id, operation_id, CASE type WHEN 'MATCH' THEN 'IDENTITY_PRESERVED' WHEN 'UPDATE' THEN 'CONTENT_CHANGED' WHEN 'MOVE' THEN 'CONFIRMED_IDENTITY;PARENT_CHANGED' WHEN 'REORDER' THEN 'SIBLING_ORDER_CHANGED' WHEN 'DELETE' THEN 'SOURCE_ONLY' ELSE 'TARGET_ONLY' END AS codes FROM ops", _OPS))
+def ops_evidence_codes(spark, sf_dir):
+    return _result(spark, sf_dir).operations.select("pair_id", "operation_id", F.array_join("evidence_codes", ";").alias("codes"))
+
+
+@query(_sql("SELECT pair_id, operation_id FROM ops WHERE type IN ('DELETE', 'UPDATE')", _OPS))
+def ops_enabled(spark, sf_dir):
+    r = _result(spark, sf_dir)
+    from dataclasses import replace
+
+    from arboris.operators import classify
+
+    context = classify.Context(r.nodes, r.matches, r.positions, r.regions, replace(DITA.operation, enabled=frozenset({"DELETE", "UPDATE"})))
+    return classify.classify(context).select("pair_id", "operation_id")
+
+
 # --- localization ---------------------------------------------------------------
 
 
@@ -524,6 +552,65 @@ def dita_nodes_generated(spark, sf_dir):
     return nodes.select("pair_id", "node_ref", "node_type", plain(F.col("identity").getItem("id")).alias("id"), plain(F.col("content").getItem("navtitle")).alias("navtitle"))
 
 
+def _kept_nodes(nodes: DataFrame) -> DataFrame:
+    text = lambda m, k: F.col(m).getItem(k)
+    return nodes.select("pair_id", "node_ref", "node_type", "parent_ref", "child_pos", text("identity", "id").alias("id"), text("identity", "key").alias("key"), F.coalesce(text("content", "value"), text("content", "text")).alias("value"), F.col("loc.xpath").alias("path"))
+
+
+@query("""WITH c AS (SELECT c_custkey AS k, CAST(c_custkey AS VARCHAR) AS pair_id, c_mktsegment AS seg FROM customer), none AS (SELECT CAST(NULL AS VARCHAR) AS x)
+    SELECT pair_id, 'n' AS node_ref, 'r' AS node_type, CAST(NULL AS VARCHAR) AS parent_ref, 0::BIGINT AS child_pos, 's:' || k AS id, x AS key, 's:top' AS value, '/r' AS path FROM c, none
+    UNION ALL SELECT pair_id, 'n.0', 'a', 'n', 0, 's:i' || k, x, 's:' || seg, '/r/a[1]' FROM c, none UNION ALL SELECT pair_id, 'n.0.0', 'b', 'n.0', 0, x, x, x, '/r/a[1]/b' FROM c, none
+    UNION ALL SELECT pair_id, 'n.1', 'a', 'n', 1, x, x, 's:<&>', '/r/a[2]' FROM c, none""")
+def xml_nodes_generated(spark, sf_dir):
+    k = F.col("c_custkey").cast("string")
+    text = F.concat(F.lit('<r xmlns:z="urn:z" id="'), k, F.lit('">top<z:a xml:id="i'), k, F.lit('"> '), "c_mktsegment", F.lit(" <b/>tail</z:a><a>&lt;&amp;&gt;</a></r>"))
+    rows = _table(spark, sf_dir, "customer").select(k.alias("pair_id"), F.lit("S").alias("side"), text.alias("content"))
+    return _kept_nodes(documents.nodes_of(documents.parse(rows, "generic-xml-v1")))
+
+
+#: Nodes of ``{"name": ..., "list": [1, 2.5, null, true, {"deep": []}]}``, as a path gives them.
+_DATA_NODES = """WITH n AS (SELECT CAST(n_nationkey AS VARCHAR) AS pair_id, n_name AS name FROM nation)
+    SELECT pair_id, ref AS node_ref, 'data:' || kind AS node_type, up AS parent_ref, pos::BIGINT AS child_pos, CAST(NULL AS VARCHAR) AS id, key, CASE WHEN ref = 'n.0.0' THEN 's:' || name ELSE value END AS value, path
+    FROM n, (VALUES ('n', 'document', NULL, 0, NULL, NULL, '$'), ('n.0', 'object', 'n', 0, NULL, NULL, '$'), ('n.0.0', 'property', 'n.0', 0, 's:name', NULL, '$.name'), ('n.0.1', 'property', 'n.0', 1, 's:a list', NULL, '$["a list"]'),
+        ('n.0.1.0', 'array', 'n.0.1', 0, NULL, NULL, '$["a list"]'), ('n.0.1.0.0', 'item', 'n.0.1.0', 0, NULL, 'i:1', '$["a list"][0]'), ('n.0.1.0.1', 'item', 'n.0.1.0', 1, NULL, 'f:2.5', '$["a list"][1]'),
+        ('n.0.1.0.2', 'item', 'n.0.1.0', 2, NULL, 'n:', '$["a list"][2]'), ('n.0.1.0.3', 'item', 'n.0.1.0', 3, NULL, 'b:true', '$["a list"][3]'), ('n.0.1.0.4', 'item', 'n.0.1.0', 4, NULL, NULL, '$["a list"][4]'),
+        ('n.0.1.0.4.0', 'object', 'n.0.1.0.4', 0, NULL, NULL, '$["a list"][4]'), ('n.0.1.0.4.0.0', 'property', 'n.0.1.0.4.0', 0, 's:deep', NULL, '$["a list"][4].deep'), ('n.0.1.0.4.0.0.0', 'array', 'n.0.1.0.4.0.0', 0, NULL, NULL, '$["a list"][4].deep')) x(ref, kind, up, pos, key, value, path)"""
+
+
+def _data_query(form: str, text) -> None:
+    def run(spark, sf_dir):
+        rows = _table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("pair_id"), F.lit("S").alias("side"), text().alias("content"))
+        return _kept_nodes(documents.nodes_of(documents.parse(rows, f"generic-{form}-v1")))
+
+    run.__name__ = f"{form}_nodes_nested"
+    query(_DATA_NODES)(run)
+
+
+_data_query("json", lambda: F.concat(F.lit('{"name": "'), "n_name", F.lit('", "a list": [1, 2.5, null, true, {"deep": []}]}')))
+_data_query("yaml", lambda: F.concat(F.lit('name: "'), "n_name", F.lit('"\na list:\n- 1\n- 2.5\n- ~\n- true\n- deep: []\n')))
+
+# documents that must be refused, and with which code; fixed values
+_REFUSED = (
+    ("generic-xml-v1", '<!DOCTYPE r [<!ENTITY x SYSTEM "file:///etc/passwd">]><r>&x;</r>', "UNSAFE_XML"), ("generic-xml-v1", '<!DOCTYPE l [<!ENTITY a "aa"><!ENTITY b "&a;&a;">]><l>&b;</l>', "UNSAFE_XML"),
+    ("generic-xml-v1", "<a>" * 101 + "</a>" * 101, "UNSAFE_XML"), ("generic-xml-v1", "<a><b></a>", "INVALID_INPUT"), ("dita-map-v1", "", "INVALID_INPUT"), ("generic-json-v1", "[" * 101 + "]" * 101, "UNSAFE_JSON"),
+    ("generic-json-v1", '{"a": NaN}', "INVALID_INPUT"), ("generic-json-v1", "[1e999]", "UNSAFE_JSON"), ("generic-json-v1", '{"a": 1', "INVALID_INPUT"), ("generic-yaml-v1", "a: &x 1\nb: *x", "UNSAFE_YAML"),
+    ("generic-yaml-v1", "a: !!python/object:os.system 1", "UNSAFE_YAML"), ("generic-yaml-v1", "a: 1\n---\nb: 2", "UNSAFE_YAML"), ("generic-yaml-v1", "1: x", "UNSAFE_YAML"), ("generic-yaml-v1", "a: [", "INVALID_INPUT"),
+)
+
+
+@query("SELECT CAST(n_nationkey AS VARCHAR) || '-' || no AS pair_id, code AS error_code FROM nation, (VALUES " + ", ".join(f"({i}, '{code}')" for i, (_, _, code) in enumerate(_REFUSED)) + ") x(no, code)")
+def documents_refused(spark, sf_dir):
+    from functools import reduce
+
+    nation = _table(spark, sf_dir, "nation")
+    out = []
+    for profile in dict.fromkeys(p for p, _, _ in _REFUSED):
+        cases = F.array(*(F.struct(F.lit(i).alias("no"), F.lit(text).alias("content")) for i, (p, text, _) in enumerate(_REFUSED) if p == profile))
+        rows = nation.select("n_nationkey", F.inline(cases)).select(F.concat_ws("-", F.col("n_nationkey").cast("string"), F.col("no").cast("string")).alias("pair_id"), F.lit("S").alias("side"), "content")
+        out.append(documents.refused(documents.parse(rows, profile)).select("pair_id", "error_code"))
+    return reduce(DataFrame.unionByName, out)
+
+
 @query("SELECT 'INVALID_INPUT' AS error_code, count(*) AS n FROM pages")
 def html_pages_rejected(spark, sf_dir):
     rows = _table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("pair_id"), F.lit("S").alias("side"), F.col("html").alias("content"))

@@ -50,7 +50,25 @@ def test_report_forms(spark, loc, tmp_path):
     report.write_jobs(rows, str(tmp_path / "jobs"))
     assert spark.read.json(str(tmp_path / "jobs")).count() == rows.count()
     page = report.html_pages(rows).first()["html"]
-    assert "<details>" in page and page.count("<tr data-search") == rows.count()
+    assert "<details>" in page and page.count("<tr data-status") == rows.count() and "<option>MISSING_IN_LOCALE</option>" in page and "high (1.00)" in page
+
+
+def test_saved_reports_and_decisions(spark, loc, tmp_path):
+    where = str(tmp_path / "saved")
+    for _ in range(2):  # saving again replaces
+        report.save(loc, where, redact=True)
+    got = report.load(spark, where, "j")
+    assert got["head"].select("job_id", "locale", "complete").first()[:] == ("j", "fr-FR", True)
+    assert got["issues"].count() == loc.issues.count() and got["suppressed_effects"].count() == loc.result.effects.count()
+    assert {r["status_symbol"] for r in got["issues"].where("status = 'MISSING_IN_LOCALE'").collect()} == {"-"}
+    assert got["recommendations"].count() == loc.recommendations.count() > 0 and got["root_causes"].where("type = 'INSERT'").count() == 1
+    assert report.load(spark, where, "other") == {}
+    issue = loc.issues.orderBy("issue_id").first()["issue_id"]
+    schema = "pair_id string, decision_id string, issue_id string, disposition string, replacement string, decided_at long"
+    for n in (2, 1):
+        d = spark.createDataFrame([("j", f"d{n}", issue, "ACCEPT", None, n), ("j", f"x{n}", "issue-99", "ACCEPT", None, n)], schema)
+        report.append_decisions(record_decisions(d, loc.issues), str(tmp_path / "decisions"))
+    assert [r["decision_id"] for r in report.decisions_of(spark, str(tmp_path / "decisions"), "j").collect()] == ["d1", "d2"]
 
 
 def test_decisions_and_prices(spark, loc):
