@@ -203,8 +203,8 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("spot").cast("int").bitwiseAND(63))
     words = wanted.select(spot.alias("spot")).groupBy(F.shiftright("spot", 6).alias("word")).agg(F.bit_or(bit).alias("bits"))
     bits = np.zeros(bits_held // 64, np.int64)
-    for r in words.toLocalIterator():  # at most bits_held / 64 rows
-        bits[r["word"]] = r["bits"]
+    got = words.toArrow()  # at most bits_held / 64 rows
+    bits[got.column("word").to_numpy()] = got.column("bits").to_numpy()
     shared = docs.sparkSession.sparkContext.broadcast(bits.view(np.uint64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -335,8 +335,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     buckets = 1 << min(max(16, reps.count().bit_length()), 20)
     counts = np.zeros(buckets, np.int64)
     seen = reps.select(F.explode("sig").alias("v")).groupBy(F.col("v").bitwiseAND(buckets - 1).alias("bucket")).count()
-    for r in seen.toLocalIterator():  # at most ``buckets`` rows
-        counts[r["bucket"]] = r["count"]
+    got = seen.toArrow()  # at most ``buckets`` rows
+    counts[got.column("bucket").to_numpy()] = got.column("count").to_numpy()
     rank = np.empty(buckets, np.int32)
     rank[np.argsort(counts, kind="stable")] = np.arange(buckets)
     postings = _postings(reps, rank)
