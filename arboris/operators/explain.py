@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arboris.operators.align import ALIGNED
 from arboris.operators.evidence import descendants
 from arboris.operators.match import AMBIGUOUS
+from arboris.operators.number import numbered
 from arboris.profiles import Suppression
 from arboris.schema import SOURCE
 
@@ -72,10 +73,10 @@ def suppress(operations: DataFrame, reached: DataFrame, profile: Suppression) ->
     rules = spark.createDataFrame([(i, r.rule_id, r.root_operation, r.effect_category, r.threshold) for i, r in enumerate(profile.rules)], schema)
     rows = reached.groupBy("pair_id", "operation_id", "type", "confidence").agg(F.sort_array(F.collect_list("node_ref")).alias("affected_refs"))
     rows = rows.join(F.broadcast(rules), "type").where("confidence >= threshold")  # a profile's few rules
-    order = Window.partitionBy("pair_id").orderBy("type", "operation_id", "rule_pos")
+    rows = numbered(rows, ["pair_id"], ["type", "operation_id", "rule_pos"], "effect_no")
     check = F.when(F.col("type") == "MOVE", "PASSED").otherwise("NOT_APPLICABLE")
     return rows.select(
-        "pair_id", F.concat(F.lit("effect-"), F.row_number().over(order).cast("string")).alias("effect_id"), F.col("operation_id").alias("root_operation_id"),
+        "pair_id", F.concat(F.lit("effect-"), F.col("effect_no").cast("string")).alias("effect_id"), F.col("operation_id").alias("root_operation_id"),
         "rule_id", "category", "affected_refs", "confidence", check.alias("independent_defect_check"),
     )
 

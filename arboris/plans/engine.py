@@ -5,10 +5,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import cached_property, reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arboris.operators import align, classify, evidence, explain, match, normalize, validate
+from arboris.operators.number import numbered
 from arboris.profiles import Bundle
 from arboris.schema import NODES, SOURCE, TARGET
 from arboris.storage import kept
@@ -116,8 +117,7 @@ class Result:
             pairs = self.nodes.select("pair_id").distinct()
             out.append(rows(pairs, 2, F.lit(""), "ALIGNMENT_STRATEGY_NOT_IMPLEMENTED", "WARNING", "alignment", F.lit(f"{self.bundle.alignment.strategy} falls back to ordered alignment")))
         every = reduce(DataFrame.unionByName, out)
-        order = Window.partitionBy("pair_id").orderBy("rank", "key")
-        return every.withColumn("ordinal", F.row_number().over(order)).drop("rank", "key")
+        return kept(numbered(every, ["pair_id"], ["rank", "key"], "ordinal").drop("rank", "key"))
 
     @cached_property
     def metrics(self) -> DataFrame:

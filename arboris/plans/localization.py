@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from arboris.functions.text import plain
 from arboris.operators.match import AMBIGUOUS, CONFIRMED
+from arboris.operators.number import numbered
 from arboris.plans.engine import Result
 from arboris.schema import SOURCE, TARGET
 from arboris.storage import kept
@@ -154,8 +155,7 @@ class Localization:
         dup = r.diagnostics.where("code = 'DUPLICATE_PERSISTENT_ID'")
         out.append(rows(dup, 4, F.format_string("%09d", F.col("ordinal")), F.lit("IDENTIFIER_CONFLICT"), message=F.lit(MESSAGES["IDENTIFIER_CONFLICT"])))
         every = reduce(DataFrame.unionByName, out)
-        w = Window.partitionBy("pair_id").orderBy("block", "key")
-        every = every.withColumn("issue_no", F.row_number().over(w)).withColumn("issue_id", F.concat(F.lit("issue-"), F.col("issue_no").cast("string")))
+        every = numbered(every, ["pair_id"], ["block", "key"], "issue_no").withColumn("issue_id", F.concat(F.lit("issue-"), F.col("issue_no").cast("string")))
         # an ambiguous or unresolved node is never also missing or extra
         for end, kind, name, status in (("s", "UNRESOLVED_SOURCE", "source_ref", "MISSING_IN_LOCALE"), ("t", "UNRESOLVED_TARGET", "locale_ref", "EXTRA_IN_LOCALE")):
             open_ = r.matches.where(F.col("state") == AMBIGUOUS).select("pair_id", F.col(end).alias(name))
@@ -163,11 +163,15 @@ class Localization:
             every = every.join(open_, ["pair_id", name, "status"], "left_anti")
         every = every.withColumn("severity", lookup(SEVERITY, F.col("status"))).withColumn("action", lookup(ACTION, F.col("status"), "NONE"))
         repair = F.col("status").isin(*REPAIR) & F.col("exemption").isNull()
-        counted = every.withColumn("repair_no", F.count_if(repair).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        # numbers of issues are fixed by staging before the rows part
+        every = kept(every.withColumn("repair", repair).drop("block", "key"))
+        counted = numbered(every.where("repair"), ["pair_id"], ["issue_no"], "repair_no")
+        counted = counted.unionByName(every.where("not repair"), allowMissingColumns=True)
+        repair = F.col("repair")
         base = F.least(F.coalesce("match_confidence", F.lit(1.0)), F.coalesce("operation_confidence", F.lit(1.0)))
         counted = counted.withColumn("recommendation_id", F.when(repair, F.concat(F.lit("repair-"), F.col("repair_no").cast("string"))))
         counted = counted.withColumn("repair_confidence", F.when(repair, F.round(base * REPAIR_FACTOR, 6)))
-        return kept(counted.withColumn("auto_fix_eligible", F.lit(False)).drop("block", "key", "repair_no"))
+        return kept(counted.withColumn("auto_fix_eligible", F.lit(False)).drop("repair", "repair_no"))
 
     @cached_property
     def recommendations(self) -> DataFrame:
