@@ -40,50 +40,67 @@ def root_operations(operations: DataFrame) -> DataFrame:
     return operations.where("type <> 'MATCH'").select("pair_id", "operation_id")
 
 
-def affected(operations: DataFrame, positions: DataFrame, nodes: DataFrame, stage=lambda df: df) -> DataFrame:
-    """pair_id, operation_id, type, confidence, node_ref: nodes that an operation moves along with it."""
-    ops = operations.select("pair_id", "operation_id", "type", "confidence", "source_refs", "target_refs")
-    lined = positions.where(F.col("kind") == ALIGNED).select("pair_id", "sp", "tp", F.col("s").alias("as"), F.col("t").alias("node_ref"))
-    where_s = positions.where("s is not null").select("pair_id", "sp", "tp", F.col("s").alias("ref"))
-    where_t = positions.where("t is not null").select("pair_id", "sp", "tp", F.col("t").alias("ref"))
+def reached(operations: DataFrame, positions: DataFrame, nodes: DataFrame, stage=lambda df: df) -> tuple[DataFrame, DataFrame]:
+    """What operations move along with them, in groups of nodes: pair_id, operation_id, type, confidence, group_id; and
+    the groups: pair_id, group_id, node_ref.
+
+    A group is the aligned children of a region, or what is below a moved node. A thousand insertions under one parent
+    reach one group; a node is in one region, so no operation reaches a node twice.
+    """
     keys = ["pair_id", "operation_id", "type", "confidence"]
+    ops = operations.select(*keys, "source_refs", "target_refs")
+    region = F.concat(F.lit("region:"), F.length("sp").cast("string"), F.lit(":"), "sp", "tp").alias("group_id")
+    lined = positions.where(F.col("kind") == ALIGNED)
+    where_s = positions.where("s is not null").select("pair_id", F.col("s").alias("ref"), region)
+    where_t = positions.where("t is not null").select("pair_id", F.col("t").alias("ref"), region)
 
     def regions(type_: str, refs: str, places: DataFrame) -> DataFrame:
         at = ops.where(F.col("type") == type_).select(*keys, F.explode(refs).alias("ref"))
-        return at.join(places, ["pair_id", "ref"]).select(*keys, "sp", "tp").distinct()
+        return at.join(places, ["pair_id", "ref"]).select(*keys, "group_id")
 
     # a reorder also reaches the regions under the siblings
-    under = positions.select("pair_id", F.col("sp").alias("ref"), "sp", "tp").distinct()
-    aligned_s = lined.select("pair_id", "sp", "tp", F.col("as").alias("ref"))
-    hit = [
-        regions("INSERT", "target_refs", where_t), regions("DELETE", "source_refs", where_s),
-        regions("REORDER", "source_refs", aligned_s).unionByName(regions("REORDER", "source_refs", under)).distinct(),
-    ]
-    out = [r.join(lined, ["pair_id", "sp", "tp"]).select(*keys, "node_ref") for r in hit]
+    among, under = (lined.select("pair_id", F.col("s").alias("ref"), region), positions.select("pair_id", F.col("sp").alias("ref"), region).distinct())
     moves = ops.where("type = 'MOVE'").select(*keys, F.col("source_refs")[0].alias("top"))
     below = descendants(nodes, moves.select("pair_id", F.lit(SOURCE).alias("side"), "top").distinct(), stage)
-    out.append(moves.join(below.select("pair_id", "top", "node_ref"), ["pair_id", "top"]).select(*keys, "node_ref"))
-    return reduce(DataFrame.unionByName, out).distinct()
+    subtree = F.concat(F.lit("below:"), "top").alias("group_id")
+    reach = [
+        regions("INSERT", "target_refs", where_t), regions("DELETE", "source_refs", where_s), regions("REORDER", "source_refs", among),
+        regions("REORDER", "source_refs", under), moves.select(*keys, subtree),
+    ]
+    reach = reduce(DataFrame.unionByName, reach).distinct()
+    groups = lined.select("pair_id", region, F.col("t").alias("node_ref")).unionByName(below.select("pair_id", subtree, "node_ref")).distinct()
+    return reach, groups.join(reach.select("pair_id", "group_id").distinct(), ["pair_id", "group_id"], "left_semi")
 
 
-def suppress(operations: DataFrame, reached: DataFrame, profile: Suppression) -> DataFrame:
-    """Effects: pair_id, effect_id, root_operation_id, rule_id, category, affected_refs, confidence, independent_defect_check."""
-    spark = operations.sparkSession
+def affected(reach: DataFrame, groups: DataFrame) -> DataFrame:
+    """pair_id, operation_id, type, confidence, node_ref: each node of each operation. On request only: under one
+    parent these are as many as its operations times its children."""
+    return reach.join(groups, ["pair_id", "group_id"]).select("pair_id", "operation_id", "type", "confidence", "node_ref")
+
+
+def suppress(reach: DataFrame, groups: DataFrame, profile: Suppression) -> DataFrame:
+    """Effects: pair_id, effect_id, root_operation_id, rule_id, category, n_affected, first_ref, last_ref, refs_digest,
+    confidence, independent_defect_check. ``refs_digest`` is a sum of hashes of the affected nodes."""
+    spark = reach.sparkSession
     schema = "rule_pos int, rule_id string, type string, category string, threshold double"
     rules = spark.createDataFrame([(i, r.rule_id, r.root_operation, r.effect_category, r.threshold) for i, r in enumerate(profile.rules)], schema)
-    rows = reached.groupBy("pair_id", "operation_id", "type", "confidence").agg(F.sort_array(F.collect_list("node_ref")).alias("affected_refs"))
+    sizes = groups.groupBy("pair_id", "group_id").agg(
+        F.count(F.lit(1)).alias("n"), F.min("node_ref").alias("low"), F.max("node_ref").alias("high"), F.sum(F.xxhash64("node_ref").cast("decimal(20,0)")).cast("decimal(28,0)").alias("digest")
+    )
+    rows = reach.join(sizes, ["pair_id", "group_id"]).groupBy("pair_id", "operation_id", "type", "confidence")
+    rows = rows.agg(F.sum("n").alias("n_affected"), F.min("low").alias("first_ref"), F.max("high").alias("last_ref"), F.sum("digest").cast("string").alias("refs_digest"))
     rows = rows.join(F.broadcast(rules), "type").where("confidence >= threshold")  # a profile's few rules
     rows = numbered(rows, ["pair_id"], ["type", "operation_id", "rule_pos"], "effect_no")
     check = F.when(F.col("type") == "MOVE", "PASSED").otherwise("NOT_APPLICABLE")
     return rows.select(
         "pair_id", F.concat(F.lit("effect-"), F.col("effect_no").cast("string")).alias("effect_id"), F.col("operation_id").alias("root_operation_id"),
-        "rule_id", "category", "affected_refs", "confidence", check.alias("independent_defect_check"),
+        "rule_id", "category", "n_affected", "first_ref", "last_ref", "refs_digest", "confidence", check.alias("independent_defect_check"),
     )
 
 
-def retained_defects(operations: DataFrame, reached: DataFrame, profile: Suppression) -> DataFrame:
+def retained_defects(operations: DataFrame, reach: DataFrame, groups: DataFrame, profile: Suppression) -> DataFrame:
     """pair_id, node_ref: updated nodes inside moved subtrees, which stay visible."""
     least = [r.threshold for r in profile.rules if r.root_operation == "MOVE"]
-    moved = reached.where((F.col("type") == "MOVE") & (F.col("confidence") >= min(least, default=2.0))).select("pair_id", "node_ref")
+    moved = affected(reach.where((F.col("type") == "MOVE") & (F.col("confidence") >= min(least, default=2.0))), groups)
     updated = operations.where("type = 'UPDATE'").select("pair_id", F.explode("source_refs").alias("node_ref"))
     return updated.join(moved, ["pair_id", "node_ref"], "left_semi").distinct()

@@ -87,16 +87,37 @@ class Result:
         return rows.unionByName(none.distinct())
 
     @cached_property
+    def _reached(self) -> tuple[DataFrame, DataFrame]:
+        reach, groups = explain.reached(self.operations, self.positions, self.nodes, kept)
+        return kept(reach), kept(groups)
+
+    @property
+    def reach(self) -> DataFrame:
+        """pair_id, operation_id, type, confidence, group_id: the groups of nodes that operations move along with them."""
+        return self._reached[0]
+
+    @property
+    def reach_groups(self) -> DataFrame:
+        """pair_id, group_id, node_ref."""
+        return self._reached[1]
+
+    @property
     def affected(self) -> DataFrame:
-        return kept(explain.affected(self.operations, self.positions, self.nodes, kept))
+        """Each node of each operation, on request: operations times siblings under one parent."""
+        return explain.affected(self.reach, self.reach_groups)
+
+    def affected_refs(self) -> DataFrame:
+        """pair_id, effect_id, affected_refs: the sorted list of each effect, on request."""
+        rows = self.effects.select("pair_id", "effect_id", F.col("root_operation_id").alias("operation_id")).join(self.affected, ["pair_id", "operation_id"])
+        return rows.groupBy("pair_id", "effect_id").agg(F.sort_array(F.collect_list("node_ref")).alias("affected_refs"))
 
     @cached_property
     def effects(self) -> DataFrame:
-        return kept(explain.suppress(self.operations, self.affected, self.bundle.suppression))
+        return kept(explain.suppress(self.reach, self.reach_groups, self.bundle.suppression))
 
     @cached_property
     def retained(self) -> DataFrame:
-        return explain.retained_defects(self.operations, self.affected, self.bundle.suppression)
+        return explain.retained_defects(self.operations, self.reach, self.reach_groups, self.bundle.suppression)
 
     @cached_property
     def diagnostics(self) -> DataFrame:
@@ -153,7 +174,7 @@ class Result:
         parts = [
             self.operations.select("pair_id", F.to_json(F.struct("operation_id", "type", "source_refs", "target_refs", "from_parent", "to_parent", "confidence", "evidence_codes")).alias("x")),
             self.matches.select("pair_id", F.to_json(F.struct("match_id", "state", "score", "confidence", "evidence")).alias("x")),
-            self.effects.select("pair_id", F.to_json(F.struct("effect_id", "root_operation_id", "rule_id", "affected_refs")).alias("x")),
+            self.effects.select("pair_id", F.to_json(F.struct("effect_id", "root_operation_id", "rule_id", "n_affected", "refs_digest")).alias("x")),
         ]
         # digests of rows, then of cells of rows: a pair with most rows is no single task's list
         rows = reduce(DataFrame.unionByName, parts).select("pair_id", F.sha2(F.col("x").cast("binary"), 256).alias("h"))

@@ -39,7 +39,7 @@ def ambiguity_rate(result: Result) -> DataFrame:
 def cascade_reduction(result: Result) -> DataFrame:
     """pair_id and the share of findings (changes and derived effects) that suppression takes off the list."""
     changes = result.operations.where("type <> 'MATCH'").groupBy("pair_id").agg(F.count(F.lit(1)).alias("n"))
-    derived = result.effects.groupBy("pair_id").agg(F.sum(F.size("affected_refs")).alias("d"))
+    derived = result.effects.groupBy("pair_id").agg(F.sum("n_affected").alias("d"))
     rows = changes.join(derived, "pair_id", "left").withColumn("d", F.coalesce("d", F.lit(0).cast("long")))
     return rows.select("pair_id", (F.col("d") / (F.col("d") + F.col("n"))).alias("cascade_reduction"))
 

@@ -339,8 +339,7 @@ def causal_summary(spark, sf_dir):
 def _suppress_query(type_: str) -> None:
     def run(spark, sf_dir):
         rows = _result(spark, sf_dir).effects.where(F.col("root_operation_id").startswith(f"op:{type_.lower()}:"))
-        refs = F.col("affected_refs")
-        return rows.select("pair_id", F.col("root_operation_id").alias("operation_id"), F.size(refs).cast("long").alias("n"), F.array_min(refs).alias("first_ref"), F.array_max(refs).alias("last_ref"), "confidence")
+        return rows.select("pair_id", F.col("root_operation_id").alias("operation_id"), F.col("n_affected").alias("n"), "first_ref", "last_ref", "confidence")
 
     run.__name__ = f"suppress_{type_.lower()}"
     query(_sql(f"SELECT pair_id, operation_id, n, first_ref, last_ref, confidence FROM eff WHERE type = '{type_}'", _OPS, _AFFECTED))(run)
@@ -369,8 +368,7 @@ def _moved(spark, sf_dir) -> Result:
 
 @query(_sql("SELECT pair_id, operation_id, n, first_ref, last_ref FROM eff WHERE type = 'MOVE'", _OPS, _AFFECTED, nodes=_MOVED))
 def suppress_move_subtrees(spark, sf_dir):
-    refs = F.col("affected_refs")
-    return _moved(spark, sf_dir).effects.where("category = 'DESCENDANT_PATH_CHANGED'").select("pair_id", F.col("root_operation_id").alias("operation_id"), F.size(refs).cast("long").alias("n"), F.array_min(refs).alias("first_ref"), F.array_max(refs).alias("last_ref"))
+    return _moved(spark, sf_dir).effects.where("category = 'DESCENDANT_PATH_CHANGED'").select("pair_id", F.col("root_operation_id").alias("operation_id"), F.col("n_affected").alias("n"), "first_ref", "last_ref")
 
 
 @query(_sql("SELECT DISTINCT o.pair_id, o.s AS node_ref FROM ops o JOIN below b ON b.pair_id = o.pair_id AND b.node_ref = o.s WHERE o.type = 'UPDATE'", _OPS, _AFFECTED, nodes=_MOVED))
@@ -381,7 +379,7 @@ def suppress_retained_defects(spark, sf_dir):
 @query(_sql("SELECT pair_id, type, count(*) AS n_effects, sum(n)::BIGINT AS n_refs FROM eff GROUP BY ALL", _OPS, _AFFECTED))
 def suppress_counts_by_root(spark, sf_dir):
     rows = _result(spark, sf_dir).effects.withColumn("type", F.upper(F.split("root_operation_id", ":")[1]))
-    return rows.groupBy("pair_id", "type").agg(F.count(F.lit(1)).alias("n_effects"), F.sum(F.size("affected_refs")).alias("n_refs"))
+    return rows.groupBy("pair_id", "type").agg(F.count(F.lit(1)).alias("n_effects"), F.sum("n_affected").alias("n_refs"))
 
 
 # --- trees ----------------------------------------------------------------------

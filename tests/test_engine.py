@@ -86,7 +86,7 @@ def test_diagnostics(result):
 
 
 def test_suppression(result):
-    e = by_pair(result.effects, "category", "affected_refs", "independent_defect_check")
+    e = by_pair(result.effects.join(result.affected_refs(), ["pair_id", "effect_id"]), "category", "affected_refs", "independent_defect_check")
     assert e["move"] == [("DESCENDANT_PATH_CHANGED", ["a1"], "PASSED")]
     assert e["insert"] == [("DOWNSTREAM_POSITION_CHANGED", ["a", "b"], "NOT_APPLICABLE")]
     assert by_pair(result.retained, "node_ref")["defect"] == ["a1"]

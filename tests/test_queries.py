@@ -59,6 +59,7 @@ def test_saved_reports_and_decisions(spark, loc, tmp_path):
         report.save(loc, where, redact=True)
     got = report.load(spark, where, "j")
     assert got["head"].select("job_id", "locale", "complete").first()[:] == ("j", "fr-FR", True)
+    assert got["effect_groups"].join(got["group_members"], "group_id").count() == loc.result.effects.agg({"n_affected": "sum"}).first()[0]
     assert got["issues"].count() == loc.issues.count() and got["suppressed_effects"].count() == loc.result.effects.count()
     assert {r["status_symbol"] for r in got["issues"].where("status = 'MISSING_IN_LOCALE'").collect()} == {"-"}
     assert got["recommendations"].count() == loc.recommendations.count() > 0 and got["root_causes"].where("type = 'INSERT'").count() == 1
