@@ -7,7 +7,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from arboris import queries
+from arboris import detail_queries, queries  # noqa: F401
 from arboris.plans import report
 from arboris.plans.engine import reconcile
 from arboris.plans.localization import Localization, price, record_decisions
@@ -18,7 +18,7 @@ DATA = "/root/testdata/sf0.001"
 
 
 @pytest.mark.skipif(not Path(DATA).exists(), reason="no test tables here")
-@pytest.mark.parametrize("name", ["match_state_counts", "align_regions", "ops_move", "op_counts", "suppress_move_subtrees", "loc_summary", "dita_nodes_generated"])
+@pytest.mark.parametrize("name", ["match_state_counts", "align_regions", "ops_move", "op_counts", "suppress_move_subtrees", "loc_summary", "dita_nodes_generated", "loc_issue_details", "report_csv_cells", "jobs_states", "decisions_recorded", "quality_labelled", "tree_first_violations"])
 def test_against_sql(spark, name):
     db = duckdb.connect()
     for f in Path(DATA).glob("*.parquet"):
