@@ -89,8 +89,16 @@ class Words:
             strict = PATTERN.replace(r"\p{L}+", rf"(?:(?![{later}])\p{{L}})+", 1).replace(r"\p{N}+", rf"(?:(?![{later}])\p{{N}})+", 1)
             self.strict = regex.compile(strict.replace(r"[^\s\p{L}\p{N}]+", rf"(?:[^\s\p{{L}}\p{{N}}]|[{later}])+"))
 
+    def _cut(self, text: str) -> regex.Pattern:
+        try:
+            text.encode("latin-1")  # quicker than a search, and mostly enough
+        except UnicodeEncodeError:
+            if self.later is not None and self.later.search(text):
+                return self.strict
+        return self.plain
+
     def __call__(self, text: str) -> Iterator[list[str]]:
-        cut = self.strict if self.later is not None and not text.isascii() and self.later.search(text) else self.plain
+        cut = self._cut(text)
         if len(text) <= AT_ONCE:
             yield cut.findall(text)
             return
@@ -150,16 +158,17 @@ class Vocabulary:
         at = np.minimum(np.searchsorted(self.keys, pair), len(self.keys) - 1)
         return np.where(self.keys[at] == pair, self.ranks[at], _NONE)
 
-    def merge(self, words: list[bytes]) -> list[np.ndarray]:
-        """Ids of each word."""
+    def merge(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each word, four bytes each, least first."""
         size = np.fromiter(map(len, words), np.int64, len(words))
-        out: list[np.ndarray] = [np.empty(0, np.int64)] * len(words)
+        out = [b""] * len(words)
         for group, how in ((np.flatnonzero((size > 0) & (size <= LONG)), self._by_word), (np.flatnonzero(size > LONG), self._by_rank)):
             if len(group):
-                sym = self.first[np.frombuffer(b"".join([words[i] for i in group]), np.uint8)]
+                sym = self.first[np.frombuffer(b"".join([words[i] for i in group.tolist()]), np.uint8)]
                 ids, counts = how(sym, size[group])
-                for i, own in zip(group, np.split(ids, np.cumsum(counts)[:-1])):
-                    out[i] = own
+                flat, ends = ids.astype("<u4").tobytes(), (np.cumsum(counts) * 4).tolist()
+                for i, start, end in zip(group.tolist(), [0, *ends], ends):
+                    out[i] = flat[start:end]
         return out
 
     def _by_word(self, sym: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -254,44 +263,53 @@ class Codec:
         added = sorted(vocabulary.added, key=len, reverse=True)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, added)) + ")") if added else None
 
-    def _ids(self, pieces: set[str]) -> dict[str, bytes]:
-        """Ids of words, those that aren't known merged together."""
-        young, old = self.young, self.old
-        out: dict[str, bytes] = {}
-        new: list[str] = []
-        for p in pieces:
-            if (ids := young.get(p)) is None and (ids := old.get(p)) is None:
+    def _learn(self, pieces: set[str]) -> list[str]:
+        """Put the ids of words into memory, those that aren't known merged together; the long ones among them, to be forgotten soon."""
+        missing = pieces.difference(self.young)
+        new = []
+        for p in missing:
+            if (ids := self.old.get(p)) is None:
                 new.append(p)
             else:
-                out[p] = ids
-        for p, ids in zip(new, self.vocabulary.merge([p.encode("utf-8", "replace") for p in new]) if new else ()):
-            out[p] = ids.astype("<u4").tobytes()
-        if len(young) >= CACHE_ENTRIES:
-            self.old, self.young = young, {}
-        self.young.update((p, ids) for p, ids in out.items() if len(p) <= SHORT)
-        return out
+                self.young[p] = ids
+        self.young.update(zip(new, self.vocabulary.merge([p.encode("utf-8", "replace") for p in new])))
+        return [p for p in new if len(p) > SHORT]
+
+    def _forget(self, pieces: list[str]) -> None:
+        for p in pieces:
+            del self.young[p]
+        if len(self.young) >= CACHE_ENTRIES:
+            self.old, self.young = self.young, {}
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text; the words of all texts are merged together, long texts by themselves."""
-        out: list[bytes | None] = [None] * len(texts)
+        """Ids of each text; the words of all texts are merged together, those of long texts by themselves."""
+        out = [b""] * len(texts)
         held: list[tuple[int, list]] = []
+        added = self.vocabulary.added
         for i, text in enumerate(texts):
-            text = text or ""
+            if not text:
+                continue
             parts = self.cut.split(text) if self.cut is not None and self.cut.search(text) else [text]
-            if len(text) > AT_ONCE:
-                ids = bytearray()
-                for k, part in enumerate(parts):
-                    if k % 2:
-                        ids += self.vocabulary.added[part].to_bytes(4, "little")
-                    for pieces in self.words(part) if k % 2 == 0 else ():
-                        known = self._ids(set(pieces))
-                        ids += b"".join([known[p] for p in pieces])
-                out[i] = bytes(ids)
-            else:
-                held.append((i, [self.vocabulary.added[x] if k % 2 else [p for some in self.words(x) for p in some] for k, x in enumerate(parts)]))
-        known = self._ids({p for _, parts in held for x in parts if isinstance(x, list) for p in x})
+            if len(text) <= AT_ONCE:
+                held.append((i, [added[x] if k % 2 else [p for some in self.words(x) for p in some] for k, x in enumerate(parts)]))
+                continue
+            ids = bytearray()
+            for k, part in enumerate(parts):
+                if k % 2:
+                    ids += added[part].to_bytes(4, "little")
+                    continue
+                for pieces in self.words(part):
+                    long = self._learn(set(pieces))
+                    ids += b"".join(map(self.young.__getitem__, pieces))
+                    self._forget(long)
+            out[i] = bytes(ids)
+        every: set[str] = set()
+        every.update(*(x for _, parts in held for x in parts if isinstance(x, list)))
+        long = self._learn(every)
+        get = self.young.__getitem__
         for i, parts in held:
-            out[i] = b"".join([x.to_bytes(4, "little") if isinstance(x, int) else b"".join([known[p] for p in x]) for x in parts])
+            out[i] = b"".join([x.to_bytes(4, "little") if isinstance(x, int) else b"".join(map(get, x)) for x in parts])
+        self._forget(long)
         return out
 
     def decode(self, ids: Iterable[int]) -> str:
