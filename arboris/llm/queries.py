@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arboris.llm import ann, bpe, bpe_rounds, chat, html_wrapper, langid, mixing, neardup, quality, sketch, warc
+from arboris.llm import ann, bpe, bpe_rounds, chat, html_wrapper, langid, mixing, neardup, quality, resample, sketch, warc, whiten
 from arboris.llm.common import held_out, table
 
 #: Score from which a text is predicted to be of good quality.
@@ -61,6 +61,15 @@ def op10_host_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_wrapper.main_text(table(spark, sf_dir, "pages"))
 
 
+def op11_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_exact_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = whiten.whiten(table(spark, sf_dir, "embeddings"))
+    return out.withColumn("deviation", F.col("deviation").try_cast("long"))  # null where a long can't hold it
+
+
 def op13_merge_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_rounds.round_trip(table(spark, sf_dir, "documents"), str(public_tokenizers.path("byte_bpe_50k.json")))
 
@@ -70,7 +79,7 @@ QUERIES = {
     for f in (
         op1_chat_repair, op2_quality_knn, op3_byte_bpe, op4_ivf_pq, op5_warc_round_trip,
         op6_source_mix, op7_minhash_join, op8_language_mixture, op9_threshold_sketch, op10_host_wrappers,
-        op13_merge_rounds,
+        op11_importance_resample, op12_exact_whitening, op13_merge_rounds,
     )
 }
 
