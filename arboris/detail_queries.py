@@ -42,8 +42,10 @@ rep AS (SELECT *, 'repair-' || row_number() OVER (PARTITION BY pair_id ORDER BY
 
 @query(_sql("SELECT pair_id, issue_id, status, severity, action, source_ref, locale_ref, source_id, locale_id, match_ids, root AS operation_id, mc AS match_confidence, oc AS operation_confidence, translation_state FROM det", _OPS, _DETAILS))
 def loc_issue_details(spark, sf_dir):
-    return _localized(spark, sf_dir).issues.select(
-        "pair_id", "issue_id", "status", "severity", "action", "source_ref", "locale_ref", "source_id", "locale_id", F.array_join("match_ids", ";").alias("match_ids"),
+    loc = _localized(spark, sf_dir)
+    rows = loc.issues.join(loc.issue_match_ids().withColumnRenamed("match_ids", "ids"), ["pair_id", "issue_id"], "left")
+    return rows.select(
+        "pair_id", "issue_id", "status", "severity", "action", "source_ref", "locale_ref", "source_id", "locale_id", F.array_join(F.coalesce("ids", "match_ids"), ";").alias("match_ids"),
         F.get("operation_ids", F.lit(0)).alias("operation_id"), "match_confidence", "operation_confidence", "translation_state",
     )
 
@@ -249,8 +251,8 @@ def generated_trees(spark, sf_dir):
     for make, n in shapes:
         nodes = nodes.unionByName(make(spark, n, side="S")).unionByName(make(spark, n, side="T"))
     r = reconcile(kept(nodes), DITA)
-    kinds = r.operations.select("pair_id", F.col("type").alias("kind")).unionByName(r.matches.where("state = 'AMBIGUOUS'").select("pair_id", F.col("state").alias("kind")))
-    return kinds.groupBy("pair_id", "kind").agg(F.count(F.lit(1)).alias("n"))
+    kinds = r.operations.groupBy("pair_id", F.col("type").alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+    return kinds.unionByName(r.graph.counts().where("state = 'AMBIGUOUS'").withColumnRenamed("state", "kind"))
 
 
 # S: a root whose list of children is wrong in places; T: customers of a nation in a ring, without a root

@@ -20,40 +20,39 @@ def roots(nodes: DataFrame) -> DataFrame:
     return s.join(top.where(F.col("side") == TARGET).select("pair_id", F.col("node_ref").alias("t")), "pair_id")
 
 
-def parent_pairs(nodes: DataFrame, matches: DataFrame) -> DataFrame:
+def parent_pairs(nodes: DataFrame, sure: DataFrame) -> DataFrame:
     """pair_id, sp, tp: parents whose children are aligned."""
-    sure = matches.where(F.col("state") == CONFIRMED).select("pair_id", "s", "t")
+    sure = sure.where(F.col("state") == CONFIRMED).select("pair_id", "s", "t")
     return roots(nodes).union(sure).distinct().select("pair_id", F.col("s").alias("sp"), F.col("t").alias("tp"))
 
 
 def ambiguous_ids(matches: DataFrame, end: str) -> DataFrame:
-    """Ids of the ambiguous matches of each node that has no confirmed one: pair_id, node_ref, ambiguous_match_ids."""
-    sure = matches.where(F.col("state") == CONFIRMED).select("pair_id", end)
-    open_ = matches.where(F.col("state") == AMBIGUOUS).select("pair_id", end, "match_id").join(sure, ["pair_id", end], "left_anti")
-    return open_.groupBy("pair_id", F.col(end).alias("node_ref")).agg(F.sort_array(F.collect_list("match_id")).alias("ambiguous_match_ids"))
+    """pair_id, node_ref, ambiguous_match_ids: the ambiguous matches of each node, on request, as k nodes alike have k each."""
+    open_ = matches.where(F.col("state") == AMBIGUOUS).select("pair_id", F.col(end).alias("node_ref"), "match_id")
+    return open_.groupBy("pair_id", "node_ref").agg(F.sort_array(F.collect_list("match_id")).alias("ambiguous_match_ids"))
 
 
-def positions(nodes: DataFrame, matches: DataFrame) -> DataFrame:
-    """pair_id, sp, tp, block (0 aligned, 1 source, 2 target), pos, kind, s, t, match_id, confidence, ambiguous_match_ids."""
-    pairs = parent_pairs(nodes, matches)
+def positions(nodes: DataFrame, sure: DataFrame, open_nodes: DataFrame) -> DataFrame:
+    """pair_id, sp, tp, block (0 aligned, 1 source, 2 target), pos, kind, s, t, match_id, confidence."""
+    pairs = parent_pairs(nodes, sure)
     kids = nodes.where("parent_ref is not null").select("pair_id", "side", "node_ref", "parent_ref", "child_pos")
     s = kids.where(F.col("side") == SOURCE).select("pair_id", F.col("parent_ref").alias("sp"), F.col("node_ref").alias("s"), F.col("child_pos").alias("s_pos"))
     t = kids.where(F.col("side") == TARGET).select("pair_id", F.col("parent_ref").alias("tp"), F.col("node_ref").alias("t"), F.col("child_pos").alias("t_pos"))
-    sure = matches.where(F.col("state") == CONFIRMED).select("pair_id", "s", "t", "match_id", "confidence")
+    sure = sure.where(F.col("state") == CONFIRMED).select("pair_id", "s", "t", "match_id", "confidence")
     placed = sure.join(s, ["pair_id", "s"]).join(t, ["pair_id", "t"]).join(pairs, ["pair_id", "sp", "tp"])
-    none = F.array().cast("array<string>")
-    aligned = placed.select("pair_id", "sp", "tp", F.lit(0).alias("block"), F.col("s_pos").alias("pos"), F.lit(ALIGNED).alias("kind"), "s", "t", "match_id", "confidence", none.alias("ambiguous_match_ids"), "t_pos")
+    aligned = placed.select("pair_id", "sp", "tp", F.lit(0).alias("block"), F.col("s_pos").alias("pos"), F.lit(ALIGNED).alias("kind"), "s", "t", "match_id", "confidence", "t_pos")
 
     def left_over(kids: DataFrame, end: str, block: int, only: str, unresolved: str) -> DataFrame:
         parent = "sp" if end == "s" else "tp"
         rest = pairs.join(kids, ["pair_id", parent]).join(placed.select("pair_id", "sp", "tp", end), ["pair_id", "sp", "tp", end], "left_anti")
-        rest = rest.join(ambiguous_ids(matches, end).withColumnRenamed("node_ref", end), ["pair_id", end], "left")
-        kind = F.when(F.col("ambiguous_match_ids").isNotNull(), unresolved).otherwise(only)
+        open_ = open_nodes.where(F.col("side") == (SOURCE if end == "s" else TARGET)).select("pair_id", F.col("node_ref").alias(end), F.lit(True).alias("open"))
+        rest = rest.join(open_, ["pair_id", end], "left")
+        kind = F.when(F.col("open"), unresolved).otherwise(only)
         null = F.lit(None).cast("string")
         return rest.select(
             "pair_id", "sp", "tp", F.lit(block).alias("block"), F.col(f"{end}_pos").alias("pos"), kind.alias("kind"),
             F.col("s") if end == "s" else null.alias("s"), F.col("t") if end == "t" else null.alias("t"), null.alias("match_id"),
-            F.lit(None).cast("double").alias("confidence"), F.coalesce("ambiguous_match_ids", none).alias("ambiguous_match_ids"), F.lit(None).cast("long").alias("t_pos"),
+            F.lit(None).cast("double").alias("confidence"), F.lit(None).cast("long").alias("t_pos"),
         )
 
     return aligned.unionByName(left_over(s, "s", 1, SOURCE_ONLY, UNRESOLVED_SOURCE)).unionByName(left_over(t, "t", 2, TARGET_ONLY, UNRESOLVED_TARGET))
@@ -67,7 +66,7 @@ def is_ordered(node_type: Column, profile: Alignment) -> Column:
     return out
 
 
-def regions(nodes: DataFrame, positions: DataFrame, profile: Alignment, matches: DataFrame) -> DataFrame:
+def regions(nodes: DataFrame, positions: DataFrame, profile: Alignment, sure: DataFrame) -> DataFrame:
     """pair_id, sp, tp, region_id, ordered, order_changed, unresolved, n_aligned, n_unresolved; regions without children too."""
     types = nodes.where(F.col("side") == SOURCE).select("pair_id", F.col("node_ref").alias("sp"), "node_type")
     w = Window.partitionBy("pair_id", "sp", "tp")
@@ -75,7 +74,7 @@ def regions(nodes: DataFrame, positions: DataFrame, profile: Alignment, matches:
     moved = lined.withColumn("a", F.row_number().over(w.orderBy("pos", "s"))).withColumn("b", F.row_number().over(w.orderBy("t_pos", "t")))
     order = moved.groupBy("pair_id", "sp", "tp").agg(F.bool_or(F.col("a") != F.col("b")).alias("moved"))
     state = positions.groupBy("pair_id", "sp", "tp").agg(F.count_if(F.col("kind") == ALIGNED).alias("n_aligned"), F.count_if(F.col("kind").startswith("UNRESOLVED")).alias("n_unresolved"))
-    out = parent_pairs(nodes, matches).join(types, ["pair_id", "sp"], "left").join(state, ["pair_id", "sp", "tp"], "left").join(order, ["pair_id", "sp", "tp"], "left")
+    out = parent_pairs(nodes, sure).join(types, ["pair_id", "sp"], "left").join(state, ["pair_id", "sp", "tp"], "left").join(order, ["pair_id", "sp", "tp"], "left")
     ordered = is_ordered(F.col("node_type"), profile)
     zero = F.lit(0).cast("long")
     return out.select(

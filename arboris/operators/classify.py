@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arboris.operators.align import ALIGNED, SOURCE_ONLY, TARGET_ONLY, roots
-from arboris.operators.match import AMBIGUOUS, CONFIRMED
+from arboris.operators.match import CONFIRMED
 from arboris.profiles import Operation
 from arboris.schema import SOURCE, TARGET
 
@@ -18,16 +18,16 @@ FORCED = "UNRESOLVED_CORRESPONDENCE_FORCED_BY_POLICY"
 
 
 class Context:
-    """What classifiers read: nodes with evidence, matches, positions, regions, the profile; and the moves, made once."""
+    """What classifiers read: nodes with evidence, sure matches, ambiguous nodes, positions, regions, the profile; and the moves, made once."""
 
-    def __init__(self, nodes: DataFrame, matches: DataFrame, positions: DataFrame, regions: DataFrame, profile: Operation, stage=lambda df: df):
-        self.nodes, self.matches, self.positions, self.regions, self.profile = nodes, matches, positions, regions, profile
+    def __init__(self, nodes: DataFrame, sure: DataFrame, open_nodes: DataFrame, positions: DataFrame, regions: DataFrame, profile: Operation, stage=lambda df: df):
+        self.nodes, self.sure, self.open_nodes, self.positions, self.regions, self.profile = nodes, sure, open_nodes, positions, regions, profile
         self.moves = stage(self._moves())
 
     def _moves(self) -> DataFrame:
         """Confirmed pairs under parents that do not correspond, sure enough: pair_id, s, t, sp, tp, expected, match_id, confidence."""
         parents = self.nodes.where("parent_ref is not null").select("pair_id", "side", "node_ref", "parent_ref")
-        sure = self.matches.where(F.col("state") == CONFIRMED).select("pair_id", "s", "t", "match_id", "confidence")
+        sure = self.sure.where(F.col("state") == CONFIRMED).select("pair_id", "s", "t", "match_id", "confidence")
         rows = sure.join(parents.where(F.col("side") == SOURCE).select("pair_id", F.col("node_ref").alias("s"), F.col("parent_ref").alias("sp")), ["pair_id", "s"])
         rows = rows.join(parents.where(F.col("side") == TARGET).select("pair_id", F.col("node_ref").alias("t"), F.col("parent_ref").alias("tp")), ["pair_id", "t"])
         same = roots(self.nodes).union(sure.select("pair_id", "s", "t")).distinct().select("pair_id", F.col("s").alias("sp"), F.col("t").alias("tp"))
@@ -65,9 +65,8 @@ def insert_delete(c: Context) -> DataFrame:
         rows = rows.join(c.regions.where("unresolved").select("pair_id", "sp", "tp"), ["pair_id", "sp", "tp"], "left_anti")
     if policy != "EMIT_ALL":
         rows = rows.where(F.col("kind").isin(SOURCE_ONLY, TARGET_ONLY))
-        for end in "st":  # the second barrier: whatever the aligner says
-            sure = c.matches.where(F.col("state") == CONFIRMED).select("pair_id", end)
-            open_ = c.matches.where(F.col("state") == AMBIGUOUS).select("pair_id", end).distinct().join(sure, ["pair_id", end], "left_anti")
+        for end, side in (("s", SOURCE), ("t", TARGET)):  # the second barrier: whatever the aligner says
+            open_ = c.open_nodes.where(F.col("side") == side).select("pair_id", F.col("node_ref").alias(end))
             rows = rows.join(open_, ["pair_id", end], "left_anti")
     rows = rows.join(c.moves.select("pair_id", "s"), ["pair_id", "s"], "left_anti").join(c.moves.select("pair_id", "t"), ["pair_id", "t"], "left_anti")
     forced = F.col("kind").startswith("UNRESOLVED")

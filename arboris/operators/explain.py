@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from arboris.operators.align import ALIGNED
 from arboris.operators.evidence import descendants
-from arboris.operators.match import AMBIGUOUS
 from arboris.operators.number import numbered
 from arboris.profiles import Suppression
 from arboris.schema import SOURCE
@@ -18,8 +17,9 @@ from arboris.schema import SOURCE
 COSTS = {"MATCH": 0.0, "UPDATE": 1.0, "INSERT": 1.0, "DELETE": 1.0, "MOVE": 1.5, "REORDER": 1.2}
 
 
-def explanations(operations: DataFrame, matches: DataFrame, pairs: DataFrame) -> DataFrame:
-    """pair_id, explanation_id, n_roots, objective_score, confidence of each of ``pairs``; root operations by ``root_operations``.
+def explanations(operations: DataFrame, ambiguous: DataFrame, pairs: DataFrame) -> DataFrame:
+    """pair_id, explanation_id, n_roots, objective_score, confidence of each of ``pairs``, twice where it is in ``ambiguous``;
+    root operations by ``root_operations``.
 
     Sums are of decimals, so that they do not depend on the order of the rows.
     """
@@ -31,7 +31,7 @@ def explanations(operations: DataFrame, matches: DataFrame, pairs: DataFrame) ->
         F.coalesce(F.round(F.avg(F.when(changed, exact)).cast("double"), 6), F.lit(1.0)).alias("confidence"),
     )
     rows = pairs.select("pair_id").distinct().join(rows, "pair_id", "left").fillna({"n_roots": 0, "objective_score": 0.0, "confidence": 1.0})
-    open_ = matches.where(F.col("state") == AMBIGUOUS).select("pair_id").distinct()
+    open_ = ambiguous.select("pair_id").distinct()
     primary = rows.withColumn("explanation_id", F.lit("explanation-primary"))
     return primary.unionByName(rows.join(open_, "pair_id", "left_semi").withColumn("explanation_id", F.lit("explanation-ambiguous-alternative")))
 

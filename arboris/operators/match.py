@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 from itertools import combinations
 
@@ -33,22 +34,60 @@ def authoritative(evidence: DataFrame, profile: Matching) -> DataFrame:
     return rows if profile.authoritative_ids else rows.where("false")
 
 
-def candidates(evidence: DataFrame, confirmed: DataFrame, profile: Matching) -> DataFrame:
-    """Scored pairs of free nodes at or above the probable threshold, by equi-joins on blocking keys."""
-    taken_s = confirmed.select("pair_id", "s")
-    taken_t = confirmed.select("pair_id", "t")
-    s = side(evidence, SOURCE, "s").join(taken_s, ["pair_id", "s"], "left_anti")
-    t = side(evidence, TARGET, "t").join(taken_t, ["pair_id", "t"], "left_anti")
-    found = []
-    for keys in scoring.blocking_keys(profile):
-        met = s.join(t.withColumnRenamed("pair_id", "_p"), _on(keys, profile))
-        found.append(met.select("pair_id", "s", "t", scoring.mask().alias("mask")))
+def members(evidence: DataFrame, confirmed: DataFrame) -> DataFrame:
+    """Free nodes with their class: pair_id, side, node_ref, class_id and the evidence that its nodes share.
+
+    No score can tell the nodes of a class apart. Ids and labels that no free node of the other side has can't be
+    equal to any, so only that there is one counts; one mark per side stands for all of them.
+    """
+    ends = []
+    for which, end in ((SOURCE, "s"), (TARGET, "t")):
+        taken = confirmed.select("pair_id", F.col(end).alias("node_ref"))
+        ends.append(evidence.where(F.col("side") == which).join(taken, ["pair_id", "node_ref"], "left_anti").select("pair_id", "side", "node_ref", "node_type", *_EVIDENCE))
+    free = ends[0].unionByName(ends[1])
+    for c in ("persistent_id", "label"):
+        value = F.concat(F.lit("="), c)
+        both = free.where(F.col(c).isNotNull()).groupBy("pair_id", value.alias("_key")).agg((F.min("side") != F.max("side")).alias("_both"))
+        # nodes without one are dealt by their refs, so that they don't meet in one task
+        keyed = free.withColumn("_key", F.coalesce(value, F.concat(F.lit("~"), "node_ref"))).join(both.where("_both"), ["pair_id", "_key"], "left")
+        free = keyed.withColumn(c, F.when(F.col(c).isNotNull(), F.when(F.col("_both"), value).otherwise(F.concat(F.lit("~"), "side")))).drop("_key", "_both")
+    return free.withColumn("class_id", F.md5(F.to_json(F.struct("node_type", *_EVIDENCE)).cast("binary")))
+
+
+def class_edges(members: DataFrame, profile: Matching) -> DataFrame:
+    """Pairs of classes whose nodes score at or above the probable threshold, by equi-joins on blocking keys: pair_id,
+    s_class, t_class, mask, score, and of each side how many nodes it has and the first of them (n_s, first_s, n_t, first_t)."""
+    same = ["node_type", *_EVIDENCE]
+    every = members.groupBy("pair_id", "side", "class_id", *same).agg(F.count(F.lit(1)).alias("n"), F.min("node_ref").alias("first"))
+
+    def end(which: str, e: str) -> DataFrame:
+        rows = every.where(F.col("side") == which)
+        return rows.select(F.col("pair_id").alias("pair_id" if e == "s" else "_p"), F.col("class_id").alias(f"{e}_class"), F.col("n").alias(f"n_{e}"), F.col("first").alias(f"first_{e}"), *(F.col(c).alias(f"{e}_{c}") for c in same))
+
+    s, t = end(SOURCE, "s"), end(TARGET, "t")
+    columns = ["pair_id", "s_class", "t_class", "mask", "n_s", "first_s", "n_t", "first_t"]
+    found = [s.join(t, _on(keys, profile)).withColumn("mask", scoring.mask()).select(*columns) for keys in scoring.blocking_keys(profile)]
     if not found:
-        return confirmed.select("pair_id", "s", "t", F.lit(0).alias("mask"), F.lit(0.0).alias("score")).where("false")
-    every = reduce(DataFrame.unionByName, found)
+        found = [s.join(t, (F.col("pair_id") == F.col("_p")) & F.lit(False)).withColumn("mask", F.lit(0)).select(*columns)]
+    rows = reduce(DataFrame.unionByName, found)
     if len(found) > 1:
-        every = every.dropDuplicates(["pair_id", "s", "t"])
-    return every.withColumn("score", scoring.score(F.col("mask"), profile)).where(F.col("score") >= profile.probable_threshold)
+        rows = rows.dropDuplicates(["pair_id", "s_class", "t_class"])
+    return rows.withColumn("score", scoring.score(F.col("mask"), profile)).where(F.col("score") >= profile.probable_threshold)
+
+
+def expanded(edges: DataFrame, members: DataFrame) -> DataFrame:
+    """pair_id, s, t, mask, score of each pair of nodes of pairs of classes. On request only: k nodes alike on both sides are k * k of these."""
+    def end(which: str, e: str) -> DataFrame:
+        return members.where(F.col("side") == which).select("pair_id", F.col("class_id").alias(f"{e}_class"), F.col("node_ref").alias(e))
+
+    rows = edges.select("pair_id", "s_class", "t_class", "mask", "score").join(end(SOURCE, "s"), ["pair_id", "s_class"]).join(end(TARGET, "t"), ["pair_id", "t_class"])
+    return rows.select("pair_id", "s", "t", "mask", "score")
+
+
+def candidates(evidence: DataFrame, confirmed: DataFrame, profile: Matching) -> DataFrame:
+    """Scored pairs of free nodes at or above the probable threshold."""
+    own = members(evidence, confirmed)
+    return expanded(class_edges(own, profile), own)
 
 
 def candidate_counts(evidence: DataFrame, confirmed: DataFrame, profile: Matching) -> DataFrame:
@@ -80,40 +119,68 @@ def _on(keys: tuple[str, ...], profile: Matching):
     return on
 
 
-def ambiguous(cand: DataFrame, profile: Matching) -> DataFrame:
-    """Edges that compete: from a source to near-best targets, and to a target from sources that prefer it about equally."""
-    by_s = Window.partitionBy("pair_id", "s")
-    order = by_s.orderBy(F.desc("score"), "t")
-    rows = cand.withColumn("rn", F.row_number().over(order)).withColumn("top", F.max("score").over(by_s))
-    second = F.max(F.when(F.col("rn") == 2, F.col("score"))).over(by_s)
-    near = F.col("top") - F.col("score") <= profile.ambiguity_margin
-    from_source = rows.withColumn("second", second).where((F.col("top") >= profile.match_threshold) & (F.col("top") - F.col("second") <= profile.ambiguity_margin) & near)
-    by_t = Window.partitionBy("pair_id", "t")
-    picks = rows.where((F.col("rn") == 1) & (F.col("score") >= profile.match_threshold)).withColumn("best", F.max("score").over(by_t))
-    close = picks.where(F.col("best") - F.col("score") <= profile.ambiguity_margin).withColumn("n", F.count(F.lit(1)).over(by_t))
-    columns = ["pair_id", "s", "t", "mask", "score"]
-    return from_source.select(*columns).union(close.where("n >= 2").select(*columns)).distinct()
-
-
-def confirmable(cand: DataFrame, amb: DataFrame, profile: Matching) -> DataFrame:
-    """Best picks of sources, one per target, where neither end is ambiguous. There is no second choice."""
-    order = Window.partitionBy("pair_id", "s").orderBy(F.desc("score"), "t")
-    best = cand.withColumn("rn", F.row_number().over(order)).where((F.col("rn") == 1) & (F.col("score") >= profile.match_threshold)).drop("rn")
-    best = best.join(amb.select("pair_id", "s").distinct(), ["pair_id", "s"], "left_anti").join(amb.select("pair_id", "t").distinct(), ["pair_id", "t"], "left_anti")
-    first = Window.partitionBy("pair_id", "t").orderBy(F.desc("score"), "s")
-    return best.withColumn("rn", F.row_number().over(first)).where("rn = 1").select("pair_id", "s", "t", "mask", "score")
-
-
-def match(evidence: DataFrame, profile: Matching, stage=lambda df: df) -> DataFrame:
-    """The match graph: pair_id, s, t, state, score, confidence, evidence, violations, match_id, profile_version."""
-    auth = stage(authoritative(evidence, profile))
-    cand = stage(candidates(evidence, auth.where(F.col("state") == CONFIRMED), profile))
-    amb = stage(ambiguous(cand, profile))
-    sure = confirmable(cand, amb, profile)
-    columns = ["pair_id", "s", "t", "mask", "state", "score", "confidence"]
-    rows = auth.select(*columns)
-    for df, state in ((amb, AMBIGUOUS), (sure, CONFIRMED)):
-        rows = rows.unionByName(df.select("pair_id", "s", "t", "mask", F.lit(state).alias("state"), "score", F.col("score").alias("confidence")))
+def judged(edges: DataFrame, profile: Matching) -> DataFrame:
+    """Pairs of classes with ``ambiguous``, whether all their nodes' pairs compete, and ``sure``, whether their first nodes match.
+
+    Nodes of a class have the same scores, so a source's near-best targets, its best pick (the first of the best) and the
+    sources that pick a target about equally are found on classes, each counted by its nodes. A pair is sure if it is its
+    source's pick and the target's best one (the first on a tie), and no pair of either class is ambiguous. There is no second choice.
+    """
+    by_s, by_t = Window.partitionBy("pair_id", "s_class"), Window.partitionBy("pair_id", "t_class")
+    margin = F.lit(profile.ambiguity_margin)
+    rows = edges.withColumn("top", F.max("score").over(by_s)).withColumn("rn", F.row_number().over(by_s.orderBy(F.desc("score"), "first_t")))
+    best, n_best = F.col("score") == F.col("top"), F.sum(F.when(F.col("score") == F.col("top"), F.col("n_t"))).over(by_s)
+    second = F.when(n_best >= 2, F.col("top")).otherwise(F.max(F.when(~best, F.col("score"))).over(by_s))
+    rows = rows.withColumn("second", second)
+    tied = (F.col("top") >= profile.match_threshold) & (F.col("top") - F.col("second") <= margin) & (F.col("top") - F.col("score") <= margin)
+    rows = rows.withColumn("near", F.coalesce(tied, F.lit(False))).withColumn("pick", (F.col("rn") == 1) & (F.col("score") >= profile.match_threshold))
+    rows = rows.withColumn("best", F.max(F.when(F.col("pick"), F.col("score"))).over(by_t))
+    close = F.col("pick") & (F.col("best") - F.col("score") <= margin)
+    rows = rows.withColumn("close", close).withColumn("rivals", F.sum(F.when(F.col("close"), F.col("n_s"))).over(by_t))
+    rows = rows.withColumn("ambiguous", F.col("near") | (F.col("close") & (F.col("rivals") >= 2)))
+    free = F.col("pick") & ~F.bool_or("ambiguous").over(by_t) & ~F.bool_or("ambiguous").over(by_s)
+    rows = rows.withColumn("free", free)
+    first = F.row_number().over(Window.partitionBy("pair_id", "t_class").orderBy(F.desc("free"), F.desc("score"), "first_s"))
+    return rows.withColumn("sure", F.col("free") & (first == 1)).select(*edges.columns, "ambiguous", "sure")
+
+
+@dataclass(frozen=True)
+class Graph:
+    """The match graph: ``sure``, its confirmed and rejected pairs of nodes, and ``ambiguous``, its pairs of classes
+    that stand for a pair of every node of one and every node of the other; ``members`` are the nodes of classes.
+
+    Its size follows that of the trees, also where k alike nodes on both sides make k * k ambiguous pairs.
+    """
+
+    sure: DataFrame
+    ambiguous: DataFrame
+    members: DataFrame
+    profile: Matching
+
+    def edges(self) -> DataFrame:
+        """Every match: pair_id, s, t, state, score, confidence, evidence, violations, match_id, profile_version."""
+        amb = expanded(self.ambiguous, self.members).select("pair_id", "s", "t", "mask", F.lit(AMBIGUOUS).alias("state"), "score", F.col("score").alias("confidence"))
+        return self.sure.unionByName(_matches(amb, self.profile))
+
+    def open_nodes(self) -> DataFrame:
+        """pair_id, side, node_ref, confidence (the best of its ambiguous pairs) and evidence (all that speaks for them) of ambiguous nodes."""
+        out = []
+        for which, e, other in ((SOURCE, "s", "first_t"), (TARGET, "t", "first_s")):
+            # at most one row for each mask of a class
+            masks = self.ambiguous.groupBy("pair_id", F.col(f"{e}_class").alias("class_id"), "mask").agg(F.max("score").alias("score"), F.min(other).alias("first"))
+            codes = F.array_distinct(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("first", "codes"))), lambda x: x["codes"])))
+            of = masks.withColumn("codes", scoring.evidence(F.col("mask"), self.profile)).groupBy("pair_id", "class_id").agg(F.max("score").alias("confidence"), codes.alias("evidence"))
+            out.append(of.withColumn("side", F.lit(which)))
+        return self.members.select("pair_id", "side", "class_id", "node_ref").join(out[0].unionByName(out[1]), ["pair_id", "side", "class_id"]).drop("class_id")
+
+    def counts(self) -> DataFrame:
+        """pair_id, state and n, the number of matches, counted without making the ambiguous ones."""
+        sure = self.sure.groupBy("pair_id", "state").agg(F.count(F.lit(1)).alias("n"))
+        amb = self.ambiguous.groupBy("pair_id").agg(F.sum(F.col("n_s") * F.col("n_t")).alias("n"))
+        return sure.unionByName(amb.select("pair_id", F.lit(AMBIGUOUS).alias("state"), "n"))
+
+
+def _matches(rows: DataFrame, profile: Matching) -> DataFrame:
     clash = F.when(F.col("state") == REJECTED, F.array(F.lit("NODE_TYPE_COMPATIBILITY"))).otherwise(F.array().cast("array<string>"))
     return rows.select(
         "pair_id", "s", "t", "state", "score", "confidence", scoring.evidence(F.col("mask"), profile).alias("evidence"),
@@ -121,6 +188,16 @@ def match(evidence: DataFrame, profile: Matching, stage=lambda df: df) -> DataFr
     )
 
 
+def graph(evidence: DataFrame, profile: Matching, stage=lambda df: df) -> Graph:
+    """The match graph of nodes with evidence."""
+    auth = stage(authoritative(evidence, profile))
+    own = stage(members(evidence, auth.where(F.col("state") == CONFIRMED)))
+    edges = stage(judged(class_edges(own, profile), profile))
+    found = edges.where("sure").select("pair_id", F.col("first_s").alias("s"), F.col("first_t").alias("t"), "mask", F.lit(CONFIRMED).alias("state"), "score", F.col("score").alias("confidence"))
+    sure = stage(_matches(auth.unionByName(found), profile))
+    return Graph(sure, edges.where("ambiguous").drop("ambiguous", "sure"), own, profile)
+
+
 def alternatives(matches: DataFrame) -> DataFrame:
     """pair_id, match_id and the competing match ids of each ambiguous edge, ordered by (s, t). Made on request only: k nodes alike have about 2k each."""
     amb = matches.where(F.col("state") == AMBIGUOUS).select("pair_id", "s", "t", "match_id")

@@ -60,21 +60,36 @@ class Result:
         over = self.over_limits.select("pair_id").distinct().withColumn("over", F.lit(True))
         return self.raw.select("pair_id").distinct().join(over, "pair_id", "left").select("pair_id", F.col("over").isNull().alias("complete"))
 
+    @cached_property
+    def graph(self) -> match.Graph:
+        return match.graph(self.nodes, self.bundle.matching, kept)
+
+    @property
+    def sure(self) -> DataFrame:
+        """Confirmed and rejected matches, as ``matches`` has them."""
+        return self.graph.sure
+
+    @cached_property
+    def open_nodes(self) -> DataFrame:
+        """pair_id, side, node_ref, confidence and evidence of the ambiguous nodes."""
+        return kept(self.graph.open_nodes())
+
     @cached_property
     def matches(self) -> DataFrame:
-        return kept(match.match(self.nodes, self.bundle.matching, kept))
+        """Every match, on request: k nodes alike on both sides have k * k ambiguous ones. No later stage needs it."""
+        return kept(self.graph.edges())
 
     @cached_property
     def positions(self) -> DataFrame:
-        return kept(align.positions(self.nodes, self.matches))
+        return kept(align.positions(self.nodes, self.sure, self.open_nodes))
 
     @cached_property
     def regions(self) -> DataFrame:
-        return kept(align.regions(self.nodes, self.positions, self.bundle.alignment, self.matches))
+        return kept(align.regions(self.nodes, self.positions, self.bundle.alignment, self.sure))
 
     @cached_property
     def context(self) -> classify.Context:
-        return classify.Context(self.nodes, self.matches, self.positions, self.regions, self.bundle.operation, kept)
+        return classify.Context(self.nodes, self.sure, self.open_nodes, self.positions, self.regions, self.bundle.operation, kept)
 
     @cached_property
     def operations(self) -> DataFrame:
@@ -82,7 +97,7 @@ class Result:
 
     @cached_property
     def explanations(self) -> DataFrame:
-        rows = explain.explanations(self.operations, self.matches, self.nodes)
+        rows = explain.explanations(self.operations, self.open_nodes, self.nodes)
         none = self.over_limits.select("pair_id", F.lit("explanation-incomplete").alias("explanation_id"), F.lit(0).cast("long").alias("n_roots"), F.lit(0.0).alias("objective_score"), F.lit(0.0).alias("confidence"))
         return rows.unionByName(none.distinct())
 
@@ -143,8 +158,8 @@ class Result:
     @cached_property
     def metrics(self) -> DataFrame:
         """pair_id, stage, candidates and results of each stage of the compared pairs, zeros too; times are the cluster's own affair."""
-        sure = F.count_if(F.col("state") == match.CONFIRMED)
-        counts = [("MATCHING", self.matches, F.count(F.lit(1)), sure)]
+        sure = F.sum(F.when(F.col("state") == match.CONFIRMED, F.col("n")).otherwise(0))
+        counts = [("MATCHING", self.graph.counts(), F.sum("n"), sure)]
         counts += [(name, df, F.lit(0).cast("long"), F.count(F.lit(1))) for name, df in (("ALIGNMENT", self.regions), ("CLASSIFICATION", self.operations), ("SUPPRESSION", self.effects))]
         out = [df.groupBy("pair_id").agg(c.alias("candidates"), n.alias("results")).withColumn("stage", F.lit(name)) for name, df, c, n in counts]
         found = reduce(DataFrame.unionByName, out)
@@ -170,10 +185,12 @@ class Result:
         return rows.select("pair_id", F.sha2(F.to_json(F.struct("source_nodes", "target_nodes", "candidates", "matches", "operations")).cast("binary"), 256).alias("fingerprint"))
 
     def fingerprint(self) -> DataFrame:
-        """pair_id and a digest of the pair's operations, matches and effects, in their fixed order."""
+        """pair_id and a digest of the pair's operations, matches (ambiguous ones by classes and their nodes) and effects, in their fixed order."""
         parts = [
             self.operations.select("pair_id", F.to_json(F.struct("operation_id", "type", "source_refs", "target_refs", "from_parent", "to_parent", "confidence", "evidence_codes")).alias("x")),
-            self.matches.select("pair_id", F.to_json(F.struct("match_id", "state", "score", "confidence", "evidence")).alias("x")),
+            self.sure.select("pair_id", F.to_json(F.struct("match_id", "state", "score", "confidence", "evidence")).alias("x")),
+            self.graph.ambiguous.select("pair_id", F.to_json(F.struct("s_class", "t_class", "score", "n_s", "n_t")).alias("x")),
+            self.graph.members.join(self.open_nodes.select("pair_id", "side", "node_ref"), ["pair_id", "side", "node_ref"]).select("pair_id", F.to_json(F.struct("side", "class_id", "node_ref")).alias("x")),
             self.effects.select("pair_id", F.to_json(F.struct("effect_id", "root_operation_id", "rule_id", "n_affected", "refs_digest")).alias("x")),
         ]
         # digests of rows, then of cells of rows: a pair with most rows is no single task's list

@@ -24,7 +24,7 @@ def _compared(found: DataFrame, expected: DataFrame, keys: list[str], kind: str
 def quality(result: Result, matches: DataFrame, operations: DataFrame) -> DataFrame:
     """Precision and recall of confirmed matches (pair_id, s, t) and of each type of operation but MATCH
     (pair_id, operation_id, type), by what was expected."""
-    got = result.matches.where("state = 'CONFIRMED'")
+    got = result.sure.where("state = 'CONFIRMED'")
     ops = result.operations.where("type <> 'MATCH'")
     return _compared(got, matches, ["pair_id", "s", "t"], "MATCH").unionByName(_compared(ops, operations, ["pair_id", "operation_id", "type"], F.col("type")))
 
@@ -32,7 +32,7 @@ def quality(result: Result, matches: DataFrame, operations: DataFrame) -> DataFr
 def ambiguity_rate(result: Result) -> DataFrame:
     """pair_id and the share of source nodes below the root that are ambiguous."""
     nodes = result.nodes.where("side = 'S' and parent_ref is not null").select("pair_id", F.col("node_ref").alias("s"))
-    amb = result.matches.where("state = 'AMBIGUOUS'").select("pair_id", "s").distinct().withColumn("_a", F.lit(1))
+    amb = result.open_nodes.where("side = 'S'").select("pair_id", F.col("node_ref").alias("s"), F.lit(1).alias("_a"))
     return nodes.join(amb, ["pair_id", "s"], "left").groupBy("pair_id").agg(_rate(F.count("_a"), F.count(F.lit(1))).alias("ambiguity_rate"))
 
 

@@ -93,7 +93,8 @@ def exit_codes(jobs: DataFrame, issues: DataFrame, least: str = "WARNING") -> Da
 def observability(jobs: DataFrame, loc: Localization) -> DataFrame:
     """pair_id, outcome, and counts of matches, operations, effects and issues of each job."""
     out = jobs.select("pair_id", "state", "correlation_id")
-    for name, df in (("n_matches", loc.result.matches), ("n_operations", loc.result.operations), ("n_effects", loc.result.effects)):
+    out = out.join(loc.result.graph.counts().groupBy("pair_id").agg(F.sum("n").alias("n_matches")), "pair_id", "left")
+    for name, df in (("n_operations", loc.result.operations), ("n_effects", loc.result.effects)):
         out = out.join(df.groupBy("pair_id").agg(F.count(F.lit(1)).alias(name)), "pair_id", "left")
     errors = loc.issues.groupBy("pair_id").agg(F.count(F.lit(1)).alias("n_issues"), F.bool_or(F.col("severity") == "ERROR").alias("has_errors"))
     out = out.join(errors, "pair_id", "left").fillna(0).fillna(False)

@@ -130,7 +130,7 @@ class Localization:
             return plain(F.col(f"{p}_identity").getItem("id"))
 
         moves = r.operations.where("type = 'MOVE'").select("pair_id", F.col("source_refs")[0].alias("s"), F.col("operation_id").alias("move_id"), F.col("confidence").alias("move_confidence"))
-        sure = r.matches.where(F.col("state") == CONFIRMED).join(s, ["pair_id", "s"]).join(t, ["pair_id", "t"], "left").join(moves, ["pair_id", "s"], "left").where("s_parent_ref is not null")
+        sure = r.sure.where(F.col("state") == CONFIRMED).join(s, ["pair_id", "s"]).join(t, ["pair_id", "t"], "left").join(moves, ["pair_id", "s"], "left").where("s_parent_ref is not null")
         state = translation_state([F.col(f"s_{c}") for c in ("identity", "content", "structural")], [F.col(f"t_{c}") for c in ("identity", "content", "structural")])
         least = self.policy.confirmed_match_threshold if self.policy else 0.9
         status = F.when(F.col("move_id").isNotNull(), "WRONG_PARENT").when(state == "STALE", "SOURCE_UPDATED").when(F.col("confidence") >= least, "CONFIRMED_MATCH").otherwise("PROBABLE_MATCH")
@@ -141,8 +141,8 @@ class Localization:
                 operation_confidence=F.col("move_confidence"), translation_state=state, message=lookup(MESSAGES, status),
             )
         ]
-        amb = r.matches.where(F.col("state") == AMBIGUOUS).groupBy("pair_id", "s").agg(F.sort_array(F.collect_list(F.struct("t", "match_id"))).alias("x"), F.max("confidence").alias("confidence")).join(s, ["pair_id", "s"])
-        out.append(rows(amb, 1, F.col("s"), F.lit("AMBIGUOUS_MATCH"), source_ref=F.col("s"), source_id=ident("s"), source_label=_label("s"), match_ids=F.col("x.match_id"), match_confidence=F.col("confidence"), message=F.lit(MESSAGES["AMBIGUOUS_MATCH"])))
+        amb = r.open_nodes.where(F.col("side") == SOURCE).select("pair_id", F.col("node_ref").alias("s"), "confidence").join(s, ["pair_id", "s"])
+        out.append(rows(amb, 1, F.col("s"), F.lit("AMBIGUOUS_MATCH"), source_ref=F.col("s"), source_id=ident("s"), source_label=_label("s"), match_confidence=F.col("confidence"), message=F.lit(MESSAGES["AMBIGUOUS_MATCH"])))
         order = r.operations.where("type = 'REORDER'")
         out.append(rows(order, 2, F.col("operation_id"), F.lit("WRONG_ORDER"), source_ref=F.col("source_refs")[0], match_ids=F.col("match_ids"), operation_ids=F.array("operation_id"), operation_confidence=F.col("confidence"), message=F.lit(MESSAGES["WRONG_ORDER"])))
         for type_, end, side, default in (("DELETE", "s", s, "MISSING_IN_LOCALE"), ("INSERT", "t", t, "EXTRA_IN_LOCALE")):
@@ -157,8 +157,8 @@ class Localization:
         every = reduce(DataFrame.unionByName, out)
         every = numbered(every, ["pair_id"], ["block", "key"], "issue_no").withColumn("issue_id", F.concat(F.lit("issue-"), F.col("issue_no").cast("string")))
         # an ambiguous or unresolved node is never also missing or extra
-        for end, kind, name, status in (("s", "UNRESOLVED_SOURCE", "source_ref", "MISSING_IN_LOCALE"), ("t", "UNRESOLVED_TARGET", "locale_ref", "EXTRA_IN_LOCALE")):
-            open_ = r.matches.where(F.col("state") == AMBIGUOUS).select("pair_id", F.col(end).alias(name))
+        for end, side, kind, name, status in (("s", SOURCE, "UNRESOLVED_SOURCE", "source_ref", "MISSING_IN_LOCALE"), ("t", TARGET, "UNRESOLVED_TARGET", "locale_ref", "EXTRA_IN_LOCALE")):
+            open_ = r.open_nodes.where(F.col("side") == side).select("pair_id", F.col("node_ref").alias(name))
             open_ = open_.union(r.positions.where(F.col("kind") == kind).select("pair_id", end)).distinct().withColumn("status", F.lit(status))
             every = every.join(open_, ["pair_id", name, "status"], "left_anti")
         every = every.withColumn("severity", lookup(SEVERITY, F.col("status"))).withColumn("action", lookup(ACTION, F.col("status"), "NONE"))
@@ -173,6 +173,12 @@ class Localization:
         counted = counted.withColumn("repair_confidence", F.when(repair, F.round(base * REPAIR_FACTOR, 6)))
         return kept(counted.withColumn("auto_fix_eligible", F.lit(False)).drop("repair", "repair_no"))
 
+    def issue_match_ids(self) -> DataFrame:
+        """pair_id, issue_id, match_ids of the issues about ambiguous sources, on request: k nodes alike have k each, so ``issues`` leaves them out."""
+        amb = self.result.matches.where(F.col("state") == AMBIGUOUS).groupBy("pair_id", F.col("s").alias("source_ref"))
+        ids = amb.agg(F.transform(F.sort_array(F.collect_list(F.struct("t", "match_id"))), lambda x: x["match_id"]).alias("match_ids"))
+        return self.issues.where("status = 'AMBIGUOUS_MATCH'").select("pair_id", "issue_id", "source_ref").join(ids, ["pair_id", "source_ref"]).drop("source_ref")
+
     @cached_property
     def recommendations(self) -> DataFrame:
         rows = self.issues.where("recommendation_id is not null").withColumn("operation_id", F.get("operation_ids", F.lit(0)))

@@ -233,7 +233,7 @@ def _flipped(spark, sf_dir) -> Result:
 
 @query(_sql("SELECT pair_id, s, t, state, score, confidence FROM m WHERE state = 'REJECTED'", upto=3, nodes=_FLIPPED))
 def match_rejected_type_conflict(spark, sf_dir):
-    return _flipped(spark, sf_dir).matches.where("state = 'REJECTED'").select("pair_id", "s", "t", "state", "score", "confidence")
+    return _flipped(spark, sf_dir).sure.where("state = 'REJECTED'").select("pair_id", "s", "t", "state", "score", "confidence")
 
 
 @query(_sql("SELECT pair_id, s, t, score FROM cand", upto=3))
@@ -258,12 +258,15 @@ def match_ambiguous_alternatives(spark, sf_dir):
 
 @query(_sql("SELECT pair_id, s, t, score FROM sure", upto=3))
 def match_confirmed_similarity(spark, sf_dir):
-    return _result(spark, sf_dir).matches.where("state = 'CONFIRMED' and confidence < 1.0 or state = 'CONFIRMED' and not array_contains(evidence, 'PERSISTENT_ID')").select("pair_id", "s", "t", "score")
+    return _result(spark, sf_dir).sure.where("state = 'CONFIRMED' and confidence < 1.0 or state = 'CONFIRMED' and not array_contains(evidence, 'PERSISTENT_ID')").select("pair_id", "s", "t", "score")
 
 
 @query(_sql("SELECT pair_id, state, count(*) AS n, count(DISTINCT s) AS n_s, count(DISTINCT t) AS n_t FROM m GROUP BY ALL", upto=3))
 def match_state_counts(spark, sf_dir):
-    return _result(spark, sf_dir).matches.groupBy("pair_id", "state").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("s").alias("n_s"), F.count_distinct("t").alias("n_t"))
+    r = _result(spark, sf_dir)
+    sure = r.sure.groupBy("pair_id", "state").agg(F.count_distinct("s").alias("n_s"), F.count_distinct("t").alias("n_t"))
+    amb = r.open_nodes.groupBy("pair_id").agg(F.lit("AMBIGUOUS").alias("state"), F.count_if(F.col("side") == "S").alias("n_s"), F.count_if(F.col("side") == "T").alias("n_t"))
+    return r.graph.counts().join(sure.unionByName(amb.select(*sure.columns)), ["pair_id", "state"]).select("pair_id", "state", "n", "n_s", "n_t")
 
 
 # --- alignment ------------------------------------------------------------------
@@ -438,7 +441,7 @@ def ops_enabled(spark, sf_dir):
 
     from arboris.operators import classify
 
-    context = classify.Context(r.nodes, r.matches, r.positions, r.regions, replace(DITA.operation, enabled=frozenset({"DELETE", "UPDATE"})))
+    context = classify.Context(r.nodes, r.sure, r.open_nodes, r.positions, r.regions, replace(DITA.operation, enabled=frozenset({"DELETE", "UPDATE"})))
     return classify.classify(context).select("pair_id", "operation_id")
 
 
