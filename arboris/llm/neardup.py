@@ -13,12 +13,14 @@ in full, and linked if 100 * intersection >= 75 * union.
   linear; each pair has a leader of its own, so a set meets up to a prefix of
   them. Links found so make components, and only sets of different components
   that still meet under a pair are compared further: under a pair with few sets
-  by a join, under a crowded one in blocks of sets, where a task drops what a
-  bound excludes and returns only what is left. Nothing within a component needs
-  that, and no group emits all its pairs.
-* Bound: a set's hashes are counted in CELLS cells. Two sets have no more in
-  common than the cell-wise minima of their counts add up to, so where that is
-  too little for 0.75 there is no link. This loses nothing.
+  by a join, under a crowded one in blocks of sets. Nothing within a component
+  needs that, and no group emits all its pairs.
+* Blocks: a task gets the whole sets of two blocks, each once, and counts what
+  every two of them have in common: hashes that many sets of the blocks hold by a
+  product of their 0/1 columns, others by the pairs of their few holders. What
+  leaves it is a spanning forest of the links, no more rows than sets. So a family
+  of long texts just below the threshold costs the bytes of its sets for each two
+  blocks, and no pair of it is sent anywhere.
 * Equal sets are one class from the start, whatever their number.
 
 A pair of similarity 0.75 agrees in 48 of 64 coordinates on average, with a
@@ -44,10 +46,11 @@ K = 64
 MATCHES = 30
 SHINGLE = 5
 _PREFIX = K - MATCHES + 1
-#: Cells of the bound, and sets under a pair from which it is compared in blocks of so many sets.
-CELLS = 256
+#: Sets under a pair from which it is compared in blocks, and how many sets, of how many bytes, a block has.
 CROWD = 64
-BLOCK = 1024
+BLOCK, BLOCK_BYTES = 1024, 8 << 20
+#: Sets of two blocks from which a hash that they hold is counted by the product, and columns of one product.
+DENSE, COLUMNS = 64, 2048
 #: Leaders that a set is compared with in full; what they leave apart is compared across components.
 LEADERS = 3
 
@@ -123,11 +126,6 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def cell_counts(items: np.ndarray) -> np.ndarray:
-    """How many hashes of a set each cell has."""
-    return np.bincount((items & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
-
-
 def _profiles(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, the set's identity in two numbers, its signature (null without shingles)."""
 
@@ -246,55 +244,96 @@ def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return small_batches(both).mapInArrow(run, "a long, b long")
 
 
-def survivors(n: np.ndarray, comp: np.ndarray, sig: np.ndarray, cells: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places (i, j) of pairs of sets, i before ``start`` and j from it on (all i < j if start is 0),
-    that can be links across components: sizes, matching coordinates and the bound allow it."""
-    left = np.arange(len(n)) if start == 0 else np.arange(start)
-    out: list[tuple[int, np.ndarray]] = []
-    for i in left:
-        j = np.arange(max(i + 1, start), len(n))
-        j = j[(comp[j] != comp[i]) & (4 * n[j] >= 3 * n[i]) & (4 * n[i] >= 3 * n[j])]
-        j = j[(sig[j] == sig[i]).sum(1) >= MATCHES]
-        most = np.minimum(cells[j], cells[i]).sum(1, dtype=np.int64)
-        j = j[100 * most >= 75 * (n[i] + n[j] - most)]
-        if len(j):
-            out.append((i, j))
-    if not out:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate([np.full(len(j), i) for i, j in out]), np.concatenate([j for _, j in out])
+def in_common(sets: list[np.ndarray]) -> np.ndarray:
+    """How many hashes every two of some sorted sets have in common."""
+    m = len(sets)
+    out = np.zeros((m, m), np.float32)
+    every = np.concatenate(sets) if m else np.zeros(0, np.uint64)
+    owner = np.repeat(np.arange(m), [len(x) for x in sets])
+    order = np.argsort(every, kind="stable")
+    every, owner = every[order], owner[order]
+    starts = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1]))) if len(every) else np.zeros(0, np.int64)
+    size = np.diff(np.concatenate((starts, [len(every)])))
+    # columns that many sets have, some at a time
+    dense = np.flatnonzero(size >= DENSE)
+    for at in range(0, len(dense), COLUMNS):
+        own = dense[at : at + COLUMNS]
+        block = np.zeros((m, len(own)), np.float32)
+        rows = np.concatenate([np.arange(a, a + n) for a, n in zip(starts[own], size[own])])
+        block[owner[rows], np.repeat(np.arange(len(own)), size[own])] = 1
+        out += block @ block.T  # counts of far less than 2^24 are exact
+    # the others by pairs of holders, those of one number of holders together
+    few, held = (size > 1) & (size < DENSE), []
+    for n in np.unique(size[few]).tolist():
+        holders = owner[starts[few & (size == n)][:, None] + np.arange(n)]
+        i, j = np.triu_indices(n, 1)
+        for part in np.array_split(holders, -(-holders.size * n // (1 << 22))):
+            held.append((part[:, i] * m + part[:, j]).ravel())  # a hash's holders ascend
+            if sum(map(len, held)) > 1 << 22:
+                out += np.bincount(np.concatenate(held), minlength=m * m).reshape(m, m).astype(np.float32)
+                held = []
+    if held:
+        out += np.bincount(np.concatenate(held), minlength=m * m).reshape(m, m).astype(np.float32)
+    return np.maximum(out, out.T)
+
+
+def forest(left: np.ndarray, right: np.ndarray, n: int) -> np.ndarray:
+    """Which of some links between ``n`` nodes join parts that those before them haven't."""
+    parent = list(range(n))
+
+    def top(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    keep = []
+    for k, (i, j) in enumerate(zip(left.tolist(), right.tolist())):
+        i, j = top(i), top(j)
+        if i != j:
+            parent[i] = j
+            keep.append(k)
+    return np.array(keep, np.int64)
+
+
+def links_across(comp: np.ndarray, sig: np.ndarray, sets: list[np.ndarray], start: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j) of a spanning forest of the links across components, i before ``start`` and j from it on (all i < j if start is 0)."""
+    n = np.array([len(x) for x in sets], np.int64)
+    both = in_common(sets).astype(np.int64)
+    good = np.triu(100 * both >= 75 * (n[:, None] + n[None, :] - both), 1) & (comp[:, None] != comp[None, :])
+    if start:
+        good[start:] = False
+        good[:, :start] = False
+    i, j = np.nonzero(good)
+    agree = np.concatenate([(sig[i[k : k + 65_536]] == sig[j[k : k + 65_536]]).sum(1) for k in range(0, len(i), 65_536)]) if len(i) else np.zeros(0, np.int64)
+    i, j = i[agree >= MATCHES], j[agree >= MATCHES]
+    keep = forest(i, j, len(n))
+    return i[keep], j[keep]
 
 
 def _across_crowds(crowds: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components that meet under crowded pairs and pass ``survivors``.
+    """Links (a, b) that join the components that meet under crowded pairs, as ``links_across`` finds them.
     ``crowds``: pair, doc_id, c. Pairs that share sets make a crowd, which is compared in blocks once."""
     firsts = crowds.groupBy("pair").agg(F.min("doc_id").alias("b"))
     edges = crowds.join(firsts, "pair").select(F.col("doc_id").alias("a"), "b")
     crowd = components(edges).select(F.col("node").alias("doc_id"), F.col("component").alias("crowd"))
-    members = staged(crowds.select("doc_id", "c").distinct().join(crowd, "doc_id"), "crowds")
-    size = members.groupBy("crowd").agg(F.count(F.lit(1)).alias("m"))
-
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = [cell_counts(np.frombuffer(x.as_buffer(), np.uint64)).astype(np.int32).tobytes() for x in b.column(4)]
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(4)), b.column(5), pa.array(rows, pa.binary())], ["doc_id", "c", "crowd", "n", "sig", "cells"])
-
-    full = members.join(reps, "doc_id").join(_sets(docs, members).dropDuplicates(["doc_id"]), "doc_id")
-    full = small_batches(full).select("doc_id", "c", "crowd", "n", "items", "sig").mapInArrow(counted, "doc_id long, c long, crowd long, n long, sig array<int>, cells binary")
-    full = full.join(size, "crowd").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    members = staged(crowds.select("doc_id", "c").distinct().join(crowd, "doc_id").join(reps, "doc_id"), "crowds")
+    blocks = members.groupBy("crowd").agg(F.ceil(F.greatest(F.sum(8 * F.col("n")) / BLOCK_BYTES, F.count(F.lit(1)) / BLOCK)).cast("int").alias("blocks"))
+    full = members.join(blocks, "crowd").join(_sets(docs, members).dropDuplicates(["doc_id"]), "doc_id")
+    full = full.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     others = F.sequence(F.lit(0), F.col("blocks") - 1)
     cell = F.transform(others, lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j")))
-    dealt = full.withColumn("cell", F.explode(cell)).select("crowd", "cell.i", "cell.j", "block", "doc_id", "c", "n", "sig", "cells")
+    dealt = full.withColumn("cell", F.explode(cell)).select("crowd", "cell.i", "cell.j", "block", "doc_id", "c", "sig", "items")
 
     def compare(key: tuple, group: pa.Table) -> pa.Table:
         group = group.sort_by([("block", "ascending"), ("doc_id", "ascending")])
-        ids = group.column("doc_id").to_numpy()
-        sig = group.column("sig").combine_chunks().flatten().to_numpy().reshape(-1, K)
-        cells = np.frombuffer(b"".join(group.column("cells").to_pylist()), np.int32).reshape(-1, CELLS)
-        start = 0 if key[1].as_py() == key[2].as_py() else int((group.column("block").to_numpy() == key[1].as_py()).sum())
-        if start == 0 and key[1].as_py() != key[2].as_py():
-            left = right = np.zeros(0, np.int64)
-        else:
-            left, right = survivors(group.column("n").to_numpy(), group.column("c").to_numpy(), sig, cells, start)
+        ids, block = group.column("doc_id").to_numpy(), group.column("block").to_numpy()
+        first, second = key[1].as_py(), key[2].as_py()
+        start = 0 if first == second else int((block == first).sum())
+        left = right = np.zeros(0, np.int64)
+        if first == second or 0 < start < len(ids):
+            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("items")]
+            sig = group.column("sig").combine_chunks().flatten().to_numpy().reshape(-1, K)
+            left, right = links_across(group.column("c").to_numpy(), sig, sets, start)
         return pa.table([pa.array(np.minimum(ids[left], ids[right])), pa.array(np.maximum(ids[left], ids[right]))], ["a", "b"])
 
     return dealt.groupBy("crowd", "i", "j").applyInArrow(compare, "a long, b long")
@@ -367,11 +406,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     across = one.join(two, "pair").where((F.col("c_x") < F.col("c_y")) & _alike("n_x", "n_y"))
     across = across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     across = _matching(across, reps).select("a", "b")
-    crowded = rest.where(F.col("m") > CROWD).select("pair", "doc_id", "c")
-    if not crowded.isEmpty():
-        across = across.union(_across_crowds(crowded, reps, docs))
     across = across.join(best, ["a", "b"], "left_anti")
     more = _confirmed(staged(across, "across"), docs)
+    crowded = rest.where(F.col("m") > CROWD).select("pair", "doc_id", "c")
+    if not crowded.isEmpty():
+        more = more.union(_across_crowds(crowded, reps, docs))
     every = components(links.union(more))
 
     node = every.select(F.col("node").alias("rep"), "component")
