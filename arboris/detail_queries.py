@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from arboris.functions import lcs
 
 from arboris.operators import validate
 from arboris.plans import evaluate, jobs, localization, report
@@ -118,6 +119,23 @@ ORACLE_SQL["lcs_align"] = """WITH n AS (SELECT c_nationkey AS k, count(*) AS n F
     SELECT CAST(k AS VARCHAR) AS pair_id, 'ALIGN' AS kind, CASE WHEN k % 5 = 0 THEN 1 ELSE n END AS n FROM n
     UNION ALL SELECT CAST(k AS VARCHAR), kind, n - 1 FROM n, (VALUES ('LEFT_ONLY'), ('RIGHT_ONLY')) x(kind) WHERE k % 5 = 0 AND n > 1"""
 
+
+
+# customers of a nation by key against the same by balance: the length of the longest ascending chain says how many stay
+@query("""WITH RECURSIVE c AS (SELECT c_nationkey AS k, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS a, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal, c_custkey) AS b FROM customer),
+    v AS (SELECT k, list(b ORDER BY a) AS vs, count(*) AS n FROM c GROUP BY k),
+    r AS (SELECT k, vs, n, 0 AS i, CAST([] AS BIGINT[]) AS best FROM v
+        UNION ALL SELECT k, vs, n, i + 1, list_append(best, 1 + coalesce(list_max(list_transform(list_filter(range(1, i + 1), lambda j: vs[j] < vs[i + 1]), lambda j: best[j])), 0)) FROM r WHERE i < n)
+    SELECT CAST(k AS VARCHAR) AS pair_id, list_max(best) AS n_align, n - list_max(best) AS n_left_only, n - list_max(best) AS n_right_only FROM r WHERE i = n""")
+def lcs_shuffled(spark, sf_dir):
+    def refs(*order):
+        return F.transform(F.sort_array(F.collect_list(F.struct(*order))), lambda x: x["c_custkey"])
+
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet").groupBy(F.col("c_nationkey").cast("string").alias("pair_id")).agg(refs("c_custkey").alias("l"), refs("c_acctbal", "c_custkey").alias("r"))
+    steps = rows.select("pair_id", F.explode(lcs.lcs_align("l", "r")["kind"]).alias("kind"))
+    return steps.groupBy("pair_id").agg(*(F.count_if(F.col("kind") == k).alias(f"n_{k.lower()}") for k in (lcs.ALIGN, lcs.LEFT_ONLY, lcs.RIGHT_ONLY)))
+
+
 # --- labels and revisions -----------------------------------------------------------
 
 

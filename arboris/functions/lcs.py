@@ -2,35 +2,83 @@
 
 from __future__ import annotations
 
-import numpy as np
+from bisect import bisect_left, bisect_right
+
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Pairs of equal items whose changes are logged at a time.
+MATCHES = 1 << 22
 ALIGN, LEFT_ONLY, RIGHT_ONLY = "ALIGN", "LEFT_ONLY", "RIGHT_ONLY"
 
 
 def edit_script(left: list, right: list) -> list[tuple[str, int | None, int | None]]:
-    """Steps (kind, left index, right index); on a tie the left item goes first."""
+    """Steps (kind, left index, right index); on a tie the left item goes first.
+
+    Going up from the last left item, the shortest end of ``right`` that has a common subsequence of each length with what is
+    left of ``left`` is held in one ascending list; an item changes it at the places of its equals only, and the
+    changes are logged. Going down again undoes them, so that each step knows by one search whether leaving out the left
+    item costs a match. Memory follows the lists and a stretch of at most MATCHES pairs of equals; between such
+    stretches the list itself is held, and a stretch's log is made again when the way down comes to it.
+    """
     n, m = len(left), len(right)
-    length = np.zeros((n + 1, m + 1), np.int32)
-    codes = {x: i for i, x in enumerate(dict.fromkeys([*left, *right]))}
-    a, b = (np.array([codes[x] for x in seq], np.int64) for seq in (left, right))
+    places: dict = {}
+    for j, x in enumerate(right):
+        places.setdefault(x, []).append(m - j)  # descending lengths of the ends of ``right`` that begin with x
+    least: list[int] = []  # by length - 1 of a common subsequence: the shortest such end
+
+    def row(i: int, log: list | None) -> None:
+        for end in places.get(left[i], ()):
+            k = bisect_left(least, end)
+            if k == len(least):
+                least.append(end)
+                old = 0
+            elif least[k] == end:
+                continue
+            else:
+                old, least[k] = least[k], end
+            if log is not None:
+                log.append((i, k, old))
+
+    bounds, held = [n], 0  # stretches of rows, from the last
     for i in range(n - 1, -1, -1):
-        # a cell is the largest of: the cell below, one more than the cell diagonally below on a match, the cell to the right
-        step = np.maximum(length[i + 1, :-1], np.where(b == a[i], length[i + 1, 1:] + 1, 0))
-        length[i, :-1] = np.maximum.accumulate(step[::-1])[::-1]
-    out, i, j = [], 0, 0
-    while i < n or j < m:
-        if i < n and j < m and a[i] == b[j]:
-            out.append((ALIGN, i, j))
-            i, j = i + 1, j + 1
-        elif j >= m or (i < n and length[i + 1, j] >= length[i, j + 1]):
-            out.append((LEFT_ONLY, i, None))
-            i += 1
-        else:
-            out.append((RIGHT_ONLY, None, j))
-            j += 1
+        held += len(places.get(left[i], ()))
+        if held > MATCHES:
+            bounds.append(i)
+            held = 0
+    if bounds[-1] != 0:
+        bounds.append(0)
+    saved: list[list[int]] = []
+    for after, start in zip(bounds, bounds[1:]):
+        saved.append(least.copy() if len(bounds) > 2 else [])
+        for i in range(after - 1, start - 1, -1):
+            row(i, None)
+    out: list[tuple[str, int | None, int | None]] = []
+    j, best = 0, len(least)
+    for (after, start), least_after in zip(reversed(list(zip(bounds, bounds[1:]))), reversed(saved)):
+        least, log = least_after, []
+        for i in range(after - 1, start - 1, -1):
+            row(i, log)
+        for i in range(start, after):
+            while log and log[-1][0] == i:
+                _, k, old = log.pop()
+                if old:
+                    least[k] = old
+                else:
+                    least.pop()
+            while True:
+                if j < m and left[i] == right[j]:
+                    out.append((ALIGN, i, j))
+                    j, best = j + 1, best - 1
+                elif j >= m or bisect_right(least, m - j) == best:
+                    out.append((LEFT_ONLY, i, None))
+                else:
+                    out.append((RIGHT_ONLY, None, j))
+                    j += 1
+                    continue
+                break
+    out.extend((RIGHT_ONLY, None, k) for k in range(j, m))
     return out
 
 

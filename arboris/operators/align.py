@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arboris.operators.match import AMBIGUOUS, CONFIRMED
+from arboris.operators.number import falls
 from arboris.profiles import Alignment
 from arboris.schema import SOURCE, TARGET
 
@@ -69,10 +70,7 @@ def is_ordered(node_type: Column, profile: Alignment) -> Column:
 def regions(nodes: DataFrame, positions: DataFrame, profile: Alignment, sure: DataFrame) -> DataFrame:
     """pair_id, sp, tp, region_id, ordered, order_changed, unresolved, n_aligned, n_unresolved; regions without children too."""
     types = nodes.where(F.col("side") == SOURCE).select("pair_id", F.col("node_ref").alias("sp"), "node_type")
-    w = Window.partitionBy("pair_id", "sp", "tp")
-    lined = positions.where(F.col("kind") == ALIGNED)
-    moved = lined.withColumn("a", F.row_number().over(w.orderBy("pos", "s"))).withColumn("b", F.row_number().over(w.orderBy("t_pos", "t")))
-    order = moved.groupBy("pair_id", "sp", "tp").agg(F.bool_or(F.col("a") != F.col("b")).alias("moved"))
+    order = falls(positions.where(F.col("kind") == ALIGNED), ["pair_id", "sp", "tp"], ["pos", "s"], ["t_pos", "t"], "moved")
     state = positions.groupBy("pair_id", "sp", "tp").agg(F.count_if(F.col("kind") == ALIGNED).alias("n_aligned"), F.count_if(F.col("kind").startswith("UNRESOLVED")).alias("n_unresolved"))
     out = parent_pairs(nodes, sure).join(types, ["pair_id", "sp"], "left").join(state, ["pair_id", "sp", "tp"], "left").join(order, ["pair_id", "sp", "tp"], "left")
     ordered = is_ordered(F.col("node_type"), profile)

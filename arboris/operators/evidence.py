@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arboris.functions.text import plain
+from arboris.operators.number import numbered
 
 ID_KEYS = ("id", "xml:id", "guid", "key")
 LABEL_KEYS = ("label", "title", "navtitle")
@@ -41,15 +42,35 @@ def extract(nodes: DataFrame) -> DataFrame:
         nodes.withColumn("persistent_id", first_present(ID_KEYS)).withColumn("label", first_present(LABEL_KEYS))
         .withColumn("signature", F.md5(signature.cast("binary"))).withColumn("eq_content", F.md5(equal.cast("binary")))
     )
-    child = F.struct("child_pos", "node_ref", "node_type")
-    kids = nodes.where("parent_ref is not null").groupBy("pair_id", "side", F.col("parent_ref").alias("node_ref"))
-    kids = kids.agg(F.array_join(F.transform(F.sort_array(F.collect_list(child)), lambda x: x["node_type"]), ",").alias("child_signature"))
-    rows = rows.join(kids, ["pair_id", "side", "node_ref"], "left").withColumn("child_signature", F.coalesce("child_signature", F.lit("")))
+    rows = rows.join(child_digests(nodes).select("pair_id", "side", "node_ref", F.col("digest").alias("child_signature")), ["pair_id", "side", "node_ref"], "left")
+    rows = rows.withColumn("child_signature", F.coalesce("child_signature", F.lit("")))
     # an id that stands once needs no window over the nodes without one
     ids = rows.where("persistent_id is not null").groupBy("pair_id", "side", "persistent_id").agg(F.count(F.lit(1)).alias("id_dup_count"))
     return rows.join(ids, ["pair_id", "side", "persistent_id"], "left")
 
 
+def child_digests(nodes: DataFrame) -> DataFrame:
+    """pair_id, side, node_ref and digest of the types of each parent's children in order (child_pos, node_ref).
+
+    A sequence's digest is its length and two sums, modulo nothing, of 60 bits each of a hash of place and type: equal
+    sequences have equal sums, unequal ones don't but by a chance of about 2^-60 in each. Sums are added up wherever the
+    children are, so that a parent's children never meet in one row or task.
+    """
+    kids = nodes.where("parent_ref is not null").select("pair_id", "side", "parent_ref", "child_pos", "node_ref", "node_type")
+    placed = numbered(kids, ["pair_id", "side", "parent_ref"], ["child_pos", "node_ref"], "place")
+    h = F.md5(F.concat(F.col("place").cast("string"), F.lit(":"), F.coalesce("node_type", F.lit(""))).cast("binary"))
+    total = lambda start: F.sum(F.conv(F.substring(h, start, 15), 16, 10).cast("decimal(20,0)")).cast("decimal(38,0)").cast("string")
+    digest = F.concat_ws(":", F.count(F.lit(1)).cast("string"), total(1), total(16))
+    return placed.groupBy("pair_id", "side", F.col("parent_ref").alias("node_ref")).agg(digest.alias("digest"))
+
+
+def child_types(nodes: DataFrame) -> DataFrame:
+    """pair_id, side, node_ref and types: the text that ``child_digests`` stand for, on request, as it is as long as a parent has children."""
+    child = F.struct("child_pos", "node_ref", "node_type")
+    kids = nodes.where("parent_ref is not null").groupBy("pair_id", "side", F.col("parent_ref").alias("node_ref"))
+    return kids.agg(F.array_join(F.transform(F.sort_array(F.collect_list(child)), lambda x: x["node_type"]), ",").alias("types"))
+
+
 def duplicate_ids(evidence: DataFrame) -> DataFrame:
     """pair_id, side, persistent_id and n of the ids that stand on more than one node."""
     return evidence.where("id_dup_count > 1").groupBy("pair_id", "side", "persistent_id").agg(F.count(F.lit(1)).alias("n"))

@@ -173,7 +173,15 @@ def node_scan_counts(spark, sf_dir):
 
 @query(_sql("SELECT pair_id, side, node_ref, cs AS child_signature FROM ev WHERE node_type <> 'order'", upto=2))
 def child_signature(spark, sf_dir):
-    return _result(spark, sf_dir).nodes.where("node_type <> 'order'").select("pair_id", "side", "node_ref", "child_signature")
+    nodes = _result(spark, sf_dir).nodes.where("node_type <> 'order'").select("pair_id", "side", "node_ref")
+    rows = nodes.join(evidence.child_types(_result(spark, sf_dir).raw), ["pair_id", "side", "node_ref"], "left")
+    return rows.select("pair_id", "side", "node_ref", F.coalesce("types", F.lit("")).alias("child_signature"))
+
+
+@query(_sql("""SELECT pair_id, side, parent_ref AS node_ref, count(*) || ':' || sum(CAST('0x' || substr(h, 1, 15) AS BIGINT)) || ':' || sum(CAST('0x' || substr(h, 16, 15) AS BIGINT)) AS digest
+    FROM (SELECT *, md5(row_number() OVER (PARTITION BY pair_id, side, parent_ref ORDER BY child_pos, node_ref) || ':' || node_type) AS h FROM nodes WHERE parent_ref IS NOT NULL) GROUP BY ALL""", upto=1))
+def child_digests(spark, sf_dir):
+    return _result(spark, sf_dir).nodes.where("child_signature <> ''").select("pair_id", "side", "node_ref", F.col("child_signature").alias("digest"))
 
 
 @query(_sql("SELECT 'x' AS pair_id, 'S' AS side, c_mktsegment AS persistent_id, count(*) AS n FROM customer GROUP BY ALL HAVING count(*) > 1", upto=1))
