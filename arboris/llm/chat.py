@@ -8,22 +8,22 @@ rendered.
 
 A turn's costs are a matrix of states by states, and a stretch of turns has the
 (min, +) product of its turns' matrices. So conversations are cut into segments
-of SEGMENT turn numbers: the segments' matrices are made in parallel, chained
-per conversation (one small matrix a segment), and every segment is traced back
-and rendered on its own between its known end states. A conversation with a
-third of all turns is many tasks' work.
+of SEGMENT turns, in order of rows: the segments' matrices are made in parallel.
+The product is associative, so FAN matrices in a row are made one, and so on up
+to the top of a tree; the cheapest way through the top gives each node its two end
+states, down to the segments, and every segment is traced back and rendered on
+its own between them. No row holds more than FAN matrices or SEGMENT turns, and
+turns are numbered by ranges of rows: a conversation with a third of all turns is
+many tasks' work, whatever its turn numbers.
 
 A conversation may end with a user's or an assistant's turn only (ENDS); where it
 ends otherwise, empty turns are appended at the cost of insertions. Texts are
 escaped: each ``<|`` in a text becomes ``<||``, so no text can look like a mark,
 and ``unescaped`` gives it back.
 
-Turns of one number, or without one, are segments by their order, so that a
-segment never holds more than SEGMENT turns.
-
 Defined results: unknown and null roles are relabelled; null text is empty; turns
 come by turn, role, text, null turns last; repeated turns are turns; ties go to
-the role first in ROLES; turns without conv_id are one conversation; other
+the role first in ROLES, from the top of the tree down; turns without conv_id are one conversation; other
 columns are not looked at; an empty table gives no rows.
 """
 
@@ -33,10 +33,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arboris.llm.common import small_batches, staged
+from arboris.operators.number import numbered
 
 ROLES = ("system", "user", "assistant", "tool")
 START = len(ROLES)
@@ -46,7 +47,7 @@ LEGAL = {"start": ("system", "user"), "system": ("user",), "user": ("assistant",
 ENDS = ("user", "assistant")
 ALIASES = {"human": "user", "prompter": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant", "ai": "assistant", "function": "tool", "developer": "system"}
 MERGE, NAME, RELABEL, INSERT = 1, 1, 2, 3
-SEGMENT = 256
+SEGMENT, FAN = 256, 256
 _FAR = 10**9
 
 
@@ -151,38 +152,67 @@ def rendered(turns: list[tuple[int, str]], way: list[int], entry: int, last: boo
     return "".join(out), n
 
 
-def repaired(turns: DataFrame, segment: int = SEGMENT) -> DataFrame:
-    """conv_id, part (from 0), n_turns, n_repaired (turns that start in the part), cost and rendered text,
-    a row for each conversation and segment; ``turns`` has conv_id, turn, role, text."""
-    part = F.coalesce(F.floor(F.col("turn") / segment).cast("long"), F.lit(2**62))
-    rows = turns.select("conv_id", part.alias("part"), F.struct(F.col("turn").isNull().alias("late"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("one"))
-    order = F.row_number().over(Window.partitionBy("conv_id", "part").orderBy("one"))
-    grouped = rows.withColumn("sub", F.floor((order - 1) / segment).cast("long")).groupBy("conv_id", "part", "sub").agg(F.sort_array(F.collect_list("one")).alias("turns"))
-    grouped = staged(grouped.select("conv_id", F.struct("part", "sub").alias("at"), F.col("turns.role").alias("roles"), F.col("turns.text").alias("texts")), "segments")
-    conv, at_type = (grouped.schema[c].dataType.simpleString() for c in ("conv_id", "at"))
+def product(matrices: list[np.ndarray]) -> np.ndarray:
+    """Matrix of stretches in a row."""
+    out = matrices[0]
+    for m in matrices[1:]:
+        out = np.minimum((out[:, :, None] + m[None]).min(1), _FAR)
+    return out
 
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            costs = [chain_costs([role_number(r) for r in x]).ravel().tolist() for x in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(costs, pa.list_(pa.int64()))], ["conv_id", "at", "costs"])
 
-    matrices = small_batches(grouped).select("conv_id", "at", "roles").mapInArrow(measure, f"conv_id {conv}, at {at_type}, costs array<long>")
-    chains = matrices.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("at", "costs"))).alias("chain"))
+def _chain(rows: list[dict]) -> list[np.ndarray]:
+    return [np.array(r["costs"]).reshape(START + 1, START + 1) for r in rows]
+
+
+def ways(matrices: DataFrame, fan: int = FAN) -> DataFrame:
+    """c, no, entry, end and last of each of ``matrices`` (conv_id, no, costs): the states between which its conversation's
+    cheapest way runs through it, and whether it is the last. ``no`` counts from 0 in each conversation."""
+    conv = matrices.schema["conv_id"].dataType.simpleString()
+    matrices = staged(matrices, "matrices")
+    groups = matrices.groupBy("conv_id", F.floor(F.col("no") / fan).alias("g")).agg(F.sort_array(F.collect_list(F.struct("no", "costs"))).alias("chain"))  # of ``fan`` rows
+    if (matrices.agg(F.max("no")).first()[0] or 0) < fan:
+        within = groups.select("conv_id", "chain", F.lit(START).alias("entry"), F.lit(None).cast("int").alias("end"), F.lit(True).alias("last"))
+    else:
+
+        def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                costs = [product(_chain(x)).ravel().tolist() for x in b.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(costs, pa.list_(pa.int64()))], ["conv_id", "no", "costs"])
+
+        upper = ways(small_batches(groups).mapInArrow(merged, f"conv_id {conv}, no long, costs array<long>"), fan)
+        within = groups.join(upper, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("g") == F.col("no"))).select("conv_id", "chain", "entry", "end", "last")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             take, rows = [], []
-            for i, chain in enumerate(b.column(1).to_pylist()):
-                _, way = trace([np.array(c["costs"]).reshape(START + 1, -1) for c in chain], START)
+            for i, (chain, entry, end, last) in enumerate(zip(*(b.column(k).to_pylist() for k in range(1, 5)))):
+                _, way = trace(_chain(chain), entry, end)
                 for k, c in enumerate(chain):
                     take.append(i)
-                    rows.append((c["at"]["part"], c["at"]["sub"], k, way[k - 1] if k else START, way[k], k == len(chain) - 1))
-            cols = list(zip(*rows)) or [()] * 6
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(take, pa.int64())), *(pa.array(c, k) for c, k in zip(cols, kinds))], ["c", "p", "s", "no", "entry", "end", "last"])
+                    rows.append((c["no"], way[k - 1] if k else entry, way[k], last and k == len(chain) - 1))
+            cols = list(zip(*rows)) or [()] * 4
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(take, pa.int64())), *(pa.array(c, k) for c, k in zip(cols, kinds))], ["c", "no", "entry", "end", "last"])
+
+    return small_batches(within).mapInArrow(place, f"c {conv}, no long, entry int, end int, last boolean")
+
+
+def repaired(turns: DataFrame, segment: int = SEGMENT, fan: int = FAN) -> DataFrame:
+    """conv_id, part (from 0), n_turns, n_repaired (turns that start in the part), cost and rendered text,
+    a row for each conversation and segment; ``turns`` has conv_id, turn, role, text."""
+    rows = turns.select("conv_id", F.struct(F.col("turn").isNull().alias("late"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("one"))
+    order = numbered(rows, ["conv_id"], ["one"], "place").select("conv_id", "place", F.floor((F.col("place") - 1) / segment).alias("part"), "one.role", "one.text")
+    grouped = order.groupBy("conv_id", "part").agg(F.sort_array(F.collect_list(F.struct("place", "role", "text"))).alias("turns"))
+    grouped = staged(grouped.select("conv_id", "part", F.col("turns.role").alias("roles"), F.col("turns.text").alias("texts")), "segments")
+    conv = grouped.schema["conv_id"].dataType.simpleString()
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            costs = [chain_costs([role_number(r) for r in x]).ravel().tolist() for x in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(costs, pa.list_(pa.int64()))], ["conv_id", "no", "costs"])
 
-    placed = small_batches(chains).mapInArrow(place, f"c {conv}, p long, s long, no long, entry int, end int, last boolean")
-    both = grouped.join(placed, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("at.part") == F.col("p")) & (F.col("at.sub") == F.col("s")))
+    placed = ways(small_batches(grouped).select("conv_id", "part", "roles").mapInArrow(measure, f"conv_id {conv}, no long, costs array<long>"), fan)
+    both = grouped.join(placed, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("part") == F.col("no")))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -198,5 +228,5 @@ def repaired(turns: DataFrame, segment: int = SEGMENT) -> DataFrame:
                 ["conv_id", "part", "n_turns", "n_repaired", "cost", "rendered"],
             )
 
-    both = both.select("conv_id", F.col("no").alias("part"), "roles", "texts", "entry", "end", "last")
+    both = both.select("conv_id", "part", "roles", "texts", "entry", "end", "last")
     return small_batches(both).mapInArrow(write, f"conv_id {conv}, part long, n_turns long, n_repaired long, cost long, rendered string")
