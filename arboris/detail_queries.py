@@ -9,7 +9,7 @@ from arboris.functions import lcs
 from arboris.operators import validate
 from arboris.plans import evaluate, jobs, localization, report
 from arboris.plans.engine import reconcile
-from arboris.profiles import BUNDLES
+from arboris.profiles import BUNDLES, Limits
 from arboris.queries import _AFFECTED, _OPS, DITA, ORACLE_SQL, _localized, _operations_sql, _ops_query, _result, _sql, _table, query
 from arboris.sources import generators
 from arboris.sources.edges import from_edges, order_trees
@@ -136,6 +136,54 @@ def lcs_shuffled(spark, sf_dir):
     return steps.groupBy("pair_id").agg(*(F.count_if(F.col("kind") == k).alias(f"n_{k.lower()}") for k in (lcs.ALIGN, lcs.LEFT_ONLY, lcs.RIGHT_ONLY)))
 
 
+# --- messages, evidence, fingerprints, limits ----------------------------------------
+
+
+@query(_sql("""SELECT pair_id, issue_id, status, CASE status WHEN 'WRONG_PARENT' THEN 'the node''s counterpart stands under a parent that doesn''t correspond'
+    WHEN 'WRONG_ORDER' THEN 'counterparts under corresponding parents come in another order' WHEN 'AMBIGUOUS_MATCH' THEN 'several nodes of the locale could correspond; someone has to choose' END AS message FROM det""", _OPS, _DETAILS))
+def loc_messages(spark, sf_dir):
+    return _localized(spark, sf_dir).issues.select("pair_id", "issue_id", "status", "message")
+
+
+@query(_sql("""SELECT job_id, result_id, string_agg(DISTINCT code, ';' ORDER BY code) AS evidence_codes, false AS auto_fix_eligible FROM (
+    SELECT im.pair_id AS job_id, im.issue_id AS result_id, unnest([CASE WHEN x.pid = y.pid THEN 'PERSISTENT_ID' END, CASE WHEN x.sig = y.sig THEN 'SEMANTIC_SIGNATURE' END, CASE WHEN x.cs = y.cs THEN 'WEIGHTED_SIMILARITY' END]) AS code
+    FROM im JOIN sn x ON x.pair_id = im.pair_id AND x.node_ref = im.s JOIN tn y ON y.pair_id = im.pair_id AND y.node_ref = im.t) GROUP BY ALL""", _OPS, _DETAILS, """
+im AS (SELECT pair_id, issue_id, source_ref AS s, locale_ref AS t FROM det WHERE block = 0 UNION ALL SELECT d.pair_id, d.issue_id, a.s, a.t FROM det d JOIN am a ON a.pair_id = d.pair_id AND a.s = d.source_ref WHERE d.block = 1
+    UNION ALL SELECT d.pair_id, d.issue_id, al.s, al.t FROM det d JOIN al ON al.pair_id = d.pair_id AND 'op:reorder:' || al.sp = d.root WHERE d.block = 2)"""))
+def report_evidence(spark, sf_dir):
+    rows = report.report_rows(_localized(spark, sf_dir), suppressed=False).where("size(evidence_codes) > 0")
+    return rows.select("job_id", "result_id", F.array_join(F.array_sort("evidence_codes"), ";").alias("evidence_codes"), "auto_fix_eligible")
+
+
+@query(_sql("SELECT pair_id, 'effect-' || row_number() OVER (PARTITION BY pair_id ORDER BY type, operation_id) AS effect_id, operation_id AS root_operation_id FROM eff", _OPS, _AFFECTED))
+def effect_numbers(spark, sf_dir):
+    return _result(spark, sf_dir).effects.select("pair_id", "effect_id", "root_operation_id")
+
+
+_SIZES = """
+sz AS (SELECT pair_id, count(*) FILTER (side = 'S') AS a, count(*) FILTER (side = 'T') AS b, (SELECT count(*) FROM m WHERE m.pair_id = nodes.pair_id) AS c,
+    (SELECT count(*) FROM cf WHERE cf.pair_id = nodes.pair_id) AS d, (SELECT count(*) FROM ops WHERE ops.pair_id = nodes.pair_id) AS e, (SELECT count(*) FROM reg WHERE reg.pair_id = nodes.pair_id) AS f,
+    (SELECT count(*) FROM eff WHERE eff.pair_id = nodes.pair_id) AS g FROM nodes GROUP BY pair_id)"""
+
+
+@query(_sql("""SELECT pair_id, sha256('{"source_nodes":' || a || ',"target_nodes":' || b || ',"candidates":' || c || ',"matches":' || d || ',"operations":' || e || '}') AS fingerprint FROM sz""", _OPS, _AFFECTED, _SIZES))
+def performance_fingerprints(spark, sf_dir):
+    return _result(spark, sf_dir).performance_fingerprint()
+
+
+@query(_sql("""SELECT pair_id, sha256('{"source_nodes":' || a || ',"target_nodes":' || b || ',"stages":[{"stage":"ALIGNMENT","candidates":0,"results":' || f || '},{"stage":"CLASSIFICATION","candidates":0,"results":' || e
+    || '},{"stage":"MATCHING","candidates":' || c || ',"results":' || d || '},{"stage":"SUPPRESSION","candidates":0,"results":' || g || '}]}') AS fingerprint FROM sz""", _OPS, _AFFECTED, _SIZES))
+def metrics_fingerprints(spark, sf_dir):
+    return _result(spark, sf_dir).metrics_fingerprint()
+
+
+@query(_sql("""SELECT p.pair_id, coalesce(n, 0) <= 20 AS complete FROM (SELECT DISTINCT pair_id FROM nodes) p LEFT JOIN (SELECT pair_id, count(*) AS n FROM (
+    SELECT s.pair_id, s.node_ref AS s, t.node_ref AS t FROM sfree s JOIN tfree t ON s.pair_id = t.pair_id AND s.sig = t.sig AND s.node_type = t.node_type
+    UNION SELECT s.pair_id, s.node_ref, t.node_ref FROM sfree s JOIN tfree t ON s.pair_id = t.pair_id AND s.pid = t.pid AND s.node_type = t.node_type) GROUP BY pair_id) USING (pair_id)""", upto=3))
+def limits_status(spark, sf_dir):
+    return _result(spark, sf_dir, limits=Limits(max_candidates=20)).status
+
+
 # --- labels and revisions -----------------------------------------------------------
 
 

@@ -84,12 +84,19 @@ def move(c: Context) -> DataFrame:
     return _operations(c.moves, "MOVE", F.concat("s", F.lit("->"), "t"), F.array("s"), F.array("t"), F.col("confidence"), codes, F.array("match_id"), F.col("expected"), F.col("tp"), ("SOURCE_AND_TARGET_MATCH_REMAINS_VALID",))
 
 
+def siblings(regions: DataFrame, positions: DataFrame) -> DataFrame:
+    """pair_id, operation_id, sp, tp, pos, s, t, match_id: the members of each reorder's class of siblings, a row each."""
+    changed = regions.where("order_changed").select("pair_id", "sp", "tp", F.concat(F.lit("op:reorder:"), "sp").alias("operation_id"))
+    rows = positions.where(F.col("kind") == ALIGNED).join(changed, ["pair_id", "sp", "tp"])
+    return rows.select("pair_id", "operation_id", "sp", "tp", "pos", "s", "t", "match_id")
+
+
 def reorder(c: Context) -> DataFrame:
-    changed = c.regions.where("order_changed").select("pair_id", "sp", "tp")
-    one = F.struct("pos", "s", "t", "match_id")
-    rows = c.positions.where(F.col("kind") == ALIGNED).join(changed, ["pair_id", "sp", "tp"])
-    rows = rows.groupBy("pair_id", "sp", "tp").agg(F.sort_array(F.collect_list(one)).alias("x"))
-    return _operations(rows, "REORDER", F.col("sp"), F.col("x.s"), F.col("x.t"), F.lit(1.0), F.array(F.lit("SIBLING_ORDER_CHANGED")), F.col("x.match_id"))
+    """Reorders name the first and the last of their siblings; ``siblings`` has all of them."""
+    at = F.struct("pos", "s")
+    ends = lambda column: F.array(F.min_by(column, at), F.max_by(column, at))
+    rows = siblings(c.regions, c.positions).groupBy("pair_id", "sp", "tp").agg(*(ends(n).alias(f"{n}s") for n in ("s", "t", "match_id")))
+    return _operations(rows, "REORDER", F.col("sp"), F.col("ss"), F.col("ts"), F.lit(1.0), F.array(F.lit("SIBLING_ORDER_CHANGED")), F.col("match_ids"))
 
 
 #: Classifiers by unique name, in order.

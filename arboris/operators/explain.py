@@ -40,7 +40,7 @@ def root_operations(operations: DataFrame) -> DataFrame:
     return operations.where("type <> 'MATCH'").select("pair_id", "operation_id")
 
 
-def reached(operations: DataFrame, positions: DataFrame, nodes: DataFrame, stage=lambda df: df) -> tuple[DataFrame, DataFrame]:
+def reached(operations: DataFrame, positions: DataFrame, nodes: DataFrame, siblings: DataFrame, stage=lambda df: df) -> tuple[DataFrame, DataFrame]:
     """What operations move along with them, in groups of nodes: pair_id, operation_id, type, confidence, group_id; and
     the groups: pair_id, group_id, node_ref.
 
@@ -58,14 +58,16 @@ def reached(operations: DataFrame, positions: DataFrame, nodes: DataFrame, stage
         at = ops.where(F.col("type") == type_).select(*keys, F.explode(refs).alias("ref"))
         return at.join(places, ["pair_id", "ref"]).select(*keys, "group_id")
 
-    # a reorder also reaches the regions under the siblings
-    among, under = (lined.select("pair_id", F.col("s").alias("ref"), region), positions.select("pair_id", F.col("sp").alias("ref"), region).distinct())
+    # a reorder reaches the region of its siblings and the regions under them
+    orders = ops.where("type = 'REORDER'").select(*keys)
+    among = orders.join(siblings.select("pair_id", "operation_id", region).distinct(), ["pair_id", "operation_id"])
+    under = positions.select("pair_id", F.col("sp").alias("s"), region).distinct().join(siblings.select("pair_id", "operation_id", "s"), ["pair_id", "s"])
+    under = orders.join(under.select("pair_id", "operation_id", "group_id"), ["pair_id", "operation_id"])
     moves = ops.where("type = 'MOVE'").select(*keys, F.col("source_refs")[0].alias("top"))
     below = descendants(nodes, moves.select("pair_id", F.lit(SOURCE).alias("side"), "top").distinct(), stage)
     subtree = F.concat(F.lit("below:"), "top").alias("group_id")
     reach = [
-        regions("INSERT", "target_refs", where_t), regions("DELETE", "source_refs", where_s), regions("REORDER", "source_refs", among),
-        regions("REORDER", "source_refs", under), moves.select(*keys, subtree),
+        regions("INSERT", "target_refs", where_t), regions("DELETE", "source_refs", where_s), among, under, moves.select(*keys, subtree),
     ]
     reach = reduce(DataFrame.unionByName, reach).distinct()
     groups = lined.select("pair_id", region, F.col("t").alias("node_ref")).unionByName(below.select("pair_id", subtree, "node_ref")).distinct()

@@ -95,6 +95,11 @@ class Result:
     def operations(self) -> DataFrame:
         return kept(classify.classify(self.context))
 
+    @property
+    def siblings(self) -> DataFrame:
+        """pair_id, operation_id, sp, tp, pos, s, t, match_id: what reorders reorder, a row each."""
+        return classify.siblings(self.regions, self.positions)
+
     @cached_property
     def explanations(self) -> DataFrame:
         rows = explain.explanations(self.operations, self.open_nodes, self.nodes)
@@ -103,7 +108,7 @@ class Result:
 
     @cached_property
     def _reached(self) -> tuple[DataFrame, DataFrame]:
-        reach, groups = explain.reached(self.operations, self.positions, self.nodes, kept)
+        reach, groups = explain.reached(self.operations, self.positions, self.nodes, self.siblings, kept)
         return kept(reach), kept(groups)
 
     @property
@@ -188,6 +193,7 @@ class Result:
         """pair_id and a digest of the pair's operations, matches (ambiguous ones by classes and their nodes) and effects, in their fixed order."""
         parts = [
             self.operations.select("pair_id", F.to_json(F.struct("operation_id", "type", "source_refs", "target_refs", "from_parent", "to_parent", "confidence", "evidence_codes")).alias("x")),
+            self.siblings.select("pair_id", F.to_json(F.struct("operation_id", "s", "t")).alias("x")),
             self.sure.select("pair_id", F.to_json(F.struct("match_id", "state", "score", "confidence", "evidence")).alias("x")),
             self.graph.ambiguous.select("pair_id", F.to_json(F.struct("s_class", "t_class", "score", "n_s", "n_t")).alias("x")),
             self.graph.members.join(self.open_nodes.select("pair_id", "side", "node_ref"), ["pair_id", "side", "node_ref"]).select("pair_id", F.to_json(F.struct("side", "class_id", "node_ref")).alias("x")),

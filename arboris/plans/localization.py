@@ -174,10 +174,14 @@ class Localization:
         return kept(counted.withColumn("auto_fix_eligible", F.lit(False)).drop("repair", "repair_no"))
 
     def issue_match_ids(self) -> DataFrame:
-        """pair_id, issue_id, match_ids of the issues about ambiguous sources, on request: k nodes alike have k each, so ``issues`` leaves them out."""
+        """pair_id, issue_id, match_ids of the issues about ambiguous sources and orders, on request: ``issues`` has none of
+        the k of a source with k like it, and of a class of siblings only the first and the last."""
         amb = self.result.matches.where(F.col("state") == AMBIGUOUS).groupBy("pair_id", F.col("s").alias("source_ref"))
         ids = amb.agg(F.transform(F.sort_array(F.collect_list(F.struct("t", "match_id"))), lambda x: x["match_id"]).alias("match_ids"))
-        return self.issues.where("status = 'AMBIGUOUS_MATCH'").select("pair_id", "issue_id", "source_ref").join(ids, ["pair_id", "source_ref"]).drop("source_ref")
+        open_ = self.issues.where("status = 'AMBIGUOUS_MATCH'").select("pair_id", "issue_id", "source_ref").join(ids, ["pair_id", "source_ref"]).drop("source_ref")
+        orders = self.result.siblings.groupBy("pair_id", "operation_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "s", "match_id"))), lambda x: x["match_id"]).alias("match_ids"))
+        wrong = self.issues.where("status = 'WRONG_ORDER'").select("pair_id", "issue_id", F.col("operation_ids")[0].alias("operation_id"))
+        return open_.unionByName(wrong.join(orders, ["pair_id", "operation_id"]).drop("operation_id"))
 
     @cached_property
     def recommendations(self) -> DataFrame:

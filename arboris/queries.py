@@ -329,8 +329,11 @@ def ops_move(spark, sf_dir):
 
 @query(_sql("SELECT r.pair_id, r.sp, (SELECT string_agg(al.s, ';' ORDER BY al.pos, al.s) FROM al WHERE al.pair_id = r.pair_id AND al.sp = r.sp AND al.tp = r.tp) AS refs FROM reg r WHERE order_changed", _OPS))
 def ops_reorder(spark, sf_dir):
-    rows = _result(spark, sf_dir).operations.where("type = 'REORDER'")
-    return rows.select("pair_id", F.substring_index("operation_id", ":", -1).alias("sp"), F.array_join("source_refs", ";").alias("refs"))
+    r = _result(spark, sf_dir)
+    refs = F.transform(F.sort_array(F.collect_list(F.struct("pos", "s"))), lambda x: x["s"])
+    lists = r.siblings.groupBy("pair_id", "operation_id").agg(F.array_join(refs, ";").alias("refs"))
+    rows = r.operations.where("type = 'REORDER'").join(lists, ["pair_id", "operation_id"])
+    return rows.select("pair_id", F.substring_index("operation_id", ":", -1).alias("sp"), "refs")
 
 
 @query(_sql("SELECT pair_id, type, count(*) AS n FROM ops GROUP BY ALL", _OPS))
