@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,6 +46,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: The C library's way to give idle memory back, where it has one.
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def give_back() -> None:
+    """Memory that Arrow and the C library hold idle goes back to the system: a worker outlives its tasks."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def text_blocks(column: pa.Array, size: int = 400_000) -> Iterator[tuple[int, int, list[str | None]]]:
     """A column of texts in runs (start, end, texts) of about ``size`` bytes, so that what is made of
     them stays in a few MB; a longer text is alone. Memory that Arrow holds idle is given back."""
@@ -57,4 +69,4 @@ def text_blocks(column: pa.Array, size: int = 400_000) -> Iterator[tuple[int, in
         total += n
     if start < len(length):
         yield start, len(length), column.slice(start).to_pylist()
-    pa.default_memory_pool().release_unused()
+    give_back()

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from arboris.llm.common import fresh, small_batches, staged, text_blocks
+from arboris.llm.common import fresh, give_back, small_batches, staged, text_blocks
 
 K = 64
 MATCHES = 30
@@ -48,7 +48,7 @@ SHINGLE = 5
 _PREFIX = K - MATCHES + 1
 #: Sets under a pair from which it is compared in blocks, and how many sets, of how many bytes, a block has.
 CROWD = 64
-BLOCK, BLOCK_BYTES = 1024, 8 << 20
+BLOCK, BLOCK_BYTES = 512, 4 << 20
 #: Sets of two blocks from which a hash that they hold is counted by the product, and columns of one product.
 DENSE, COLUMNS = 64, 2048
 #: Leaders that a set is compared with in full; what they leave apart is compared across components.
@@ -239,7 +239,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                 if similar_enough(len(np.intersect1d(p, q, assume_unique=True)), len(p), len(q)):
                     good.append(i)
             yield pa.RecordBatch.from_arrays([x.column(k).take(pa.array(good, pa.int64())) for k in (0, 1)], ["a", "b"])
-            pa.default_memory_pool().release_unused()
+            give_back()
 
     return small_batches(both).mapInArrow(run, "a long, b long")
 
@@ -334,6 +334,8 @@ def _across_crowds(crowds: DataFrame, reps: DataFrame, docs: DataFrame) -> DataF
             sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("items")]
             sig = group.column("sig").combine_chunks().flatten().to_numpy().reshape(-1, K)
             left, right = links_across(group.column("c").to_numpy(), sig, sets, start)
+            del sets, sig
+        give_back()
         return pa.table([pa.array(np.minimum(ids[left], ids[right])), pa.array(np.maximum(ids[left], ids[right]))], ["a", "b"])
 
     return dealt.groupBy("crowd", "i", "j").applyInArrow(compare, "a long, b long")
