@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from arboris.functions import lcs
 
-from arboris.operators import validate
+from arboris.operators import causal, validate
 from arboris.plans import evaluate, jobs, localization, report
 from arboris.plans.engine import reconcile
 from arboris.profiles import BUNDLES, Limits
-from arboris.queries import _AFFECTED, _OPS, DITA, ORACLE_SQL, _localized, _operations_sql, _ops_query, _result, _sql, _table, query
+from arboris.queries import _AFFECTED, _MOVED, _OPS, DITA, ORACLE_SQL, _localized, _moved, _operations_sql, _ops_query, _result, _sql, _table, query
 from arboris.sources import generators
 from arboris.sources.edges import from_edges, order_trees
 from arboris.storage import kept
@@ -184,6 +184,27 @@ def limits_status(spark, sf_dir):
     return _result(spark, sf_dir, limits=Limits(max_candidates=20)).status
 
 
+# --- causes ----------------------------------------------------------------------------
+
+
+@query(_sql("SELECT DISTINCT v.pair_id, 'op:move:' || v.s || '->' || v.t AS cause, o.operation_id AS effect FROM mv v JOIN below b ON b.pair_id = v.pair_id AND b.top = v.s JOIN ops o ON o.pair_id = b.pair_id AND o.s = b.node_ref AND o.type IN ('UPDATE', 'DELETE', 'MOVE')", _OPS, _AFFECTED, nodes=_MOVED))
+def causal_links(spark, sf_dir):
+    return _moved(spark, sf_dir).causal_links()
+
+
+# customers in fours: each leads to the next, every third four back to its first, and an even four to the next one
+@query("""WITH RECURSIVE c AS (SELECT c_custkey AS k, (c_custkey - 1) // 4 AS g, (c_custkey - 1) % 4 AS i FROM customer),
+    e AS (SELECT CAST(x.g // 2 % 25 AS VARCHAR) AS pair_id, x.k AS a, y.k AS b FROM c x JOIN c y ON (y.k = x.k + 1 AND x.i < 3) OR (y.k = x.k - 3 AND x.i = 3 AND x.g % 3 = 0) OR (y.k = x.k + 4 AND x.i = 0 AND x.g % 2 = 0)),
+    r AS (SELECT * FROM e UNION SELECT r.pair_id, r.a, e.b FROM r JOIN e ON e.pair_id = r.pair_id AND e.a = r.b)
+    SELECT x.pair_id, x.a AS node, min(y.a) AS circle FROM r x JOIN r y ON y.pair_id = x.pair_id AND y.a = x.b AND y.b = x.a GROUP BY x.pair_id, x.a""")
+def causal_circles(spark, sf_dir):
+    c = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("a"))
+    g, i = F.floor((F.col("a") - 1) / 4), (F.col("a") - 1) % 4
+    to = F.array(F.when(i < 3, F.col("a") + 1), F.when((i == 3) & (g % 3 == 0), F.col("a") - 3), F.when((i == 0) & (g % 2 == 0), F.col("a") + 4))
+    edges = c.select((F.floor(g / 2) % 25).cast("string").alias("pair_id"), "a", F.explode(to).alias("b")).where("b is not null")
+    return causal.circles(edges.join(c.select(F.col("a").alias("b")), "b", "left_semi"))
+
+
 # --- labels and revisions -----------------------------------------------------------
 
 

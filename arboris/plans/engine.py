@@ -8,7 +8,7 @@ from functools import cached_property, reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arboris.operators import align, classify, evidence, explain, match, normalize, validate
+from arboris.operators import align, causal, classify, evidence, explain, match, normalize, validate
 from arboris.operators.number import numbered
 from arboris.profiles import Bundle
 from arboris.schema import NODES, SOURCE, TARGET
@@ -126,6 +126,14 @@ class Result:
         """Each node of each operation, on request: operations times siblings under one parent."""
         return explain.affected(self.reach, self.reach_groups)
 
+    def causal_links(self) -> DataFrame:
+        """pair_id, cause, effect: which operations follow from which moves."""
+        return causal.links(self.operations, *self._reached)
+
+    def causal_circles(self) -> DataFrame:
+        """pair_id, node, circle: operations whose causes run in a circle; an explanation with one can't be told."""
+        return causal.circles(self.causal_links().select("pair_id", F.col("cause").alias("a"), F.col("effect").alias("b")))
+
     def affected_refs(self) -> DataFrame:
         """pair_id, effect_id, affected_refs: the sorted list of each effect, on request."""
         rows = self.effects.select("pair_id", "effect_id", F.col("root_operation_id").alias("operation_id")).join(self.affected, ["pair_id", "operation_id"])
