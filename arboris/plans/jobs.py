@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from arboris import profiles
-from arboris.operators.validate import tree_violations
+from arboris.operators.validate import first_violations, tree_violations
 from arboris.plans.engine import Result, reconcile
 from arboris.plans.localization import Localization, Policy
 from arboris.sources import documents
@@ -41,19 +41,34 @@ def compare(requests: DataFrame, locale: str, policy: Policy | None = None, bund
         states.append(bad.select("pair_id", F.lit("REJECTED").alias("state"), "error_code", "error_message"))
         good = documents.nodes_of(parsed).join(bad, "pair_id", "left_anti")
         result = reconcile(good, bundle)
-        over = result.over_limits
-        states.append(over.select("pair_id", F.lit("FAILED").alias("state"), F.lit("RESOURCE_LIMIT_EXCEEDED").alias("error_code"), F.col("message").alias("error_message")))
-        null = F.lit(None).cast("string")
-        states.append(good.select("pair_id").distinct().join(over, "pair_id", "left_anti").select("pair_id", F.lit("COMPLETED").alias("state"), null.alias("error_code"), null.alias("error_message")))
+        states += _ended(good, result)
         done[name] = Localization(result, locale, policy=policy if policy and policy.locale == locale else None)
-    jobs = reduce(DataFrame.unionByName, states).withColumn("correlation_id", F.concat(F.lit("corr-"), "pair_id"))
-    return Batch(jobs, done)
+    return Batch(_correlated(reduce(DataFrame.unionByName, states)), done)
 
 
-def checked(nodes: DataFrame, bundle: profiles.Bundle) -> tuple[Result, DataFrame]:
-    """Reconcile the pairs whose trees break no rule, and the violations of the others."""
-    bad = kept(tree_violations(nodes))
-    return reconcile(nodes.join(bad.select("pair_id").distinct(), "pair_id", "left_anti"), bundle), bad
+def _ended(good: DataFrame, result: Result) -> list[DataFrame]:
+    """States of the pairs that were taken in: FAILED over a limit, else COMPLETED."""
+    over, null = result.over_limits, F.lit(None).cast("string")
+    failed = over.select("pair_id", F.lit("FAILED").alias("state"), F.lit("RESOURCE_LIMIT_EXCEEDED").alias("error_code"), F.col("message").alias("error_message"))
+    rest = good.select("pair_id").distinct().join(over, "pair_id", "left_anti")
+    return [failed, rest.select("pair_id", F.lit("COMPLETED").alias("state"), null.alias("error_code"), null.alias("error_message"))]
+
+
+def _correlated(jobs: DataFrame) -> DataFrame:
+    return jobs.withColumn("correlation_id", F.concat(F.lit("corr-"), "pair_id"))
+
+
+def compare_trees(nodes: DataFrame, locale: str, bundle: profiles.Bundle, policy: Policy | None = None) -> Batch:
+    """Compare trees that the caller built. A pair with a broken tree is REJECTED with the first rule that it breaks
+    (by side, then code, then node) and isn't compared; the others are jobs as those of ``compare``."""
+    nodes = kept(nodes)
+    first = kept(first_violations(tree_violations(nodes)))
+    bad = first.groupBy("pair_id").agg(F.min_by(F.struct("code", "side", "node_ref"), "side").alias("x"))
+    rejected = bad.select("pair_id", F.lit("REJECTED").alias("state"), F.col("x.code").alias("error_code"), F.concat_ws(" ", F.lit("side"), "x.side", F.lit("node"), "x.node_ref").alias("error_message"))
+    good = nodes.join(bad, "pair_id", "left_anti")
+    result = reconcile(good, bundle)
+    loc = Localization(result, locale, policy=policy if policy and policy.locale == locale else None)
+    return Batch(_correlated(reduce(DataFrame.unionByName, [rejected, *_ended(good, result)])), {bundle.bundle_id: loc})
 
 
 def from_repository(refs: DataFrame, objects: DataFrame) -> DataFrame:

@@ -31,12 +31,18 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _own_dir
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, which ``release`` removes."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as a table in the shared folder and read again: the lineage ends there,
     so a lost executor costs a reread and not the stages before."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
