@@ -95,3 +95,15 @@ def test_stream_of_requests(spark, tmp_path):
     stream = spark.readStream.schema(schema).json(str(src))
     compare_stream(stream, "fr-FR", lambda batch, n: seen.extend((n, r["pair_id"], r["state"]) for r in batch.jobs.collect()), str(tmp_path / "cp")).awaitTermination()
     assert seen == [(0, "a", "COMPLETED")]
+
+
+def test_issue_rows_and_heads_make_no_other_part(spark):
+    from arboris import storage
+
+    loc = Localization(reconcile(table(spark, j=("r#r[a#a,b#b]", "r#r[a#a,x#x]")), BUNDLES["dita-map-v1"]), "fr-FR")
+    before = len(storage._written)
+    assert report.head_rows(loc).first()["complete"] and len(storage._written) == before  # nothing is compared
+    assert loc.issues.count() > 0
+    before = len(storage._written)
+    assert {r["status_symbol"] for r in report.issue_rows(loc).collect()} == {"OK", "-", "+"}
+    assert len(storage._written) == before and "effects" not in loc.result.__dict__
