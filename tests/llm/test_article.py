@@ -103,3 +103,27 @@ def test_a_hot_host_is_many_cells(spark):
         for i in range(700):
             before, after = page(i, "")[1:]
             assert got[i] == before + STAYS[0][1].replace("{i}", str(i)) + "\n" + after
+
+
+def rare_boxes(n, every, parts):
+    """Pages of ever new classes; each ``every``-th has one of two boxes, and a list of links, that come seldom."""
+    rng = random.Random(5)
+    letters = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(8))
+    out, want = [], []
+    for i in range(n):
+        blocks = [(f"<div class='u{letters()}'><p>text {i} {k} {letters()} {'word ' * 6}</p></div>", f"text {i} {k}") for k in range(parts)]
+        box = f"<div class='{'zq'[i // every % 2]}box'>Read more on our fine offers</div>" if i % every == 0 else ""
+        out.append(page(i, "".join(b for b, _ in blocks) + box)[0])
+        want.append([t for _, t in blocks])
+    return out, want
+
+
+def test_parts_that_come_seldom_gather_their_evidence(spark):
+    pages, want = rare_boxes(240, 10, 20)
+    df = spark.createDataFrame([(i, "http://wide/x", p) for i, p in enumerate(pages)], SCHEMA)
+    for cell in (512, 32):
+        texts = {r["page_id"]: r["text"] for r in html_wrapper.main_text(df, cell=cell).collect()}
+        assert all(t in texts[i] for i, ts in enumerate(want) for t in ts)
+        assert not [i for i, t in texts.items() if "fine offers" in t]
+    wrapper = judged(infer(pages))
+    assert not [p for p in pages if "fine offers" in extract(p, wrapper)]
