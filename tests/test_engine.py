@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from arboris.plans.engine import reconcile
 from arboris.plans.localization import LocaleRule, Localization, Policy
@@ -234,3 +235,31 @@ def test_cycles_and_depths(spark):
     below = {(r["pair_id"], r["top"], r["node_ref"]) for r in evidence.descendants(nodes, tops, kept).collect()}
     want = {("deep", t, f"n{i}") for t, a in (("n10", 11), ("n2990", 2991)) for i in range(a, 3000)}
     assert below == {*want, ("ring", "r", "d"), ("lost", "x", "y")}
+
+
+def test_later_steps_join_nothing_that_matching_knew(spark):
+    """Parents, places and equality of contents come with the matches; properties don't go through the joins."""
+    r = reconcile(table(spark, j=("r#r[a#a[x#x,y#y],b#b]", "r#r[a#a[y#y],b#b[x#x]]")), DITA)
+    assert not {"identity", "content", "structural", "loc"} & set(r.evidence.columns)
+    ends = {(x["s"], x["t"]): (x["sp"], x["tp"], x["same"]) for x in r.graph.ends.collect()}
+    parents = {(x["side"], x["node_ref"]): x["parent_ref"] for x in r.raw.collect()}
+    assert ends and all((sp, tp) == (parents["S", s], parents["T", t]) for (s, t), (sp, tp, _) in ends.items())
+    moved = [x for x in r.linked.collect() if not x["aligned"]]
+    assert len(moved) == 1 and r.operations.where("type = 'MOVE'").count() == 1
+    assert {x["same"] for x in r.positions.where("kind = 'ALIGNED'").collect()} <= {True, False}
+    from arboris.operators import classify
+
+    plan = classify.match_update(r.context)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+
+
+def test_below_moved_leaves_nothing_is_looked_for(spark, monkeypatch):
+    from arboris.operators import explain
+
+    asked = []
+    monkeypatch.setattr(explain, "descendants", lambda nodes, tops, stage: asked.append(tops.count()) or nodes.select("pair_id", "side", F.lit("").alias("top"), "node_ref").where("false"))
+    for tree, n in ((("r#r[a#a[x#x],b#b]", "r#r[a#a,b#b[x#x]]"), 0), (("r#r[a#a[x#x[y#y]],b#b]", "r#r[a#a,b#b[x#x[y#y]]]"), 1)):
+        r = reconcile(table(spark, j=tree), DITA)
+        assert r.operations.where("type = 'MOVE'").count() == 1
+        r.reach.count()
+        assert asked.pop() == n
