@@ -41,7 +41,7 @@ def main(args: list[str] | None = None) -> int:
         report.html_pages(rows).select("html").write.mode("overwrite").text(f"{a.out}/report.html")
     for r in loc.status_counts.orderBy("status").collect():
         print(r["status"], r["n"])
-    return jobs.exit_codes(batch.jobs, loc.issues, a.fail_on).first()["exit_code"]
+    return jobs.exit_codes(batch.jobs, loc.findings, a.fail_on).first()["exit_code"]
 
 
 if __name__ == "__main__":

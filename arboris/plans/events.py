@@ -26,7 +26,7 @@ def events(jobs: DataFrame, loc: Localization) -> DataFrame:
     counted = [
         r.node_counts.select("pair_id", F.col("source_nodes").alias("source_node_count"), F.col("target_nodes").alias("target_node_count")), states,
         r.metrics.groupBy("pair_id").agg(F.sum("candidates").alias("candidate_count")), n(r.operations, "operation_count"), n(r.effects, "suppression_count"),
-        n(loc.recommendations, "recommendation_count"), loc.issues.groupBy("pair_id").agg(F.bool_or(F.col("severity") == "ERROR").alias("completed_with_issues")),
+        n(loc.findings.where("repair"), "recommendation_count"), loc.findings.groupBy("pair_id").agg(F.bool_or(F.col("severity") == "ERROR").alias("completed_with_issues")),
     ]
     rows = reduce(lambda a, b: a.join(b, "pair_id", "left"), counted, jobs.select("pair_id", "state", "correlation_id"))
     done = F.col("state") == "COMPLETED"

@@ -111,7 +111,7 @@ def observability(jobs: DataFrame, loc: Localization) -> DataFrame:
     out = out.join(loc.result.graph.counts().groupBy("pair_id").agg(F.sum("n").alias("n_matches")), "pair_id", "left")
     for name, df in (("n_operations", loc.result.operations), ("n_effects", loc.result.effects)):
         out = out.join(df.groupBy("pair_id").agg(F.count(F.lit(1)).alias(name)), "pair_id", "left")
-    errors = loc.issues.groupBy("pair_id").agg(F.count(F.lit(1)).alias("n_issues"), F.bool_or(F.col("severity") == "ERROR").alias("has_errors"))
+    errors = loc.findings.groupBy("pair_id").agg(F.count(F.lit(1)).alias("n_issues"), F.bool_or(F.col("severity") == "ERROR").alias("has_errors"))
     out = out.join(errors, "pair_id", "left").fillna(0).fillna(False)
     outcome = F.when(F.col("state") != "COMPLETED", "technical_failure").when(F.col("has_errors"), "completed_with_issues").otherwise("completed")
     return out.withColumn("outcome", outcome).drop("has_errors")
